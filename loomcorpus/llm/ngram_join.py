@@ -5,12 +5,16 @@ bucket in a sketch of the corpus is crowded come last.  With threshold t, a set
 a = ceil(t n) common n-grams with any partner, so two partners share an n-gram among their first
 n - a + 1.  Lengthened by l - 1, two such prefixes share at least l.  Each document chooses its own l
 by the estimated cost of its candidates (a longer prefix reads more postings but asks for more
-matches before a pair is verified); a pair must share min(l) prefix n-grams.  No link is lost.
+matches before a pair is verified).  Of a pair, let s be the one whose prefix ends first in the global
+order: beyond that end it has n_s - p_s n-grams, so a linked pair must share at least the n-grams it
+needs in all, less those, within the prefixes: one more for each step that the prefix grew.  That
+count is asked for before verification.  No link is lost.
 
 Copies: equal sets are one class and are joined once.  Large groups of near copies: before pairs are
 made, each member of a crowded posting list is verified against a few fixed leaders of that list; what
-is linked so is one component, and pairs are made between different components only, so a group of m
-near copies doesn't make m * m pairs.  Components are the same as with all links.
+is linked so is one component, and pairs are made between different components only; of those, the most promising
+of each document is verified first, and the rest where it still joins two components.  So a group of m
+near copies doesn't verify m * m pairs.  Components are the same as with all links.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component;
 a text of fewer than n words is one n-gram; equal rows share a class; a null id never becomes a
@@ -44,20 +48,7 @@ class Params:
     slices: int = 256  # the sketch is summed in so many parts
     crowded: int = 24  # posting lists longer than this get leaders
     leaders: int = 12  # of each crowded list
-    rounds: int = 2
-
-
-class _Words(dict):
-    """Hash of each word, kept for the words seen last."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
+    rounds: int = 1  # of leaders, and then of best candidates
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,17 +57,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Hashes of the word n-grams of a text, in order, repeats included."""
-    words = encode(text).lower().split()
-    if not words:
-        return np.empty(0, dtype=U)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=U, count=len(words))
-    m = min(n, len(h))
-    out = np.zeros(len(h) - m + 1, dtype=U)
-    for k in range(m):
-        out = out * P1 + h[k : k + len(out)]
-    return mix(out + U(m))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE, _BASE_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+_powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+GROUP_BYTES = 1 << 20  # texts are hashed together in groups of about so many bytes
+
+
+def _power_tables(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) < size:
+        for i, base in enumerate((_BASE, _BASE_INVERSE)):
+            factors = np.full(size, base, dtype=U)
+            factors[0] = 1
+            _powers[i] = np.cumprod(factors)
+    return _powers
+
+
+def _group_shingles(blobs: list[bytes], n: int) -> list[np.ndarray]:
+    """Words are found and hashed by array operations over all bytes of a group of texts."""
+    data = np.frombuffer(b"\n".join([*blobs, b""]), dtype=np.uint8)
+    up, down = _power_tables(len(data))
+    space = np.concatenate([[True], _IS_SPACE[data]])
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    sums = np.zeros(len(data) + 1, dtype=U)
+    np.cumsum(_LOWER[data].astype(U) * up[: len(data)], out=sums[1:])
+    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * P1)
+    first = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in blobs])).tolist()
+    windows = np.zeros(max(0, len(h) - n + 1), dtype=U)
+    for k in range(n):
+        windows = windows * P1 + h[k : k + len(windows)]
+    windows = mix(windows + U(n))
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if 0 < b - a < n:
+            whole = np.zeros(1, dtype=U)
+            for x in h[a:b]:
+                whole = whole * P1 + x
+            out.append(mix(whole + U(b - a)))
+        else:
+            out.append(windows[a : max(a, b - n + 1)])
+    return out
+
+
+def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """For each text, hashes of its word n-grams, in order, repeats included."""
+    blobs, size = [], 0
+    for text in texts:
+        blobs.append(encode(text))
+        size += len(blobs[-1])
+        if size >= GROUP_BYTES:
+            yield from _group_shingles(blobs, n)
+            blobs, size = [], 0
+    if blobs:
+        yield from _group_shingles(blobs, n)
 
 
 def needed(size, percent: int):
@@ -98,9 +134,9 @@ def sketch(docs: DataFrame, p: Params) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, size = np.zeros(1 << bits, dtype=np.int64), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, p.n) >> U(64 - bits))
-                size += len(held[-1])
+            for x in shingles(batch.column(0).to_pylist(), p.n):
+                held.append(x >> U(64 - bits))
+                size += len(x)
                 if size > 2_000_000:
                     total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
                     held, size = [], 0
@@ -133,14 +169,17 @@ def sketch(docs: DataFrame, p: Params) -> bytes:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """Of rows (id, text): id, text_key, digest (null without words), n, prefix (the longest that any l asks for)."""
+    """Of rows (id, text): id, text_key, digest (null without words), n, prefix (the longest that any l asks for).
+
+    A prefix token is the level of an n-gram before the upper bits of its hash: its number is the global order.
+    """
     levels = docs.sparkSession.sparkContext.broadcast(sketch(docs, p))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         level = np.frombuffer(levels.value, dtype=np.uint8)
         digest, size, prefix = [], [], []
-        for text in batch.column(2).to_pylist():
-            s = np.unique(shingles(text, p.n))
+        for s in shingles(batch.column(2).to_pylist(), p.n):
+            s = np.unique(s)
             n = len(s)
             size.append(n)
             if not n:
@@ -148,12 +187,9 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 prefix.append(None)
                 continue
             digest.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-            a = needed(n, p.percent)
-            k = min(n, n - a + p.max_match)
-            where = level[(s >> U(64 - p.sketch_bits)).astype(np.int64)]
-            if where[:k].any():
-                s = s[np.argsort(where, kind="stable")]
-            prefix.append(s[:k].view(np.int64))
+            tokens = level[(s >> U(64 - p.sketch_bits)).astype(np.int64)].astype(np.int64) << 57 | (s >> U(7)).astype(np.int64)
+            tokens.sort()
+            prefix.append(tokens[: min(n, n - needed(n, p.percent) + p.max_match)])
         cols = [batch.column(0), batch.column(1), pa.array(digest, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(cols, names=["id", "text_key", "digest", "n", "prefix"])
 
@@ -166,7 +202,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
     """(digest, items) of the classes whose text_key is wanted: their texts alone are cut again."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingles(t, p.n)) for t in batch.column(0).to_pylist()]
+        sets = [np.unique(s) for s in shingles(batch.column(0).to_pylist(), p.n)]
         digest = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "items"])
 
@@ -216,24 +252,28 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def chosen(rows: DataFrame, p: Params) -> DataFrame:
-    """(digest, l): the number of matches that makes a document's candidates cheapest.
+def chosen(rows: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """(digest, size, last): length and last token of the prefix that makes a document's candidates cheapest.
 
     With l, its postings hold c(l) other documents; at most c(l) / l of them reach l matches, and each
     of those costs a verification of about n steps.
     """
-    base = F.col("n") - needed(F.col("n"), p.percent)
+    base, most = F.col("n") - needed(F.col("n"), p.percent), needed(F.col("n"), p.percent)
     sums = [F.sum(F.when(F.col("pos") < base + l, F.col("df") - 1).otherwise(0)).alias(f"c{l}") for l in range(1, p.max_match + 1)]
     cost = [F.struct((F.col(f"c{l}") + F.col(f"c{l}") * F.col("n") / l).alias("cost"), F.lit(l).alias("l")) for l in range(1, p.max_match + 1)]
-    most = needed(F.col("n"), p.percent)
     best = F.array_min(F.filter(F.array(*cost), lambda c: c["l"] <= F.greatest(most, F.lit(1))))
-    return rows.groupBy("digest").agg(F.first("n").alias("n"), *sums).select("digest", best["l"].alias("l"))
+    lengths = rows.groupBy("digest").agg(F.first("n").alias("n"), *sums).select("digest", (base + best["l"]).cast("int").alias("size"))
+    return lengths.join(classes.select("digest", "prefix"), "digest").select("digest", "size", F.element_at("prefix", F.col("size")).alias("last"))
+
+
+def distinct_sets(sigs: DataFrame) -> DataFrame:
+    """(digest, n, prefix) of each class."""
+    return sigs.filter("digest is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
 def posting_rows(sigs: DataFrame) -> DataFrame:
     """(token, pos, digest, n, df) of prefix n-grams that more than one class has."""
-    classes = sigs.filter("digest is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = classes.select("digest", "n", F.posexplode("prefix").alias("pos", "token"))
+    rows = distinct_sets(sigs).select("digest", "n", F.posexplode("prefix").alias("pos", "token"))
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     return rows.join(df, "token")
 
@@ -243,10 +283,20 @@ def long_enough(x: str, y: str, p: Params):
     return (F.col(x) * 100 >= F.col(y) * p.percent) & (F.col(y) * 100 >= F.col(x) * p.percent)
 
 
-def leader_pairs(rows: DataFrame, labels: DataFrame, p: Params, round_: int) -> DataFrame:
-    """Pairs (a, b) of the members of crowded posting lists with a few leaders each: a fixed number for a member."""
+def least_shared(p: Params) -> Column:
+    """Prefix n-grams that a linked pair of n_x, size_x, last_x and n_y, size_y, last_y must share."""
+    both = F.ceil((F.col("n_x") + F.col("n_y")) * p.percent / F.lit(100.0 + p.percent))
+    left = F.when(F.col("last_x") <= F.col("last_y"), F.col("n_x") - F.col("size_x")).otherwise(F.col("n_y") - F.col("size_y"))
+    return F.greatest(both - left, F.lit(1))
+
+
+def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Params, round_: int) -> DataFrame:
+    """Pairs (a, b) of the members of crowded posting lists with a few leaders each: a fixed number for a member.
+
+    A member goes to the first crowded list in the global order, which few but its near copies share.
+    """
     crowd = rows.filter(F.col("df") > p.crowded)
-    mine = crowd.groupBy("digest").agg(F.max(F.struct("df", "token")).alias("t"), F.first("n").alias("n")).select("digest", "n", F.col("t.token").alias("token"))
+    mine = crowd.groupBy("digest").agg(F.min("token").alias("token"), F.first("n").alias("n"))
     if round_:
         mine = mine.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     else:
@@ -255,27 +305,38 @@ def leader_pairs(rows: DataFrame, labels: DataFrame, p: Params, round_: int) ->
     heads = mine.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("digest", "n", "label")).alias("h"))
     heads = heads.select("token", F.col("h.digest").alias("b"), F.col("h.n").alias("n_b"), F.col("h.label").alias("label_b"))
     pairs = mine.join(heads, "token").filter((F.col("digest") != F.col("b")) & (F.col("label") != F.col("label_b")) & long_enough("n", "n_b", p))
-    return pairs.select(F.col("digest").alias("a"), "b").distinct()
+    pairs = pairs.select(F.col("digest").alias("a"), "b")
+    x = classes.select(F.col("digest").alias("a"), F.col("n").alias("n_x"), F.col("prefix").alias("prefix_x"))
+    y = classes.select(F.col("digest").alias("b"), F.col("n").alias("n_y"), F.col("prefix").alias("prefix_y"))
+    met = pairs.join(x, "a").join(y, "b").withColumns({
+        "size_x": F.size("prefix_x"), "last_x": F.element_at("prefix_x", -1), "size_y": F.size("prefix_y"), "last_y": F.element_at("prefix_y", -1),
+    })
+    return met.filter(F.size(F.array_intersect("prefix_x", "prefix_y")) >= least_shared(p)).select("a", "b")
 
 
 def candidate_pairs(index: DataFrame, p: Params) -> DataFrame:
-    """(a, b) of different components that share enough prefix n-grams.  index: token, pos, digest, n, l, label.
+    """(a, b) of different components that share enough prefix n-grams.  index: token, digest, n, size, last, label.
 
     Rows of a list's largest component meet only the others' rows; lists of one component go at once.
     """
     per = index.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
     live = index.join(top, "token")
-    cols = ["digest", "pos", "n", "l", "label"]
+    cols = ["digest", "n", "size", "last", "label"]
     x = live.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in cols))
     y = live.select("token", F.col("main"), *(F.col(c).alias(f"{c}_y") for c in cols))
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * p.percent / F.lit(100.0 + p.percent))
-    most = F.least("pos_x", "pos_y") + 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
     # Two rows outside the main component meet twice; the smaller digest comes first.
     once = (F.col("label_y") == F.col("main")) | (F.col("digest_x") < F.col("digest_y"))
-    met = x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & (most >= need))
+    met = x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p))
     pair = F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")
-    return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.max(F.least("l_x", "l_y")).alias("l")).filter("c >= l").select("a", "b")
+    return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.first(least_shared(p)).alias("least")).filter("c >= least").select("a", "b", (F.col("c") / F.col("least")).alias("promise"))
+
+
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components."""
+    for x in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left").withColumn(f"{x}_root", F.coalesce(f"{x}_root", x))
+    return pairs.filter("a_root <> b_root").drop("a_root", "b_root")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
@@ -295,16 +356,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
         return written(verified(pairs, sets, p), "links")
 
     for i in range(p.rounds):
-        new = check(leader_pairs(posts, labels, p, i))
+        new = check(leader_pairs(posts, distinct_sets(sigs), labels, p, i))
         if new.isEmpty():
             break
         edges = edges.unionByName(new)
         labels = components(edges)
-    lengths = chosen(posts, p)
-    base = F.col("n") - needed(F.col("n"), p.percent)
-    index = posts.join(lengths, "digest").filter(F.col("pos") < base + F.col("l"))
+    lengths = chosen(posts, distinct_sets(sigs), p)
+    index = posts.join(lengths, "digest").filter("pos < size").drop("pos", "df")
     index = index.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    edges = edges.unionByName(check(candidate_pairs(written(index, "index"), p)))
+    pairs = written(candidate_pairs(written(index, "index"), p), "candidates")
+    for _ in range(p.rounds):
+        best = pairs.groupBy("a").agg(F.max(F.struct("promise", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        edges = edges.unionByName(check(best))
+        labels = components(edges)
+        pairs = between(pairs, labels)
+    edges = edges.unionByName(check(pairs.select("a", "b")))
     labels = components(edges).withColumnRenamed("node", "digest")
     classes = sigs.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
     named = classes.join(labels, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
