@@ -294,15 +294,16 @@ def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Para
     """Pairs (a, b) of the members of crowded posting lists with a few leaders each: a fixed number for a member.
 
     A member goes to the first crowded list in the global order, which few but its near copies share.
+    Leaders are the members whose n-grams are the most common: the least edited of a group of near copies.
     """
-    crowd = rows.filter(F.col("df") > p.crowded)
-    mine = crowd.groupBy("digest").agg(F.min("token").alias("token"), F.first("n").alias("n"))
+    crowded = F.when(F.col("df") > p.crowded, F.col("token"))
+    mine = rows.groupBy("digest").agg(F.min(crowded).alias("token"), F.first("n").alias("n"), (F.sum("df") / F.first("n")).alias("score")).filter("token is not null")
     if round_:
         mine = mine.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     else:
         mine = mine.withColumn("label", F.col("digest"))
     salt = F.pmod(F.xxhash64("digest", F.lit(round_)), F.lit(p.leaders))
-    heads = mine.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("digest", "n", "label")).alias("h"))
+    heads = mine.groupBy("token", salt.alias("salt")).agg(F.max(F.struct("score", "digest", "n", "label")).alias("h"))
     heads = heads.select("token", F.col("h.digest").alias("b"), F.col("h.n").alias("n_b"), F.col("h.label").alias("label_b"))
     pairs = mine.join(heads, "token").filter((F.col("digest") != F.col("b")) & (F.col("label") != F.col("label_b")) & long_enough("n", "n_b", p))
     pairs = pairs.select(F.col("digest").alias("a"), "b")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcorpus.llm import line_dedup, ngram_join, packing, quality_rules
+from loomcorpus.llm import ann, licenses, line_dedup, ngram_join, packing, quality_rules, substring_dedup, warc
 from loomcorpus.llm.common import table
 
 
@@ -16,12 +16,18 @@ def _over(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": _over("documents", ngram_join.op1_ngram_join),
+    "op2_substring_dedup": _over("documents", substring_dedup.op2_substring_dedup),
     "op3_packing": _over("documents", packing.op3_packing),
+    "op4_collision_search": _over("embeddings", ann.op4_collision_search),
     "op5_quality_rules": _over("documents", quality_rules.op5_quality_rules),
     "op6_line_dedup": _over("documents", line_dedup.op6_line_dedup),
+    "op7_warc_assembly": _over("pages", warc.op7_warc_assembly),
+    "op8_license_scan": _over("documents", licenses.op8_license_scan),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op7_warc_assembly": warc.OP7_SQL,
+    "op8_license_scan": licenses.OP8_SQL,
 }
