@@ -30,11 +30,12 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Params:
     k: int = 10
-    lines: int = 128
+    lines: int = 64
     threshold: float = 0.6  # share of the windows
+    start: float = 0.5  # half of the first window, in standard deviations of a block's projections
     widen: float = 1.2
     margin: float = 2.0
-    block_rows: int = 4096
+    block_rows: int = 4096  # under 65536: places are kept in 16 bits
     query_group: int = 4096  # queries broadcast at once: 2 MB with 64 components
     seed: int = 11
 
@@ -52,38 +53,44 @@ def enough(distance: float, half: float, p: Params) -> bool:
 
 
 class Block:
-    """The sorted projections of one block of vectors."""
+    """The sorted projections of one block of vectors: of each line the values in order, and each vector's place."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lines: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        values = vectors @ lines
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.values = np.take_along_axis(values, self.order, axis=0)
+        values = np.ascontiguousarray((vectors @ lines).T)
+        order = np.argsort(values, axis=1, kind="stable")
+        self.values = np.take_along_axis(values, order, axis=1)
+        self.place = np.empty(order.shape, dtype=np.uint16)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
         self.spread = float(values.std()) or 1.0
 
-    def search(self, query_id: int, query: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, int]:
-        """(distances, ids) of the k nearest found, and how many vectors were verified."""
-        n, lines = len(self.ids), range(p.lines)
-        counts, known = np.zeros(n, dtype=np.int64), self.ids == query_id
-        low = np.array([np.searchsorted(self.values[:, j], at[j]) for j in lines])
-        high, half = low.copy(), 0.2 * self.spread
-        best_d, best_i, verified = np.empty(0), np.empty(0, dtype=np.int64), 0
-        while True:
-            wider_low = np.array([np.searchsorted(self.values[:, j], at[j] - half) for j in lines])
-            wider_high = np.array([np.searchsorted(self.values[:, j], at[j] + half, side="right") for j in lines])
-            new = [self.order[a:b, j] for j in lines for a, b in ((min(wider_low[j], low[j]), low[j]), (high[j], max(wider_high[j], high[j]))) if a < b]
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=n)
-            low, high = np.minimum(low, wider_low), np.maximum(high, wider_high)
-            found = np.flatnonzero((counts >= p.threshold * p.lines) & ~known)
-            if len(found):
-                known[found] = True
-                verified += len(found)
-                d = np.sqrt(((self.vectors[found] - query) ** 2).sum(axis=1))
-                best_d, best_i = nearest(np.append(best_d, d), np.append(best_i, self.ids[found]), p.k)
-            if known.all() or (len(best_d) == p.k and enough(best_d[-1], half, p)):
-                return best_d, best_i, verified
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """For queries with these projections, first place and length of the window on each line."""
+        low = np.stack([np.searchsorted(v, at[:, j] - half) for j, v in enumerate(self.values)], axis=1)
+        high = np.stack([np.searchsorted(v, at[:, j] + half, side="right") for j, v in enumerate(self.values)], axis=1)
+        return low.astype(np.uint16), (high - low).astype(np.uint16)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, at: np.ndarray, p: Params) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """For each query (distances, ids) of the k nearest found; and how many vectors were verified in all."""
+        known = {i: self.ids == q for i, q in enumerate(query_ids.tolist())}
+        best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in known]
+        least, half, verified = p.threshold * p.lines, p.start * self.spread, 0
+        while known:
+            open_ = list(known)
+            low, size = self.windows(at[open_], half)
+            for row, i in enumerate(open_):
+                inside = (self.place - low[row][:, None]) < size[row][:, None]  # below the window the difference wraps round
+                counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16)
+                found = np.flatnonzero((counts >= least) & ~known[i])
+                if len(found):
+                    known[i][found] = True
+                    verified += len(found)
+                    d = np.sqrt(((self.vectors[found] - queries[i]) ** 2).sum(axis=1))
+                    best[i] = nearest(np.append(best[i][0], d), np.append(best[i][1], self.ids[found]), p.k)
+                if known[i].all() or (len(best[i][0]) == p.k and enough(best[i][0][-1], half, p)):
+                    del known[i]
             half *= p.widen
+        return best, verified
 
 
 def nearest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +136,7 @@ def _searcher(sent, dim: int, p: Params):
             ids = np.concatenate([b.column(0).to_numpy() for b in parts])
             vectors = np.concatenate([b.column(1).flatten().to_numpy().reshape(-1, dim) for b in parts])
             block = Block(ids, vectors, lines)
-            for i, q in enumerate(query_ids.tolist()):
-                d, who, _ = block.search(q, queries[i], at[i], p)
+            for i, (d, who) in enumerate(block.search(query_ids, queries, at, p)[0]):
                 best[i] = nearest(np.append(best[i][0], d), np.append(best[i][1], who), p.k)
 
         held, size = [], 0

@@ -5,10 +5,10 @@ bucket in a sketch of the corpus is crowded come last.  With threshold t, a set
 a = ceil(t n) common n-grams with any partner, so two partners share an n-gram among their first
 n - a + 1.  Lengthened by l - 1, two such prefixes share at least l.  Each document chooses its own l
 by the estimated cost of its candidates (a longer prefix reads more postings but asks for more
-matches before a pair is verified).  Of a pair, let s be the one whose prefix ends first in the global
-order: beyond that end it has n_s - p_s n-grams, so a linked pair must share at least the n-grams it
-needs in all, less those, within the prefixes: one more for each step that the prefix grew.  That
-count is asked for before verification.  No link is lost.
+matches before a pair is verified).  A pair that needs c common n-grams shares l = min(l_x, l_y) of
+them at places below n - c + l of both; that many are asked for, at those places.  What is left
+is held against the whole prefixes: if s is the one whose prefix ends first in the global order, beyond
+that end it has n_s - p_s n-grams, so c less those must be shared within.  No link is lost.
 
 Copies: equal sets are one class and are joined once.  Large groups of near copies: before pairs are
 made, each member of a crowded posting list is verified against a few fixed leaders of that list; what
@@ -252,8 +252,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def chosen(rows: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
-    """(digest, size, last): length and last token of the prefix that makes a document's candidates cheapest.
+def chosen(rows: DataFrame, p: Params) -> DataFrame:
+    """(digest, l): the number of matches that makes a document's candidates cheapest.
 
     With l, its postings hold c(l) other documents; at most c(l) / l of them reach l matches, and each
     of those costs a verification of about n steps.
@@ -262,8 +262,7 @@ def chosen(rows: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
     sums = [F.sum(F.when(F.col("pos") < base + l, F.col("df") - 1).otherwise(0)).alias(f"c{l}") for l in range(1, p.max_match + 1)]
     cost = [F.struct((F.col(f"c{l}") + F.col(f"c{l}") * F.col("n") / l).alias("cost"), F.lit(l).alias("l")) for l in range(1, p.max_match + 1)]
     best = F.array_min(F.filter(F.array(*cost), lambda c: c["l"] <= F.greatest(most, F.lit(1))))
-    lengths = rows.groupBy("digest").agg(F.first("n").alias("n"), *sums).select("digest", (base + best["l"]).cast("int").alias("size"))
-    return lengths.join(classes.select("digest", "prefix"), "digest").select("digest", "size", F.element_at("prefix", F.col("size")).alias("last"))
+    return rows.groupBy("digest").agg(F.first("n").alias("n"), *sums).select("digest", best["l"].alias("l"))
 
 
 def distinct_sets(sigs: DataFrame) -> DataFrame:
@@ -283,11 +282,21 @@ def long_enough(x: str, y: str, p: Params):
     return (F.col(x) * 100 >= F.col(y) * p.percent) & (F.col(y) * 100 >= F.col(x) * p.percent)
 
 
-def least_shared(p: Params) -> Column:
-    """Prefix n-grams that a linked pair of n_x, size_x, last_x and n_y, size_y, last_y must share."""
-    both = F.ceil((F.col("n_x") + F.col("n_y")) * p.percent / F.lit(100.0 + p.percent))
-    left = F.when(F.col("last_x") <= F.col("last_y"), F.col("n_x") - F.col("size_x")).otherwise(F.col("n_y") - F.col("size_y"))
-    return F.greatest(both - left, F.lit(1))
+def common(p: Params) -> Column:
+    """N-grams that a linked pair of n_x and n_y has in common at least."""
+    return F.ceil((F.col("n_x") + F.col("n_y")) * p.percent / F.lit(100.0 + p.percent))
+
+
+def by_prefixes(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) that share enough of their whole prefixes, and how far they exceed that: promise."""
+    x = classes.select(F.col("digest").alias("a"), F.col("n").alias("n_x"), F.col("prefix").alias("prefix_x"))
+    y = classes.select(F.col("digest").alias("b"), F.col("n").alias("n_y"), F.col("prefix").alias("prefix_y"))
+    met = pairs.select("a", "b").join(x, "a").join(y, "b")
+    x_first = F.element_at("prefix_x", -1) <= F.element_at("prefix_y", -1)
+    left = F.when(x_first, F.col("n_x") - F.size("prefix_x")).otherwise(F.col("n_y") - F.size("prefix_y"))
+    least = F.greatest(common(p) - left, F.lit(1))
+    shared = F.size(F.array_intersect("prefix_x", "prefix_y"))
+    return met.select("a", "b", (shared / least).alias("promise")).filter("promise >= 1")
 
 
 def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Params, round_: int) -> DataFrame:
@@ -307,30 +316,27 @@ def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Para
     heads = heads.select("token", F.col("h.digest").alias("b"), F.col("h.n").alias("n_b"), F.col("h.label").alias("label_b"))
     pairs = mine.join(heads, "token").filter((F.col("digest") != F.col("b")) & (F.col("label") != F.col("label_b")) & long_enough("n", "n_b", p))
     pairs = pairs.select(F.col("digest").alias("a"), "b")
-    x = classes.select(F.col("digest").alias("a"), F.col("n").alias("n_x"), F.col("prefix").alias("prefix_x"))
-    y = classes.select(F.col("digest").alias("b"), F.col("n").alias("n_y"), F.col("prefix").alias("prefix_y"))
-    met = pairs.join(x, "a").join(y, "b").withColumns({
-        "size_x": F.size("prefix_x"), "last_x": F.element_at("prefix_x", -1), "size_y": F.size("prefix_y"), "last_y": F.element_at("prefix_y", -1),
-    })
-    return met.filter(F.size(F.array_intersect("prefix_x", "prefix_y")) >= least_shared(p)).select("a", "b")
+    return by_prefixes(pairs, classes, p).select("a", "b")
 
 
 def candidate_pairs(index: DataFrame, p: Params) -> DataFrame:
-    """(a, b) of different components that share enough prefix n-grams.  index: token, digest, n, size, last, label.
+    """(a, b) of different components that share l prefix n-grams.  index: token, pos, digest, n, l, label.
 
     Rows of a list's largest component meet only the others' rows; lists of one component go at once.
     """
     per = index.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
     live = index.join(top, "token")
-    cols = ["digest", "n", "size", "last", "label"]
+    cols = ["digest", "pos", "n", "l", "label"]
     x = live.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in cols))
     y = live.select("token", F.col("main"), *(F.col(c).alias(f"{c}_y") for c in cols))
     # Two rows outside the main component meet twice; the smaller digest comes first.
     once = (F.col("label_y") == F.col("main")) | (F.col("digest_x") < F.col("digest_y"))
-    met = x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p))
+    l = F.least("l_x", "l_y")
+    near = (F.col("pos_x") < F.col("n_x") - common(p) + l) & (F.col("pos_y") < F.col("n_y") - common(p) + l)
+    met = x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near)
     pair = F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")
-    return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.first(least_shared(p)).alias("least")).filter("c >= least").select("a", "b", (F.col("c") / F.col("least")).alias("promise"))
+    return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.first(l).alias("l")).filter("c >= l").select("a", "b")
 
 
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -362,10 +368,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
             break
         edges = edges.unionByName(new)
         labels = components(edges)
-    lengths = chosen(posts, distinct_sets(sigs), p)
-    index = posts.join(lengths, "digest").filter("pos < size").drop("pos", "df")
+    base = F.col("n") - needed(F.col("n"), p.percent)
+    index = posts.join(chosen(posts, p), "digest").filter(F.col("pos") < base + F.col("l")).drop("df")
     index = index.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    pairs = written(candidate_pairs(written(index, "index"), p), "candidates")
+    pairs = written(by_prefixes(candidate_pairs(written(index, "index"), p), distinct_sets(sigs), p), "candidates")
     for _ in range(p.rounds):
         best = pairs.groupBy("a").agg(F.max(F.struct("promise", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         edges = edges.unionByName(check(best))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcorpus.llm import ann, licenses, line_dedup, ngram_join, packing, quality_rules, substring_dedup, warc
+from loomcorpus.llm import ann, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity, warc
 from loomcorpus.llm.common import table
 
 
@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": _over("documents", line_dedup.op6_line_dedup),
     "op7_warc_assembly": _over("pages", warc.op7_warc_assembly),
     "op8_license_scan": _over("documents", licenses.op8_license_scan),
+    "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
 ORACLE_SQL: dict[str, str] = {
