@@ -144,6 +144,7 @@ class Mixture:
     steps: list[list[float]]
     targets: list[float]
     reached: list[float]
+    rows: DataFrame  # doc_id, __tokens, __p0, ..., __draw of the documents, a written table
 
 
 def fit(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> Mixture:
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> Mixt
     p, k = params, len(DOMAINS)
     classifier = fit_classifier(docs, labelled, p)
     post = [f"__p{d}" for d in range(k)]
-    rows = written(classifier.with_posterior(with_features(docs.select("text"), p)).select("__tokens", *post).filter("__tokens > 0"), "posteriors")
+    rows = written(classifier.with_posterior(with_features(docs.select("doc_id", "text"), p)).select("doc_id", "__tokens", *post, draw("doc_id", "text").alias("__draw")), "posteriors")
 
     def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         r = rows.withColumn("r", rate(steps))
@@ -172,14 +173,22 @@ def fit(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> Mixt
             break
         steps.append((np.linalg.pinv(gram) @ miss).tolist())
         mass, gram = sums(steps)
-    return Mixture(classifier, steps, targets.tolist(), mass.tolist())
+    return Mixture(classifier, steps, targets.tolist(), mass.tolist(), rows)
+
+
+def draw(id_col: str, text_col: str) -> Column:
+    """A number in [0, 1) that follows from id and text."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_003)) / 1_000_003.0
+
+
+def copies() -> Column:
+    return F.floor(F.col("__rate") + F.col("__draw")).cast("int")
 
 
 def rated(docs: DataFrame, mixture: Mixture, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with __tokens, __p0, ... (posterior), __rate and __copies: the rate, rounded by a number drawn from id and text."""
     rows = mixture.classifier.with_posterior(with_features(docs, params, text_col)).withColumn("__rate", rate(mixture.steps))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_003)) / 1_000_003.0
-    return rows.withColumn("__copies", F.floor(F.col("__rate") + draw).cast("int")).drop("__terms", "__cell")
+    return rows.withColumn("__draw", draw(id_col, text_col)).withColumn("__copies", copies()).drop("__terms", "__cell", "__draw")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> DataFrame:
@@ -190,6 +199,7 @@ def mix(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> Data
 
 def op10_mixing(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row per document: its posteriors, rate and copies."""
-    rows = rated(docs.select("doc_id", "text"), fit(docs, labelled))
+    mixture = fit(docs, labelled)
+    rows = mixture.rows.withColumn("__rate", rate(mixture.steps)).withColumn("__copies", copies())
     post = [F.col(f"__p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return rows.select("doc_id", F.col("__tokens").alias("tokens"), *post, F.col("__rate").alias("rate"), F.col("__copies").cast("long").alias("copies"))

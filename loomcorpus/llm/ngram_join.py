@@ -302,11 +302,14 @@ def by_prefixes(pairs: DataFrame, classes: DataFrame, p: Params) -> DataFrame:
 def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Params, round_: int) -> DataFrame:
     """Pairs (a, b) of the members of crowded posting lists with a few leaders each: a fixed number for a member.
 
-    A member goes to the first crowded list in the global order, which few but its near copies share.
+    A member goes to the first crowded list in the global order, which few but its near copies share,
+    and to its longest list.
     Leaders are the members whose n-grams are the most common: the least edited of a group of near copies.
     """
     crowded = F.when(F.col("df") > p.crowded, F.col("token"))
-    mine = rows.groupBy("digest").agg(F.min(crowded).alias("token"), F.first("n").alias("n"), (F.sum("df") / F.first("n")).alias("score")).filter("token is not null")
+    lists = F.array_distinct(F.array(F.min(crowded), F.max(F.struct("df", "token"))["token"]))
+    mine = rows.groupBy("digest").agg(F.count(crowded).alias("k"), lists.alias("lists"), F.first("n").alias("n"), (F.sum("df") / F.first("n")).alias("score"))
+    mine = mine.filter("k > 0").select("digest", "n", "score", F.explode("lists").alias("token"))
     if round_:
         mine = mine.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     else:
@@ -315,7 +318,7 @@ def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Para
     heads = mine.groupBy("token", salt.alias("salt")).agg(F.max(F.struct("score", "digest", "n", "label")).alias("h"))
     heads = heads.select("token", F.col("h.digest").alias("b"), F.col("h.n").alias("n_b"), F.col("h.label").alias("label_b"))
     pairs = mine.join(heads, "token").filter((F.col("digest") != F.col("b")) & (F.col("label") != F.col("label_b")) & long_enough("n", "n_b", p))
-    pairs = pairs.select(F.col("digest").alias("a"), "b")
+    pairs = pairs.select(F.col("digest").alias("a"), "b").distinct()
     return by_prefixes(pairs, classes, p).select("a", "b")
 
 
@@ -334,7 +337,9 @@ def candidate_pairs(index: DataFrame, p: Params) -> DataFrame:
     once = (F.col("label_y") == F.col("main")) | (F.col("digest_x") < F.col("digest_y"))
     l = F.least("l_x", "l_y")
     near = (F.col("pos_x") < F.col("n_x") - common(p) + l) & (F.col("pos_y") < F.col("n_y") - common(p) + l)
-    met = x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near)
+    # What both have before this n-gram, the n-gram, and what both have behind it.
+    most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    met = x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near & (most >= common(p)))
     pair = F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")
     return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.first(l).alias("l")).filter("c >= l").select("a", "b")
 
