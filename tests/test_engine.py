@@ -42,7 +42,7 @@ def test_rst_sections():
     text = "lost\n\nTitle\n=====\nintro :ref:`Here <x>` and :py:func:`name`\n\n.. note::\n   gone\n  stays\n\n.. _label:\n\nSub\n---\nbody |a\nb| `link`_ <http://x.y>\n\n====\nOver\n====\n\nSub\n---\nagain\nShort head\n-----\n"
     got = list(rst.sections(text, "file"))
     assert [h for h, _ in got] == [["Title"], ["Title", "Sub"], ["Over", "Sub"]]
-    assert got[0][1] == "intro Here and name\n\n  stays" and got[1][1] == "body  link"
+    assert got[0][1] == "intro Here  and name\n\n  stays" and got[1][1] == "body  link"
     assert list(rst.sections("plain text", "stem")) == [(["stem"], "plain text")] and list(rst.sections("", "stem")) == []
     assert rst.rule_char("==") == "=" and rst.rule_char("=") == "" and rst.rule_char("::") == "" and rst.rule_char("=-") == ""
 
