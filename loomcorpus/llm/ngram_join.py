@@ -46,7 +46,7 @@ class Params:
     max_match: int = 4  # longest l
     sketch_bits: int = 22  # fixed size of the corpus sketch: 2 ** bits counters
     slices: int = 256  # the sketch is summed in so many parts
-    crowded: int = 24  # posting lists longer than this get leaders
+    crowded: int = 8  # posting lists longer than this get leaders
     leaders: int = 12  # of each crowded list
     rounds: int = 1  # of leaders, and then of best candidates
 
