@@ -82,7 +82,13 @@ def judge_json(raw: Column) -> Column:
     """The object between the first { and the last }, fences removed; null if none parses."""
     bare = stripped(F.regexp_replace(raw, r"```(?:json)?\s*", ""))
     body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.when(body != "", F.try_parse_json(body)), F.try_parse_json(bare))
+    return F.coalesce(F.when(body != "", _alone(body)), F.when(bare != "", _alone(bare)))
+
+
+def _alone(text: Column) -> Column:
+    """The one JSON value of a text; null if more follows, which the parser alone would pass over."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def judge_error(raw: Column) -> Column:
@@ -98,5 +104,5 @@ def faith_score(value: Column) -> Column:
 
 def parse_ranks(text: Column, ids: Column) -> Column:
     """Ids at the ranks of "1,3"; anything but digits and ranks out of bounds are passed over, repeats stay."""
-    ranks = F.transform(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x.rlike(r"^\d+$")), lambda x: x.try_cast("int"))
+    ranks = F.transform(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+$")), lambda x: x.try_cast("int"))
     return F.transform(F.filter(ranks, lambda r: (r >= 1) & (r <= F.size(ids))), lambda r: F.get(ids, r - 1))

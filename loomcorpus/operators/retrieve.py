@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_GROUP = 2048  # queries broadcast at once
 
@@ -36,12 +37,12 @@ def topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_
         if own:
             q = np.array([r["v"] for r in own])
             sent = spark.sparkContext.broadcast(([r["q"] for r in own], q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-            found = found.unionByName(base.mapInArrow(_ranker(sent, k), schema))
+            found = found.unionByName(base.mapInArrow(_ranker(sent, k, to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(index.schema[id_col].dataType)), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
 
 
-def _ranker(sent, k: int):
+def _ranker(sent, k: int, query_type: pa.DataType, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = sent.value
         best: list[list] = [[] for _ in names]
@@ -57,7 +58,7 @@ def _ranker(sent, k: int):
                 best[i] = sorted(best[i] + near)[:k]
         for name, rows in zip(names, best, strict=True):
             if rows:
-                yield pa.RecordBatch.from_pydict({"query_id": [name] * len(rows), "score": [-float(s) for s, _ in rows], "id": [x for _, x in rows]})
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), query_type), pa.array([-float(s) for s, _ in rows]), pa.array([x for _, x in rows], id_type)], names=["query_id", "score", "id"])
 
     return run
 
