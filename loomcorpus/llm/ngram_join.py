@@ -10,6 +10,13 @@ them at places below n - c + l of both; that many are asked for, at those places
 is held against the whole prefixes: if s is the one whose prefix ends first in the global order, beyond
 that end it has n_s - p_s n-grams, so c less those must be shared within.  No link is lost.
 
+Outlines: in lists that many components share, a pair must also pass its sets' outlines.  Bit i of an
+outline says whether an odd number of the set's n-grams falls on i, so two outlines differ in no more
+bits than the sets have n-grams of their own, n_x + n_y - 2 c at most.  Families of texts that are alike but
+below the threshold go here, before they become rows.  And a row that has l common n-grams among the
+few before it in both prefixes isn't made: the pair has met l times by then.  Linked pairs pass at each of
+their first l, so no link is lost by this either.
+
 Copies: equal sets are one class and are joined once.  Large groups of near copies: before pairs are
 made, each member of a crowded posting list is verified against a few fixed leaders of that list; what
 is linked so is one component, and pairs are made between different components only; of those, the most promising
@@ -30,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcorpus.llm.common import arrow_map, encode, written
@@ -48,6 +55,8 @@ class Params:
     slices: int = 256  # the sketch is summed in so many parts
     crowded: int = 8  # posting lists longer than this get leaders
     leaders: int = 12  # of each crowded list
+    outline: int = 1024  # bits of a set's outline, a multiple of 64
+    before: int = 8  # n-grams of crowded lists that a row of such a list knows before it
     rounds: int = 1  # of leaders, and then of best candidates
 
 
@@ -169,7 +178,7 @@ def sketch(docs: DataFrame, p: Params) -> bytes:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """Of rows (id, text): id, text_key, digest (null without words), n, prefix (the longest that any l asks for).
+    """Of rows (id, text): id, text_key, digest (null without words), n, prefix (the longest that any l asks for), outline.
 
     A prefix token is the level of an n-gram before the upper bits of its hash: its number is the global order.
     """
@@ -177,7 +186,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         level = np.frombuffer(levels.value, dtype=np.uint8)
-        digest, size, prefix = [], [], []
+        digest, size, prefix, outline = [], [], [], []
         for s in shingles(batch.column(2).to_pylist(), p.n):
             s = np.unique(s)
             n = len(s)
@@ -185,17 +194,20 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
             if not n:
                 digest.append(None)
                 prefix.append(None)
+                outline.append(None)
                 continue
             digest.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
             tokens = level[(s >> U(64 - p.sketch_bits)).astype(np.int64)].astype(np.int64) << 57 | (s >> U(7)).astype(np.int64)
             tokens.sort()
             prefix.append(tokens[: min(n, n - needed(n, p.percent) + p.max_match)])
-        cols = [batch.column(0), batch.column(1), pa.array(digest, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["id", "text_key", "digest", "n", "prefix"])
+            odd = np.bincount((s % U(p.outline)).astype(np.int64), minlength=p.outline) & 1
+            outline.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        cols = [batch.column(0), batch.column(1), pa.array(digest, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(outline, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "text_key", "digest", "n", "prefix", "outline"])
 
     kind = docs.schema["id"].dataType.simpleString()
     keyed = docs.select("id", F.xxhash64("text").alias("text_key"), "text")
-    return arrow_map(keyed, fn, f"id {kind}, text_key long, digest long, n long, prefix array<long>")
+    return arrow_map(keyed, fn, f"id {kind}, text_key long, digest long, n long, prefix array<long>, outline array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
@@ -322,15 +334,27 @@ def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Para
     return by_prefixes(pairs, classes, p).select("a", "b")
 
 
-def candidate_pairs(index: DataFrame, p: Params) -> DataFrame:
-    """(a, b) of different components that share l prefix n-grams.  index: token, pos, digest, n, l, label.
+def outlines(sigs: DataFrame, p: Params) -> DataFrame:
+    """(digest, outline) of each class, as a struct of numbers: its bits are compared in generated code."""
+    words = F.struct(*(F.col("outline")[i].alias(f"w{i}") for i in range(p.outline // 64)))
+    return sigs.filter("digest is not null").groupBy("digest").agg(F.first("outline").alias("outline")).select("digest", words.alias("outline"))
+
+
+def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
+    """Rows in which two sets of different components meet at a token.  index: token, pos, digest, n, l, label.
 
     Rows of a list's largest component meet only the others' rows; lists of one component go at once.
+    shapes: (digest, outline), looked up for lists that more than p.crowded components share; their rows
+    also know the n-grams before them.
     """
     per = index.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
+    top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "k", F.col("m.label").alias("main"))
     live = index.join(top, "token")
-    cols = ["digest", "pos", "n", "l", "label"]
+    many = F.col("k") > p.crowded
+    w = Window.partitionBy("digest").orderBy("pos").rowsBetween(-p.before, -1)
+    crowd = live.filter(many).join(shapes, "digest").withColumn("before", F.collect_list("token").over(w))
+    live = crowd.unionByName(live.filter(~many), allowMissingColumns=True)
+    cols = ["digest", "pos", "n", "l", "label", "outline", "before"]
     x = live.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in cols))
     y = live.select("token", F.col("main"), *(F.col(c).alias(f"{c}_y") for c in cols))
     # Two rows outside the main component meet twice; the smaller digest comes first.
@@ -339,7 +363,15 @@ def candidate_pairs(index: DataFrame, p: Params) -> DataFrame:
     near = (F.col("pos_x") < F.col("n_x") - common(p) + l) & (F.col("pos_y") < F.col("n_y") - common(p) + l)
     # What both have before this n-gram, the n-gram, and what both have behind it.
     most = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    met = x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near & (most >= common(p)))
+    differ = sum(F.bit_count(F.col("outline_x")[f"w{i}"].bitwiseXOR(F.col("outline_y")[f"w{i}"])) for i in range(p.outline // 64))
+    alike = F.col("outline_x").isNull() | (differ <= F.col("n_x") + F.col("n_y") - 2 * common(p))
+    new = F.col("before_x").isNull() | (F.size(F.array_intersect("before_x", "before_y")) < l)
+    return x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near & (most >= common(p)) & alike & new)
+
+
+def candidate_pairs(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
+    """(a, b) of different components that share l prefix n-grams."""
+    met, l = meetings(index, shapes, p), F.least("l_x", "l_y")
     pair = F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")
     return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.first(l).alias("l")).filter("c >= l").select("a", "b")
 
@@ -376,7 +408,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     base = F.col("n") - needed(F.col("n"), p.percent)
     index = posts.join(chosen(posts, p), "digest").filter(F.col("pos") < base + F.col("l")).drop("df")
     index = index.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    pairs = written(by_prefixes(candidate_pairs(written(index, "index"), p), distinct_sets(sigs), p), "candidates")
+    pairs = written(by_prefixes(candidate_pairs(written(index, "index"), outlines(sigs, p), p), distinct_sets(sigs), p), "candidates")
     for _ in range(p.rounds):
         best = pairs.groupBy("a").agg(F.max(F.struct("promise", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         edges = edges.unionByName(check(best))

@@ -83,6 +83,23 @@ def test_ngram_components_match_brute_force(spark, corpus, params):
     assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("params", [ngram_join.Params(crowded=1, leaders=1), ngram_join.Params(n=5, percent=80, crowded=2, leaders=1, before=4)])
+def test_ngram_families_around_the_threshold(spark, params):
+    """Texts of one family, linked or just not: most lists are crowded, and leaders link few."""
+    rng = random.Random(11)
+    texts = []
+    for size in (60, 300, 2500):
+        base = words(rng, size)
+        for k in range(24):
+            w = list(base)
+            for _ in range(size * (k % 8) // 150):
+                w[rng.randrange(size)] = f"e{rng.randrange(99999)}"
+            texts.append(" ".join(w))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs_of(spark, texts), params=params).collect()}
+    assert got == dict(enumerate(brute_components(texts, params.n, params.percent)))
+    assert 3 < len({c for _, c in got.values()}) < len(texts)
+
+
 def test_ngram_null_and_repeated_ids(spark):
     docs = docs_of(spark, ["a b c d e", "a b c d e", "z"], [None, 7, 7])
     rows = [(r["doc_id"], r["component_id"]) for r in ngram_join.op1_ngram_join(docs).collect()]
