@@ -353,7 +353,8 @@ def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
     many = F.col("k") > p.crowded
     w = Window.partitionBy("digest").orderBy("pos").rowsBetween(-p.before, -1)
     crowd = live.filter(many).join(shapes, "digest").withColumn("before", F.collect_list("token").over(w))
-    live = crowd.unionByName(live.filter(~many), allowMissingColumns=True)
+    # Written: both sides of the join below read it, and the lookup runs once.
+    live = written(crowd, "crowd").unionByName(live.filter(~many), allowMissingColumns=True)
     cols = ["digest", "pos", "n", "l", "label", "outline", "before"]
     x = live.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in cols))
     y = live.select("token", F.col("main"), *(F.col(c).alias(f"{c}_y") for c in cols))
