@@ -42,7 +42,7 @@ class Params:
     terms: int = 600  # learned at most
     least_rows: int = 5  # toxic rows that hold a learned term, and at least this share of them:
     least_share: float = 0.008
-    purity: float = 0.9  # share of toxic rows among those that hold it, smoothed
+    purity: float = 0.7  # share of toxic rows among those that hold it, smoothed
     stems: tuple[int, ...] = (4, 5, 6)
     edits_from: int = 5  # shorter terms must match exactly
     window: int = 8  # words on either side

@@ -316,3 +316,29 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert len({c for _, c in want}) == len(kept)
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} <= set(kept) and all(r["length"] <= 1024 for r in rows)
+
+
+def test_clashing_columns_and_null_rows(spark):
+    """Columns named as the operators' own change nothing, and a row of nulls has its defined result."""
+    rng = random.Random(21)
+    base = " ".join(words(rng, 80))
+    texts = [base, base, base + " more", "short", "\n".join([base] * 3), None]
+    more = ["id", "n", "digest", "a", "b", "label", "root", "row_key", "token", "rate", "words", "starts", "kept", "c", "l", "copies"]
+    rows = [(i if t else None, t, *(["x"] * len(more) if t else [None] * len(more))) for i, t in enumerate(texts)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in more))
+    slim = wide.select("doc_id", "text")
+    labels = spark.createDataFrame([(0, 1, 0, "x"), (3, 0, 1, "x"), (None, None, None, None)], "doc_id long, quality int, toxic int, text string")
+    ops = (ngram_join.op1_ngram_join, substring_dedup.op2_substring_dedup, packing.op3_packing, quality_rules.op5_quality_rules, line_dedup.op6_line_dedup, licenses.op8_license_scan, lambda x: toxicity.op9_toxicity(x, labels), lambda x: mixing.op10_mixing(x, labels))
+    for op in ops:
+        got, want = (sorted(map(repr, op(x).drop("sequence_id").collect())) for x in (wide, slim))
+        assert got == want
+    for op in (quality_rules.filter_documents, line_dedup.remove_repeats, ngram_join.keep_one, substring_dedup.remove_repeated, lambda x: mixing.mix(x, labels)):
+        out = op(wide)
+        assert out.columns == wide.columns
+        assert {r["id"] for r in out.filter("doc_id IS NOT NULL").collect()} <= {"x"}
+    null = [r for r in ngram_join.op1_ngram_join(wide).collect() if r["doc_id"] is None]
+    assert [(r["n_shingles"], r["component_id"]) for r in null] == [(0, None)]
+    pages = spark.createDataFrame([(1, "u", "h" * 200, "x", "y"), (None, None, None, None, None)], "page_id long, url string, html string, digest string, main string")
+    assert sorted((r["page_id"] or 0, r["payload_bytes"]) for r in warc.op7_warc_assembly(pages).collect()) == [(0, 0), (1, 200)]
+    vectors = spark.createDataFrame([(0, [1.0, 2.0], 5, "x"), (1, [2.0, 1.0], None, None), (None, None, None, None)], "vec_id long, embedding array<float>, id int, score string")
+    assert [(r["query_id"], r["vec_id"]) for r in ann.op4_collision_search(vectors).collect()] == [(0, 1)]
