@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from re import sub
 
 import pandas as pd
@@ -78,17 +79,25 @@ def band(score: Column, high: float, mid: float) -> Column:
     return F.when(score >= high, "high").when(score >= mid, "medium").otherwise("low")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def judge_json(raw: Column) -> Column:
     """The object between the first { and the last }, fences removed; null if none parses."""
-    bare = stripped(F.regexp_replace(raw, r"```(?:json)?\s*", ""))
-    body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.when(body != "", _alone(body)), F.when(bare != "", _alone(bare)))
+
+    def parsed(bare: Column) -> Column:
+        inner = bound(F.regexp_extract(bare, r"(?s)\{.*\}", 0), lambda body: F.when(body != "", _alone(body)))
+        return F.coalesce(inner, F.when(bare != "", _alone(bare)))
+
+    return bound(stripped(F.regexp_replace(raw, r"```(?:json)?\s*", "")), parsed)
 
 
 def _alone(text: Column) -> Column:
     """The one JSON value of a text; null if more follows, which the parser alone would pass over."""
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    return bound(listed, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
 
 
 def judge_error(raw: Column) -> Column:

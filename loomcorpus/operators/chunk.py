@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcorpus.functions.text import atoms, slug, token_count
 
 
-def packed(parts: Column, most: int, overlap: int) -> Column:
+def packed(parts: Column, most: int, overlap: int, counts: Column | None = None) -> Column:
     """Greedy packing of atoms into chunks of at most `most` tokens, carrying a suffix of at most `overlap`.
 
+    counts: the atoms' tokens, if another counter than white space is wanted.
+
     A fold over the atoms of one section: sections are independent, nothing is shuffled.
     """
     atom = "struct<text:string,n:int>"
@@ -38,7 +42,10 @@ def packed(parts: Column, most: int, overlap: int) -> Column:
         more = F.struct(s["out"].alias("out"), F.concat(s["buf"], F.array(a)).alias("buf"), (s["t"] + a["n"]).alias("t"))
         return F.when(a["n"] > most, alone).when(s["t"] + a["n"] > most, turn).otherwise(more)
 
-    counted = F.transform(parts, lambda p: F.struct(p.alias("text"), token_count(p).alias("n")))
+    if counts is None:
+        counted = F.transform(parts, lambda p: F.struct(p.alias("text"), token_count(p).alias("n")))
+    else:
+        counted = F.zip_with(parts, counts, lambda p, n: F.struct(p.alias("text"), n.alias("n")))
     return F.filter(F.aggregate(counted, start, merge, emitted), lambda c: F.trim(c) != "")
 
 
@@ -54,18 +61,27 @@ def path_hash(path: Column, section: Column, number: Column) -> Column:
     return F.left(F.md5(F.concat_ws("::", F.coalesce(path, F.lit("")), section, number.cast("string"))), F.lit(8))
 
 
-def chunk_documents(sections: DataFrame, most: int = 1500, overlap: int = 100) -> DataFrame:
-    """Chunks of sections (doc_ord, text, source_type, source_name, original_path, section_hierarchy)."""
+def chunk_documents(sections: DataFrame, most: int = 1500, overlap: int = 100, counter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks of sections (doc_ord, text, source_type, source_name, original_path, section_hierarchy).
+
+    counter: from an array of texts to an array of their tokens (see functions.tokens); by default words.
+    """
     rows = sections.withColumn("section_path", section_path(F.col("section_hierarchy"), F.col("source_name"))).withColumn("occurrence", occurrence())
     last = F.coalesce(F.try_element_at("section_hierarchy", F.lit(-1)), F.col("source_name"))
     rows = rows.withColumns({"slug": slug(last), "path_hash": path_hash(F.col("original_path"), F.col("section_path"), F.col("occurrence"))})
-    whole = F.array("text")
-    parts = packed(atoms(F.col("text")), most, overlap)
-    rows = rows.withColumn("chunks", F.when(token_count(F.col("text")) <= most, whole).otherwise(parts)).withColumn("chunks", F.when(F.size("chunks") > 0, F.col("chunks")).otherwise(whole))
+    whole, size, counts = F.array("text"), token_count(F.col("text")), None
+    if counter:
+        rows = rows.withColumn("atoms", atoms(F.col("text"))).withColumns({"atom_tokens": counter(F.col("atoms")), "text_tokens": counter(F.array("text"))[0]})
+        size, counts = F.col("text_tokens"), F.col("atom_tokens")
+    parts = packed(F.col("atoms") if counter else atoms(F.col("text")), most, overlap, counts)
+    rows = rows.withColumn("chunks", F.when(size <= most, whole).otherwise(parts)).withColumn("chunks", F.when(F.size("chunks") > 0, F.col("chunks")).otherwise(whole))
+    if counter:
+        rows = rows.withColumn("chunk_tokens", counter(F.col("chunks")))
     out = rows.select("*", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "chunk"))
+    tokens = F.get("chunk_tokens", F.col("chunk_index")) if counter else token_count(F.col("chunk"))
     return out.select(
         F.col("chunk").alias("text"), F.concat_ws("::", "source_name", "slug", "path_hash", F.col("chunk_index").cast("string")).alias("chunk_id"), "source_type", "source_name",
-        "section_path", F.coalesce("original_path", F.lit("")).alias("original_path"), "chunk_index", "total_chunks_in_section", token_count(F.col("chunk")).alias("token_count"),
+        "section_path", F.coalesce("original_path", F.lit("")).alias("original_path"), "chunk_index", "total_chunks_in_section", tokens.alias("token_count"),
     )
 
 

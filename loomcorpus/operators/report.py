@@ -68,14 +68,15 @@ def eval_summary(results: DataFrame) -> DataFrame:
 
 
 def rejudged(results: DataFrame, new: DataFrame) -> DataFrame:
-    """Results with new faithfulness (id, score, reasoning); should-abstain rows get none, errors and empty answers stay."""
+    """Results with new faithfulness (id, score, reasoning, perhaps unsupported_claims); should-abstain rows get none, errors and empty answers stay."""
     old = F.col("judge_faithfulness")
     kind = results.schema["judge_faithfulness"].dataType
-    none = F.struct(*(F.lit(f"should abstain").alias(f.name) if f.name == "reason" else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
-    fresh = F.struct(*(F.col("__s").alias(f.name) if f.name == "faithfulness_score" else F.col("__r").alias(f.name) if f.name == "reasoning" else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
-    rows = results.join(new.select("id", F.col("score").alias("__s"), F.col("reasoning").alias("__r"), F.lit(True).alias("__new")), "id", "left")
+    none = F.struct(*(F.lit("should abstain").alias(f.name) if f.name == "reason" else F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields))
+    given = {"faithfulness_score": F.col("score"), "reasoning": F.col("reasoning"), "judge": F.lit("faithfulness")} | ({"unsupported_claims": F.col("unsupported_claims")} if "unsupported_claims" in new.columns else {})
+    fresh = F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    rows = results.join(new.select("id", fresh.alias("__fresh"), F.lit(True).alias("__new")), "id", "left")
     keep = F.col("answer").isNull() | F.col("error").isNotNull() | F.col("__new").isNull()
-    return rows.withColumn("judge_faithfulness", F.when(F.col("should_abstain"), none).when(keep, old).otherwise(fresh)).select(*results.columns)
+    return rows.withColumn("judge_faithfulness", F.when(F.col("should_abstain"), none).when(keep, old).otherwise(F.col("__fresh"))).select(*results.columns)
 
 
 def sample_positions(rows: DataFrame, order: str) -> DataFrame:

@@ -23,13 +23,17 @@ def topk(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_
     """(query_id, rank, id, score): score is the cosine, clamped to [0, 1]; ties go to the smaller id.
 
     A task multiplies its rows with a group of queries and keeps k for each, so a query's rows that
-    meet in the final ranking are k for each task.
+    meet in the final ranking are k for each task.  Queries and rows without a vector take no part, nor do
+    vectors of another length than most queries have.
     """
     spark = index.sparkSession
     kind = index.schema[id_col].dataType.simpleString()
     qkind = queries.schema[query_id].dataType.simpleString()
     base = index.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    groups = max(1, -(-queries.count() // QUERY_GROUP))
+    queries = queries.filter(F.col(vec_col).isNotNull())
+    sizes = queries.groupBy(F.size(vec_col).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
+    dim, groups = (sizes["n"], -(-sizes["c"] // QUERY_GROUP)) if sizes else (0, 0)
+    base, queries = base.filter(F.size("v") == dim), queries.filter(F.size(vec_col) == dim)
     schema = f"query_id {qkind}, score double, id {kind}"
     found = spark.createDataFrame([], schema)
     for g in range(groups):

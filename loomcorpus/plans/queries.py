@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
-from loomcorpus.operators import chunk, index, metrics, report, retrieve
-from loomcorpus.providers import completed, embedded
+from loomcorpus.operators import chunk, index, judge, label, metrics, report, retrieve
+from loomcorpus.plans import evaluate
+from loomcorpus.providers import completed, embedded, overlap_judge
 from loomcorpus.sources import html, rst
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,3 +418,127 @@ def q_answer(spark, d):
     prompt = F.concat("context", F.lit("\n\n---\n\nQuestion: "), "text").alias("prompt")
     out = completed(retrieve.context(hits).join(asks.select("query_id", "text"), "query_id").select("query_id", prompt))
     return out.select("*", T.citations(F.col("answer")).alias("citations_used"), T.abstained(F.col("answer")).alias("abstained"))
+
+
+def questions(spark, d):
+    """Benchmark texts as golden questions: some to abstain from, some without truth."""
+    i = F.col("item_id")
+    return t(spark, d, "benchmark").select(
+        i.cast("string").alias("id"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("category"), F.col("text").alias("question"),
+        F.when(i % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(i.cast("string"))).alias("ground_truth_chunk_ids"), F.col("text").alias("reference_answer"),
+        (i % 5 == 0).alias("should_abstain"), F.when(i % 2 == 0, "seen").alias("notes"),
+    )
+
+
+def shown(spark, d):
+    """What a labeller saw: two hits for each question."""
+    rows = questions(spark, d).select(F.col("id").alias("query_id"), F.col("question").alias("text"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    return rows.select("*", F.concat("query_id", F.lit("-"), F.col("rank").cast("string")).alias("chunk_id"), (F.lit(0.5) / F.col("rank")).alias("score"), F.lit("docs").alias("source_type"), F.lit("s").alias("source_name"), F.lit("p").alias("section_path"))
+
+
+_QUESTIONS = """WITH q AS (SELECT item_id::VARCHAR AS id, item_id AS i, 'c' || item_id % 3 AS category, text AS question, CASE WHEN item_id % 4 = 0 THEN [] ELSE [item_id::VARCHAR] END AS gt, item_id % 5 = 0 AS ab, CASE WHEN item_id % 2 = 0 THEN 'seen' END AS notes FROM benchmark)"""
+
+
+@query("q_label_candidates", _QUESTIONS + " SELECT id, category FROM q WHERE NOT ab AND len(gt) = 0")
+def q_label_candidates(spark, d):
+    return label.candidates(questions(spark, d)).select("id", "category")
+
+
+@query("q_golden_status", _QUESTIONS + " SELECT count(*) AS total, count_if(len(gt) > 0)::BIGINT AS labelled, count_if(ab)::BIGINT AS abstain, (count(*) - count_if(len(gt) > 0) - count_if(ab))::BIGINT AS unlabelled FROM q")
+def q_golden_status(spark, d):
+    return label.status(questions(spark, d))
+
+
+@query("q_label_replies", _QUESTIONS + """, r AS (SELECT *, ['n', '1, 2', 's', '3', ' 2 ', '1,x'][1 + i % 6] AS reply FROM q)
+SELECT id, CASE WHEN reply = 'n' THEN 'should_abstain' ELSE category END AS category, ab OR reply = 'n' AS should_abstain,
+  CASE i % 6 WHEN 0 THEN '' WHEN 1 THEN id || '-1,' || id || '-2' WHEN 4 THEN id || '-2' WHEN 5 THEN id || '-1' ELSE array_to_string(gt, ',') END AS truth,
+  CASE WHEN reply = 'n' THEN trim(coalesce(notes, '') || ' [reclassified as should_abstain during labeling]') ELSE notes END AS notes FROM r""")
+def q_label_replies(spark, d):
+    reply = F.get(F.array(*(F.lit(x) for x in ("n", "1, 2", "s", "3", " 2 ", "1,x"))), (F.col("id").cast("int") % 6))
+    out = label.labelled(questions(spark, d), shown(spark, d), questions(spark, d).select("id", reply.alias("reply")))
+    return out.select("id", "category", "should_abstain", F.array_join("ground_truth_chunk_ids", ",").alias("truth"), "notes")
+
+
+@query("q_label_dump", _QUESTIONS + """, h AS (SELECT id, unnest([1, 2]) AS rank, question FROM q),
+b AS (SELECT id, string_agg('[' || rank || '] score=' || printf('%.3f', 0.5 / rank) || ' type=docs source=s' || chr(10) || '    Section: p' || chr(10) || '    Chunk ID: ' || id || '-' || rank || chr(10) || '    Preview: ' || replace(left(question, 400), chr(10), ' ') || CASE WHEN length(question) > 400 THEN '...' ELSE '' END || chr(10), chr(10) ORDER BY rank) AS body FROM h GROUP BY id)
+SELECT id, repeat('=', 64) || chr(10) || 'QUESTION ID: ' || id || chr(10) || 'CATEGORY: ' || category || chr(10) || 'QUESTION: ' || question || CASE WHEN notes <> '' THEN chr(10) || 'NOTES: ' || notes ELSE '' END || chr(10) || chr(10) || 'RETRIEVED CHUNKS:' || chr(10) || body || repeat('=', 64) || chr(10) AS value
+FROM q JOIN b USING (id) WHERE NOT ab AND len(gt) = 0""")
+def q_label_dump(spark, d):
+    return label.dump(label.candidates(questions(spark, d)), shown(spark, d))
+
+
+def replies(spark, d):
+    """Judge replies: fenced objects with a number, every third cut off, every fifth failed."""
+    k = F.get_json_object("props", "$.k").cast("double") / 100
+    whole = F.concat(F.lit('```json\n{"faithfulness_score": '), k.cast("string"), F.lit(', "unsupported_claims": ["a", "b"], "reasoning": "r", "score": '), (F.col("event_id") % 5 + 1).cast("string"), F.lit(', "reason": "w", "label": "answered"}\n```'))
+    return t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.left(whole, F.lit(20))).otherwise(whole).alias("raw"), F.when(F.col("event_id") % 5 == 0, "late").alias("error"), (F.col("user_id") % 2 == 0).alias("did"), (F.col("event_id") % 7 == 0).alias("should"))
+
+
+@query("q_judge_faithfulness", """SELECT event_id, CASE WHEN ok THEN CASE WHEN v <= 0.25 THEN 0.0 WHEN v <= 0.75 THEN 0.5 ELSE 1.0 END END::DOUBLE AS score, CASE WHEN error IS NULL THEN CASE WHEN ok THEN 2 ELSE 0 END END::INT AS claims, CASE WHEN error IS NULL THEN CASE WHEN ok THEN 'r' ELSE 'parse_error' END END AS reasoning, error
+FROM (SELECT event_id, json_extract_string(props, '$.k')::DOUBLE / 100 AS v, event_id % 3 <> 0 AND event_id % 5 <> 0 AS ok, CASE WHEN event_id % 5 = 0 THEN 'late' END AS error FROM events)""")
+def q_judge_faithfulness(spark, d):
+    rows = replies(spark, d).select("event_id", judge.faithfulness(F.col("raw"), F.col("error")).alias("f"))
+    claims = F.when(F.col("f.unsupported_claims").isNotNull(), F.size("f.unsupported_claims"))
+    return rows.select("event_id", F.col("f.faithfulness_score").alias("score"), claims.alias("claims"), F.col("f.reasoning").alias("reasoning"), F.col("f.error").alias("error"))
+
+
+@query("q_judge_quality", "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 THEN event_id % 5 + 1 END::INT AS score, CASE WHEN event_id % 5 = 0 THEN 'late' WHEN event_id % 3 = 0 THEN 'parse_failed' END AS error FROM events")
+def q_judge_quality(spark, d):
+    rows = replies(spark, d).select("event_id", judge.quality(F.col("raw"), F.col("error")).alias("q"))
+    return rows.select("event_id", F.col("q.score").alias("score"), F.col("q.error").alias("error"))
+
+
+@query("q_judge_abstention", "SELECT event_id, (user_id % 2 = 0) = (event_id % 7 = 0) AS correct, CASE WHEN event_id % 3 <> 0 THEN 'answered' END AS label, NOT event_id % 7 = 0 AND NOT user_id % 2 = 0 AS judged FROM events")
+def q_judge_abstention(spark, d):
+    rows = replies(spark, d).select("event_id", judge.abstention(F.col("raw"), F.col("error"), F.col("did"), F.col("should")).alias("a"), judge.gate(F.col("should"), F.col("did")).alias("judged"))
+    return rows.select("event_id", F.col("a.correct").alias("correct"), F.col("a.label").alias("label"), "judged")
+
+
+@query("q_false_abstentions", f"""SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0 AND regexp_matches({_ANSWER}, '(?i)does not contain enough information|cannot answer|can[''’]t answer|unable to answer|not enough information|insufficient (context|information)')""")
+def q_false_abstentions(spark, d):
+    return answers(spark, d).filter((F.col("turn") % 2 == 0) & T.abstained(F.col("answer"))).select("conv_id", "turn")
+
+
+@query("q_block_quote", "SELECT item_id, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM benchmark")
+def q_block_quote(spark, d):
+    return t(spark, d, "benchmark").select("item_id", T.quoted(F.col("text")).alias("quoted"))
+
+
+@query("q_ordinal_names", "SELECT page_id, printf('%02d', row_number() OVER (ORDER BY page_id)) || '-' || regexp_replace(regexp_extract(rtrim(url, '/'), '[^/]*$'), '\\.html$', '') || '.html' AS name FROM pages WHERE page_id < 40")
+def q_ordinal_names(spark, d):
+    """The pages of one table of contents: a short list in order, so its places come from an array."""
+    toc = t(spark, d, "pages").filter("page_id < 40").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("toc"))  # 40 rows at most
+    slug = F.regexp_replace(F.regexp_extract(F.rtrim(F.col("x.url"), F.lit("/")), "[^/]*$", 0), r"\.html$", "")
+    return toc.select(F.posexplode("toc").alias("i", "x")).select("x.page_id", F.concat(F.lpad((F.col("i") + 1).cast("string"), 2, "0"), F.lit("-"), slug, F.lit(".html")).alias("name"))
+
+
+def _embedded_docs(spark, d):
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("source_name"), F.col("lang").alias("section_path"))
+    return embedded(docs)
+
+
+def _evaluated(spark, d):
+    return evaluate.run(questions(spark, d), _embedded_docs(spark, d), judge_call=overlap_judge)
+
+
+@query("q_eval_run")
+def q_eval_run(spark, d):
+    """Benchmark texts as questions over whole documents: retrieval, metrics, answers and all judges."""
+    out = _evaluated(spark, d)
+    return out.select(
+        "id", "category", "should_abstain", "error", "retrieved_chunk_ids", "top_scores", F.col("retrieval_metrics.mrr").alias("mrr"), "abstained", "citations_used", F.col("judge_abstention.correct").alias("abstention_correct"),
+        F.col("judge_faithfulness.faithfulness_score").alias("faithfulness"), F.col("judge_quality.score").alias("quality"),
+    )
+
+
+@query("q_eval_summary")
+def q_eval_summary(spark, d):
+    return report.eval_summary(_evaluated(spark, d))
+
+
+@query("q_ablation_run")
+def q_ablation_run(spark, d):
+    """Questions answered without retrieval and judged; their scores beside those with retrieval."""
+    base = questions(spark, d).select("*", F.lit(3).alias("rag"))
+    out = evaluate.ablated(base, lambda p: f"From memory: {p[-40:]}", overlap_judge)
+    return out.select("id", "category", "rag", F.col("no_rag_quality.score").alias("base"), "no_rag_answer")

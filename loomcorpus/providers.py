@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections import deque
@@ -11,6 +12,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 
 class HashEmbedder:
@@ -35,6 +37,17 @@ def extractive_answer(prompt: str) -> str:
     return f"{m[1].strip()} [1]" if m else "The provided context does not contain enough information to answer this question."
 
 
+def overlap_judge(prompt: str) -> str:
+    """The offline judge: scores by the share of the answer's words that the passages have; answers any of the judges' prompts."""
+    parts = dict(re.findall(r"\n\n([A-Z]+):\n(.*?)(?=\n\n[A-Z]+:\n|\Z)", prompt, re.S))
+    answer, seen = re.findall(r"\w+", parts.get("ANSWER", "").lower()), set(re.findall(r"\w+", parts.get("PASSAGES", "").lower()))
+    share = sum(w in seen for w in answer) / max(1, len(answer))
+    faith = 1.0 if share > 0.8 else 0.5 if share > 0.4 else 0.0
+    claims = [] if faith == 1.0 else [parts.get("ANSWER", "").strip()[:80]]
+    label = "abstained" if parts.get("DECLINED", "").strip() == "yes" else "answered"
+    return json.dumps({"faithfulness_score": faith, "unsupported_claims": claims, "reasoning": f"{share:.2f} of the words", "score": 1 + round(4 * share), "reason": "word overlap", "correct": True, "label": label})
+
+
 class RateLimiter:
     """A sliding window of requests and tokens; the new batch is counted with a margin, the log without."""
 
@@ -75,25 +88,43 @@ def token_batches(counts: list[int], most: int = 80_000) -> list[int]:
     return out
 
 
-def embedded(chunks: DataFrame, embedder: Callable = HashEmbedder(), input_type: str = "document", text_col: str = "text") -> DataFrame:
-    """Chunks with their vectors, batched by tokens within each Arrow batch."""
+def embedded(chunks: DataFrame, embedder: Callable = HashEmbedder(), input_type: str = "document", text_col: str = "text", contain: bool = False) -> DataFrame:
+    """Chunks with their vectors, batched by tokens within each Arrow batch.
+
+    If `contain`, a failing call gives its rows a null vector and their embed_error, instead of a failed task.
+    """
     at, names = chunks.columns.index(text_col), chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            number, vectors = token_batches([len(t.split()) for t in texts]), []
+            number, vectors, errors = token_batches([len(t.split()) for t in texts]), [], []
             for b in sorted(set(number)):
                 part = [t for t, n in zip(texts, number, strict=True) if n == b]
-                got = embedder(part, input_type)
-                if len(got) != len(part):
-                    raise ValueError("the provider returned another number of vectors")
+                error = None
+                try:
+                    got = embedder(part, input_type)
+                    if len(got) != len(part):
+                        raise ValueError("the provider returned another number of vectors")
+                except Exception as e:
+                    if not contain:
+                        raise
+                    got, error = [None] * len(part), f"{type(e).__name__}: {e}"
                 vectors += got
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*names, "embedding"])
+                errors += [error] * len(part)
+            more = [pa.array(errors, pa.string())] if contain else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32())), *more], names=[*names, "embedding", *["embed_error"] * contain])
+
+    added = [StructField("embedding", ArrayType(FloatType()))] + [StructField("embed_error", StringType())] * contain
+    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, *added]))
 
-    from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+def answer(complete: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+    """(reply, error): a failing call is a value."""
+    try:
+        return complete(prompt), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"
 
 
 def completed(prompts: DataFrame, complete: Callable[[str], str] = extractive_answer, model: str = "offline") -> DataFrame:
@@ -101,14 +132,8 @@ def completed(prompts: DataFrame, complete: Callable[[str], str] = extractive_an
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            answers, errors = [], []
-            for p in batch.column("prompt").to_pylist():
-                try:
-                    answers.append(complete(p or ""))
-                    errors.append(None)
-                except Exception as e:
-                    answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
+            got = [answer(complete, p or "") for p in batch.column("prompt").to_pylist()]
+            answers, errors = [x[0] for x in got], [x[1] for x in got]
             tokens = [[len((t or "").split()) for t in x] for x in (batch.column("prompt").to_pylist(), answers)]
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array([model] * len(answers)), *(pa.array(t, pa.int64()) for t in tokens)], names=["query_id", "answer", "error", "model", "input_tokens", "output_tokens"])
 

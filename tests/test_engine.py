@@ -7,10 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
-from loomcorpus.operators import chunk, index, metrics, report, retrieve
+from loomcorpus.functions import tokens
+from loomcorpus.operators import chunk, index, judge, metrics, report, retrieve
+from loomcorpus.plans import evaluate
 from loomcorpus.plans import queries as Q
-from loomcorpus.providers import RateLimiter, completed, embedded, token_batches, with_retry
-from loomcorpus.sources import html, pdf, results, rst
+from loomcorpus.providers import RateLimiter, completed, embedded, overlap_judge, token_batches, with_retry
+from loomcorpus.sources import acquire, html, pdf, results, rst
 from loomcorpus.streaming.ingest import SECTION, ingest_stream
 
 SF = "/root/testdata/sf0.001"
@@ -189,3 +191,80 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _golden(spark):
+    rows = [("a", "x", "red fox", ["1"], False), ("b", "x", "blue whale", [], False), ("c", "y", "bad", ["2"], False), ("d", "y", "green tree", ["3"], True)]
+    return spark.createDataFrame(rows, "id string, category string, question string, ground_truth_chunk_ids array<string>, should_abstain boolean")
+
+
+def picky():
+    """An embedder and a completion that fail for some texts; local functions travel to the tasks whole."""
+
+    def embed(texts, input_type="document"):
+        if any("bad" in t for t in texts):
+            raise OSError("no vector")
+        return [[float("fox" in t) + 0.1, float("whale" in t) + 0.1, 1.0 * len(t) / 99] for t in texts]
+
+    def complete(prompt):
+        asked = prompt.rsplit("Question:", 1)[-1]
+        if "blue whale" in asked:
+            raise TimeoutError("late")
+        return "The fox is red. [1]" if "fox" in asked else "I cannot answer this."
+
+    return embed, complete
+
+
+def test_evaluation_contains_errors(spark):
+    embed, complete = picky()
+    chunks = embedded(spark.createDataFrame([("1", "a red fox", "docs", "s", "p"), ("2", "a blue whale", "docs", "s", "p"), ("3", "tree", "docs", "s", "p")], "chunk_id string, text string, source_type string, source_name string, section_path string"), embed)
+    out = {r["id"]: r for r in evaluate.run(_golden(spark), chunks, 2, embed, complete, overlap_judge).collect()}
+    assert out["a"]["retrieved_chunk_ids"][0] == "1" and out["a"]["retrieval_metrics"]["mrr"] == 1.0 and out["a"]["judge_quality"]["score"] >= 1 and out["a"]["judge_abstention"]["correct"]
+    assert out["b"]["error"].startswith("generation: TimeoutError") and out["b"]["retrieval_metrics"] is None and out["b"]["judge_abstention"] is None and len(out["b"]["retrieved_chunk_ids"]) == 2
+    assert out["c"]["error"] == "retrieval: OSError: no vector" and out["c"]["retrieved_chunk_ids"] is None and out["c"]["answer"] is None
+    assert out["d"]["abstained"] and out["d"]["judge_abstention"]["correct"] and out["d"]["judge_faithfulness"] is None and out["d"]["retrieval_metrics"] is None
+    none = evaluate.run(_golden(spark).limit(0), chunks, 2, embed, complete, overlap_judge)
+    assert none.collect() == []
+
+
+def test_ablation_and_rejudging(spark):
+    complete = picky()[1]
+    chunks = embedded(spark.createDataFrame([("1", "The fox is red.", "docs", "s", "p")], "chunk_id string, text string, source_type string, source_name string, section_path string"))
+    results = evaluate.run(_golden(spark).filter("id IN ('a', 'd')"), chunks, 2, complete=complete, judge_call=overlap_judge).persist()
+    once = evaluate.ablated(results, complete, overlap_judge).persist()
+    got = {r["id"]: r for r in once.collect()}
+    assert got["a"]["no_rag_answer"] == "The fox is red. [1]" and got["a"]["no_rag_quality"]["score"] == 1 and got["d"]["no_rag_answer"] is None
+    assert evaluate.pending_ablation(once).count() == 0
+    again = {r["id"]: r for r in evaluate.rejudge(once, chunks, lambda p: '{"faithfulness_score": "0.7", "unsupported_claims": ["u"], "reasoning": "new"}').collect()}
+    assert again["a"]["judge_faithfulness"].asDict() == {"judge": "faithfulness", "faithfulness_score": 0.5, "unsupported_claims": ["u"], "reasoning": "new", "reason": None, "raw": None, "error": None}
+    assert again["d"]["judge_faithfulness"]["faithfulness_score"] is None and again["d"]["judge_faithfulness"]["reason"] == "should abstain"
+    audit = once.select("id", judge.score_text(F.col("judge_faithfulness")).alias("s")).collect()
+    assert {r["id"]: r["s"] for r in audit}["d"] == "none"
+
+
+@pytest.mark.parametrize("raw, score", [('{"faithfulness_score": 0.3}', 0.5), ('{"faithfulness_score": "1"}', 1.0), ('{"faithfulness_score": true}', 1.0), ('{"faithfulness_score": null}', None), ('{"faithfulness_score": "x"}', None), ("7", None), ("", None), (None, None), ("[1]", None), ('a {"faithfulness_score": 0.25} b', 0.0), ('{"error": "e", "faithfulness_score": 1}', None)])
+def test_judge_replies(spark, raw, score):
+    got = one(spark, raw, lambda c: judge.faithfulness(c, F.lit(None).cast("string")))
+    assert got["faithfulness_score"] == score and got["judge"] == "faithfulness"
+
+
+def test_acquire(tmp_path):
+    pages = {"http://h/one.html": b"x" * 50, "http://h/two.html": b"y", "http://h/three.html": b"z" * 60}
+
+    def fetch(url):
+        return pages[url]
+
+    got = acquire.acquire_pages([*pages, "http://h/gone.html"], str(tmp_path), fetch=fetch, least_bytes=10)
+    assert [(r["name"], r["state"]) for r in got] == [("01-one.html", "saved"), ("02-two.html", "failed"), ("03-three.html", "saved"), ("04-gone.html", "failed")]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["01-one.html", "03-three.html"]
+    assert [r["state"] for r in acquire.acquire_pages(list(pages), str(tmp_path), fetch=fetch, least_bytes=10)] == ["kept", "failed", "kept"]
+
+
+def test_bpe_chunks(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % i for i in range(256)))
+    rows = spark.createDataFrame([(1, "abc def. ghi jkl. mno", "docs", "s", None, ["h"]), (2, None, "docs", "s", None, ["h"])], SECTION)
+    got = chunk.chunk_documents(rows, 10, 0, tokens.bpe_counter(str(path))).collect()
+    assert [(r["text"], r["token_count"]) for r in got if r["text"] is not None] == [("abc def.", 8), ("ghi jkl.", 8), ("mno", 3)]
