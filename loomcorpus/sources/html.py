@@ -15,6 +15,8 @@ DROPPED = {"script", "style", "nav", "header", "footer", "aside"}
 HEADINGS = {"h1", "h2", "h3", "h4"}
 BLOCKS = {"p", "li", "div", "blockquote", "td", "th", "section"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Elements below this depth stand beside each other, as in browsers; the walks below are recursive.
+DEPTH = 256
 
 
 class Node:
@@ -45,7 +47,7 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -142,13 +144,13 @@ def sections(html: str, stem: str, mode: str = "section") -> Iterator[tuple[list
 
 
 def html_sections(rows: DataFrame, source_name: str = "book", mode: str = "section") -> DataFrame:
-    """Of rows (path, text): sections by section elements, or by headings."""
+    """Of rows (path, text), text as string or bytes: sections by section elements, or by headings."""
     return sectioned(rows, lambda text, stem: sections(text, stem, mode), "book", source_name)
 
 
 def read_html(spark: SparkSession, folder: str, source_name: str = "book", mode: str = "section") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
-    return html_sections(files.select("path", F.decode("content", "UTF-8").alias("text")), source_name, mode)
+    return html_sections(files.select("path", F.col("content").alias("text")), source_name, mode)
 
 
 def links(html: str = "html", base: str = "https://example.org/"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,20 +89,27 @@ SCHEMA = "original_path string, section_no int, text string, section_hierarchy a
 def read_rst(spark: SparkSession, folder: str, source_name: str = "docs", keep: frozenset[str] = frozenset()) -> DataFrame:
     """Sections of all *.rst files below a folder; template folders and template-like files are passed over."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rst").option("recursiveFileLookup", "true").load(folder)
-    rows = files.select("path", F.decode("content", "UTF-8").alias("text"))
+    rows = files.select("path", F.col("content").alias("text"))
     parts = F.split("path", "/")
-    rows = rows.filter(~F.exists(parts, lambda p: p.isin("_templates", "_static"))).filter(~(F.contains("text", F.lit("{{")) & F.contains("text", F.lit("}}")) & F.contains("text", F.lit("{%"))))
+    rows = rows.filter(~F.exists(parts, lambda p: p.isin("_templates", "_static"))).filter(~(F.contains("text", F.lit(b"{{")) & F.contains("text", F.lit(b"}}")) & F.contains("text", F.lit(b"{%"))))
     return sectioned(rows, lambda text, stem: sections(text, stem, keep), "docs", source_name)
 
 
 def sectioned(rows: DataFrame, cut, source_type: str, source_name: str) -> DataFrame:
-    """Of rows (path, text): the sections of each file, in order."""
+    """Of rows (path, text): the sections of each file, in order.
+
+    Bytes are read as UTF-8 with replacement characters; a file that can't be cut gives a warning and no sections.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                found = list(cut(text or "", stem))
+                try:
+                    found = list(cut(text.decode("utf-8", "replace") if isinstance(text, bytes) else text or "", stem))
+                except (ValueError, AssertionError, RecursionError) as e:
+                    warnings.warn(f"{path} is passed over: {e}", stacklevel=1)
+                    continue
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array(range(len(found)), pa.int32()), pa.array([t for _, t in found]), pa.array([h for h, _ in found], pa.list_(pa.string()))], names=["original_path", "section_no", "text", "section_hierarchy"])
 

@@ -53,8 +53,17 @@ def test_read_rst(spark, tmp_path):
     for name, body in (("a.rst", "A\n==\nx"), ("_static/b.rst", "no"), ("sub/c.rst", "{{ a }} {% b"), ("sub/d.rst", "plain")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(body)
+    (tmp_path / "sub" / "e.rst").write_bytes(b"bad \xff byte")
     got = rst.read_rst(spark, str(tmp_path)).collect()
-    assert sorted((r["text"], r["section_hierarchy"][-1]) for r in got) == [("plain", "d"), ("x", "A")]
+    assert sorted((r["text"], r["section_hierarchy"][-1]) for r in got) == [("bad \ufffd byte", "e"), ("plain", "d"), ("x", "A")]
+
+
+def test_read_html(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<main><section><h1>T</h1><p>x \xff</p></section></main>")
+    (tmp_path / "deep.html").write_text("<main><section><h1>D</h1>" + "<div><b>" * 3000 + "low" + "</section></main>")
+    (tmp_path / "none.html").write_text("<p>no main</p>")
+    got = {r["section_hierarchy"][0]: r["text"] for r in html.read_html(spark, str(tmp_path)).collect()}
+    assert got == {"T": "x \ufffd", "D": "low"}
 
 
 def test_html_sections():
