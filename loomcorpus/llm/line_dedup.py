@@ -1,105 +1,132 @@
-"""Line dedup by content-defined line chunks.
-
-Lines are hashed; a rolling hash over the hashes of `window` adjacent lines ends a chunk where its
-low bits are zero.  A boundary depends on those lines alone, so inserted lines move no other
-boundary.  Chunks of two lines or more that occur again, anywhere, are compared byte by byte and all
-but the first (smallest id, then position) are removed.
-
-Defined cases: a null text has no chunks and stays null; an empty text stays as it is; chunks without
-a word are never removed; rows equal in id and text are one document: they keep or lose a chunk
-together; other columns are kept untouched; an empty table gives none.
+"""Line dedup by windows of two lines.
+
+Lines are hashed; a rolling hash over the hashes of each two adjacent lines names that window, and a
+line of more than `LONG_WORDS` words is a window of its own.  Windows whose hash occurs again, anywhere,
+are compared byte by byte; all but the first (smallest id, then position) are repeats, and every line
+that a repeat covers is removed.  So each passage of two lines or more that occurred before goes whole,
+whatever stands around it, and the first occurrence of a line always stays.
+
+Defined cases: a null text has no windows and stays null; an empty text stays as it is; windows without
+a word are never removed; a window that overlaps its own first occurrence (three equal lines in a row) is
+no second one; rows equal in id and text are one document: they keep or lose a passage together; other
+columns are kept untouched; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import SPACE, arrow_map, written
+from loomcorpus.llm.common import SPACE, WORD, arrow_map, encode, written
 
-MASK = 3  # a chunk has four lines on average
+LONG_WORDS = 50  # a line of more words is removed alone
 MULTIPLIER = 31
+WORDS = re.compile(WORD.encode())
 
 
-def line_chunks(text: str | None, mask: int = MASK) -> list[tuple[int, int, str]]:
-    """(first line, lines, text) of each chunk; lines are split at \\n alone."""
+def windows(text: str | None) -> list[tuple[int, int, int]]:
+    """(first line, lines, hash) of each window with a word; lines are split at \\n alone."""
     if text is None:
         return []
-    lines = text.split("\n")
-    out, first, before = [], 0, 0
-    for i, line in enumerate(lines):
-        here = int(hashlib.md5(line.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
-        if (before * MULTIPLIER + here) & mask == 0 or i == len(lines) - 1:
-            out.append((first, i + 1 - first, "\n".join(lines[first : i + 1])))
-            first = i + 1
-        before = here
+    out, before, blank = [], 0, True
+    for i, line in enumerate(encode(text).split(b"\n")):
+        here, empty = int.from_bytes(hashlib.md5(line).digest()[:8], "big"), not line.strip(SPACE.encode())
+        if i and not (blank and empty):
+            out.append((i - 1, 2, _signed(before * MULTIPLIER + here)))
+        if len(line) > 2 * LONG_WORDS and len(WORDS.findall(line)) > LONG_WORDS:
+            out.append((i, 1, _signed(here)))
+        before, blank = here, empty
     return out
 
 
-def occurrences(keyed: DataFrame, mask: int = MASK) -> DataFrame:
-    """Of rows (row_key, id, text): each multi-line chunk with a word, with its digest and place; no text."""
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def occurrences(keyed: DataFrame) -> DataFrame:
+    """Of rows (row_key, id, text): the place and hash of each window; no text."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, first, count, high, low = [], [], [], [], []
+        row, first, count, code = [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            for at, n, chunk in line_chunks(text, mask):
-                if n > 1 and chunk.strip(SPACE):
-                    d = hashlib.md5(chunk.encode("utf-8", "surrogatepass")).digest()
-                    row.append(i)
-                    first.append(at)
-                    count.append(n)
-                    high.append(int.from_bytes(d[:8], "big", signed=True))
-                    low.append(int.from_bytes(d[8:], "big", signed=True))
+            for at, n, h in windows(text):
+                row.append(i)
+                first.append(at)
+                count.append(n)
+                code.append(h)
         pick = pa.array(row, pa.int64())
-        cols = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first, pa.int64()), pa.array(count, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, names=["row_key", "id", "first_line", "n_lines", "d1", "d2"])
-
-    kind = keyed.schema["id"].dataType.simpleString()
-    return arrow_map(keyed, fn, f"row_key long, id {kind}, first_line long, n_lines long, d1 long, d2 long")
-
-
-def chunk_at(text: str | None, first: list[int], count: list[int]) -> list[str]:
-    lines = (text or "").split("\n")
-    return ["\n".join(lines[a : a + n]) for a, n in zip(first, count, strict=True)]
+        cols = [batch.column(0).take(pick), *(pa.array(x, pa.int64()) for x in (first, count, code))]
+        return pa.RecordBatch.from_arrays(cols, names=["row_key", "first_line", "n_lines", "hash"])
+
+    return arrow_map(keyed, fn, "row_key long, first_line long, n_lines long, hash long")
+
+
+def joined_runs(found: list[dict]) -> list[dict]:
+    """Repeated windows whose kept places go along with them, joined; runs inside another are left out."""
+    runs: list[dict] = []
+    last: dict[tuple, dict] = {}
+    for x in sorted(found, key=lambda x: (x["first_line"], -x["n_lines"])):
+        along = (x["kept_key"], x["kept_line"] - x["first_line"])
+        run = last.get(along)
+        if run and x["first_line"] <= run["first_line"] + run["n_lines"]:
+            run["n_lines"] = max(run["n_lines"], x["first_line"] + x["n_lines"] - run["first_line"])
+            run["copies"] = min(run["copies"], x["copies"])
+        else:
+            run = last[along] = {k: x[k] for k in ("first_line", "n_lines", "kept_id", "kept_line", "copies")}
+            runs.append(run)
+    out, end = [], 0
+    for r in sorted(runs, key=lambda r: (r["first_line"], -r["n_lines"])):
+        if r["first_line"] + r["n_lines"] > end:
+            out.append(r)
+            end = r["first_line"] + r["n_lines"]
+    return out
 
 
-def repeats(keyed: DataFrame, mask: int = MASK) -> DataFrame:
-    """The occurrences to remove: row_key, id, first_line, n_lines, digest, kept_id, kept_line, copies.
+def repeats(keyed: DataFrame) -> DataFrame:
+    """(row_key, cut): the passages to remove, with first_line, n_lines, kept_id, kept_line and copies of each.
 
-    Only digests and places are shuffled for all chunks; the bytes travel only for digests found twice.
+    Only hashes and places are shuffled for all windows; the bytes travel only for hashes found twice.
     """
     place = F.struct("id", "first_line", "row_key")
-    found = written(occurrences(keyed, mask), "line_chunks")
-    many = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2")
-    again = found.join(many, ["d1", "d2"])
-    wanted = again.groupBy("row_key").agg(F.collect_set(F.struct("first_line", "n_lines", "d1", "d2")).alias("want"))
+    found = written(occurrences(keyed), "line_windows")
+    many = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    again = found.join(many, "hash")
+    wanted = again.groupBy("row_key").agg(F.collect_set(F.struct("first_line", "n_lines", "hash")).alias("want"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, at, n, d1, d2, chunk = [], [], [], [], [], []
+        row, at, n, code, window = [], [], [], [], []
         for i, (text, want) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            for w, c in zip(want, chunk_at(text, [x["first_line"] for x in want], [x["n_lines"] for x in want]), strict=True):
+            lines = encode(text).split(b"\n")
+            for w in want:
                 row.append(i)
                 at.append(w["first_line"])
                 n.append(w["n_lines"])
-                d1.append(w["d1"])
-                d2.append(w["d2"])
-                chunk.append(c.encode("utf-8", "surrogatepass"))
+                code.append(w["hash"])
+                window.append(b"\n".join(lines[w["first_line"] : w["first_line"] + w["n_lines"]]))
         pick = pa.array(row, pa.int64())
-        cols = [batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x, pa.int64()) for x in (at, n, d1, d2)), pa.array(chunk, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["row_key", "id", "first_line", "n_lines", "d1", "d2", "chunk"])
+        cols = [batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x, pa.int64()) for x in (at, n, code)), pa.array(window, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["row_key", "id", "first_line", "n_lines", "hash", "window"])
 
     kind = keyed.schema["id"].dataType.simpleString()
     texts = keyed.join(wanted, "row_key").select("row_key", "id", "text", "want")
-    exact = written(arrow_map(texts, fn, f"row_key long, id {kind}, first_line long, n_lines long, d1 long, d2 long, chunk binary"), "line_bytes")
-    # Grouping by the bytes themselves is the byte comparison; partial sums meet a hot chunk map-side.
-    kept = exact.groupBy("d1", "d2", "chunk").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return exact.join(kept, ["d1", "d2", "chunk"]).filter(place != F.col("kept")).select(
-        "row_key", "id", "first_line", "n_lines", F.md5("chunk").alias("digest"),
-        F.col("kept.id").alias("kept_id"), F.col("kept.first_line").alias("kept_line"), "copies",
-    )
+    exact = written(arrow_map(texts, fn, f"row_key long, id {kind}, first_line long, n_lines long, hash long, window binary"), "line_bytes")
+    # Grouping by the bytes themselves is the byte comparison; partial sums meet a hot window map-side.
+    kept = exact.groupBy("hash", "n_lines", "window").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    overlaps = (F.col("kept.row_key") == F.col("row_key")) & (F.col("first_line") < F.col("kept.first_line") + F.col("n_lines"))
+    gone = exact.join(kept, ["hash", "n_lines", "window"]).filter((place != F.col("kept")) & ~overlaps)
+    hit = F.struct("first_line", "n_lines", F.col("kept.id").alias("kept_id"), F.col("kept.first_line").alias("kept_line"), F.col("kept.row_key").alias("kept_key"), "copies")
+    per = gone.groupBy("row_key").agg(F.collect_set(hit).alias("found"))
+
+    def join(batch: pa.RecordBatch) -> pa.RecordBatch:
+        item = batch.column(1).type.value_type
+        fields = pa.struct([pa.field(k, item.field(k).type) for k in ("first_line", "n_lines", "kept_id", "kept_line", "copies")])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([joined_runs(x) for x in batch.column(1).to_pylist()], pa.list_(fields))], names=["row_key", "cut"])
+
+    return arrow_map(per, join, f"row_key long, cut array<struct<first_line: long, n_lines: long, kept_id: {kind}, kept_line: long, copies: long>>")
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -107,9 +134,9 @@ def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: int = MASK, drop_emptied: bool = True) -> DataFrame:
-    """The documents with the repeated chunks cut out; a document that loses its last word goes, if drop_emptied."""
-    cut = repeats(keyed_rows(docs, id_col, text_col), mask).groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("first_line", "n_lines"))).alias("cut"))
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:
+    """The documents with the repeated passages cut out; a document that loses its last word goes, if drop_emptied."""
+    cut = repeats(keyed_rows(docs, id_col, text_col))
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
     joined = keyed.join(cut.withColumnRenamed("row_key", "__row_key").withColumnRenamed("cut", "__cut"), "__row_key", "left")
     lines = F.split(F.col(text_col), "\n", -1)
@@ -125,11 +152,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_line_dedup(docs: DataFrame) -> DataFrame:
-    """One row per removed chunk, with the document and place that keep it."""
-    return repeats(keyed_rows(docs, "doc_id", "text")).select(F.col("id").alias("doc_id"), "first_line", "n_lines", "digest", F.col("kept_id").alias("kept_doc_id"), "kept_line", "copies")
+    """One row per removed passage, with the document and place that keep it; copies is that of its rarest window."""
+    keyed = keyed_rows(docs, "doc_id", "text")
+    rows = keyed.join(repeats(keyed), "row_key").select("id", F.split("text", "\n", -1).alias("lines"), F.explode("cut").alias("c"))
+    passage = F.array_join(F.slice("lines", (F.col("c.first_line") + 1).cast("int"), F.col("c.n_lines").cast("int")), "\n")
+    return rows.select(F.col("id").alias("doc_id"), "c.first_line", "c.n_lines", F.md5(passage).alias("digest"), F.col("c.kept_id").alias("kept_doc_id"), "c.kept_line", "c.copies")
 
 
-#: The same by DuckDB, over the view documents.
+#: By DuckDB, over the view documents: still the rule of chunks of about four lines that the query followed before, which leaves most repeated passages.
 OP6_SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS i, line, ('0x' || left(md5(line), 8))::BIGINT AS h, n

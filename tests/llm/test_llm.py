@@ -1,5 +1,6 @@
 """Training-data operators against brute force, and on odd inputs."""
 
+import hashlib
 import random
 import zlib
 
@@ -140,6 +141,38 @@ def test_line_removal(spark, corpus):
     assert out[texts.index(None)] is None and out[texts.index("")] == ""
 
 
+def test_short_repeated_passages_go_whole(spark):
+    """Passages of two lines or more, and long single lines, go from unlike texts; the digests are those of the kept place."""
+    rng = random.Random(8)
+    line = lambda n=7: " ".join(words(rng, n))
+    passages = [[line() for _ in range(n)] for n in (2, 2, 3, 3, 4, 4) for _ in range(3)] + [[line(60)] for _ in range(5)]
+    texts = ["\n".join([*(line() for _ in range(rng.randrange(1, 6))), *p, *(line() for _ in range(rng.randrange(1, 6)))]) for p in passages * 2]
+    few = [line(3) for _ in range(6)] + ["", " "]
+    texts += ["\n".join(rng.choice(few) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts += ["q\nq\nq", "r\nr\nr\nr", "lone line\n" + line(), "lone line\n" + line()]
+    first, want = {}, {}
+    for d, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        for i in range(len(lines)):
+            for n in (1, 2):
+                w = tuple(lines[i : i + n])
+                if len(w) == n and (len(w[0].split()) > 50 if n == 1 else any(x.strip() for x in w)):
+                    at = first.setdefault(w, (d, i))
+                    if at != (d, i) and (at[0] != d or at[1] + n <= i):
+                        gone.update(range(i, i + n))
+        want[d] = gone
+    assert all(len(want[len(passages) + k]) == len(p) for k, p in enumerate(passages))
+    docs = docs_of(spark, texts)
+    got: dict = {d: set() for d in want}
+    for r in line_dedup.op6_line_dedup(docs).collect():
+        got[r["doc_id"]].update(range(r["first_line"], r["first_line"] + r["n_lines"]))
+        kept = "\n".join(texts[r["kept_doc_id"]].split("\n")[r["kept_line"] :][: r["n_lines"]])
+        assert r["digest"] == hashlib.md5(kept.encode()).hexdigest() and r["copies"] > 1
+    assert got == want
+    out = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(docs, drop_emptied=False).collect()}
+    assert out == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in enumerate(texts)}
+
+
 def test_packing_round_trip(spark, corpus):
     docs, texts = corpus
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
