@@ -1,9 +1,9 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences and each is normalised (lower case, runs of anything but a-z and 0-9 as
-one blank).  Sentences of the table below become identifiers; a document's sequence of identifiers is
-matched against ordered rules: the rule's sentences must follow each other in that order, others may
-stand between them.
+A text is cut into sentences and lines and each is normalised (lower case, runs of anything but a-z and
+0-9 as one blank).  Sentences of the table below become identifiers, the longest first; the table's own
+entries are cut at the same sentence ends, so an entry may take several parts.  A document's sequence of identifiers is matched against
+ordered rules: the rule's sentences must follow each other in that order, others may stand between them.
 
 Defined cases: null, empty and unmatched texts give no rows; repeated rows give repeated results; a
 sentence that occurs twice counts once for a rule; other columns are ignored; empty tables give none.
@@ -88,13 +88,26 @@ def rule_pattern(sentences: list[str]) -> str:
     return " " + " (?:.* )?".join(re.escape(s) for s in sentences) + " "
 
 
+def entry_pattern(sentence: str) -> str:
+    """A pattern of an entry in a cut text: | at its own sentence ends, blanks elsewhere."""
+    parts = re.sub(SPLIT, r"\1\n", sentence.lower()).split("\n")
+    return "[|]".join(normal(p) for p in parts)
+
+
+#: The entries in a cut text, the longest first, between ends of sentences or lines.
+KNOWN = "(?<=[|/])(?:" + "|".join(entry_pattern(s) for s in sorted(SENTENCES.values(), key=lambda s: -len(normal(s)))) + ")(?=[|/])"
+
+
 def sentence_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the known sentences of each document in order, for documents that have any."""
     table = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (normal(v), k)))
     text = F.lower(F.col(text_col))
-    hit = docs.filter(text.rlike("|".join(ANCHORS)))
-    parts = F.split(F.regexp_replace(text, SPLIT, "$1\n"), "\n")
-    ids = F.filter(F.transform(parts, lambda s: F.try_element_at(table, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))), lambda x: x.isNotNull())
+    hit = docs.filter(text.rlike("|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)))
+    marked = F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), SPLIT, "$1\u0001")  # \u0001: an end of a sentence
+    bare = F.regexp_replace(marked, "[^a-z0-9\n\u0001]+", " ")
+    cut = F.regexp_replace(F.regexp_replace(bare, " ?\u0001 ?", "|"), " ?\n ?", "/")
+    found = F.regexp_extract_all(cut, F.lit(KNOWN), F.lit(0))
+    ids = F.transform(found, lambda s: F.try_element_at(table, F.translate(s, "|/", "  ")))
     return hit.select(F.col(id_col).alias(id_col), ids.alias("ids")).filter(F.size("ids") > 0)
 
 
@@ -124,5 +137,5 @@ q AS (SELECT rid, doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS seque
 SELECT doc_id, rule, license, n::BIGINT AS n_known, sequence FROM q JOIN rules ON regexp_matches(' ' || sequence || ' ', pattern)"""
 
 
-#: The same by DuckDB, over the view documents.
+#: By DuckDB, over the view documents: cuts at every line end, so the entries of several parts are not found.
 OP8_SQL = _sql()

@@ -263,6 +263,16 @@ def test_licences(spark):
     assert all(any(a in s.lower() for a in licenses.ANCHORS) or k in ("bsd.endorse", "bsd.source") for k, s in licenses.SENTENCES.items())
 
 
+def ended(sentences):
+    return " ".join(licenses.SENTENCES[k] + ("" if licenses.SENTENCES[k][-1] in ":;" else ".") for k in sentences)
+
+
+def test_every_licence_rule_matches_its_own_text(spark):
+    docs = docs_of(spark, [ended(s) for _, _, s in licenses.RULES])
+    found = {(r["doc_id"], r["rule"]) for r in licenses.op8_license_scan(docs).collect()}
+    assert {(i, rule) for i, (rule, _, _) in enumerate(licenses.RULES)} <= found
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
