@@ -2,7 +2,9 @@
 
 A text is cut into sentences and lines and each is normalised (lower case, runs of anything but a-z and
 0-9 as one blank).  Sentences of the table below become identifiers, the longest first; the table's own
-entries are cut at the same sentence ends, so an entry may take several parts.  A document's sequence of identifiers is matched against
+entries are cut at the same sentence ends, so an entry may take several parts.  A single line end may
+stand for any blank of an entry, so wrapped texts (in comments too) match, and one-line notices without
+a full stop as well; a blank line may not.  A document's sequence of identifiers is matched against
 ordered rules: the rule's sentences must follow each other in that order, others may stand between them.
 
 Defined cases: null, empty and unmatched texts give no rows; repeated rows give repeated results; a
@@ -89,9 +91,9 @@ def rule_pattern(sentences: list[str]) -> str:
 
 
 def entry_pattern(sentence: str) -> str:
-    """A pattern of an entry in a cut text: | at its own sentence ends, blanks elsewhere."""
+    """A pattern of an entry in a cut text: | at its own sentence ends, a blank or one line end elsewhere."""
     parts = re.sub(SPLIT, r"\1\n", sentence.lower()).split("\n")
-    return "[|]".join(normal(p) for p in parts)
+    return "[|]".join("[ /]".join(normal(p).split(" ")) for p in parts)
 
 
 #: The entries in a cut text, the longest first, between ends of sentences or lines.
@@ -137,5 +139,5 @@ q AS (SELECT rid, doc_id, count(*) AS n, string_agg(id, ' ' ORDER BY i) AS seque
 SELECT doc_id, rule, license, n::BIGINT AS n_known, sequence FROM q JOIN rules ON regexp_matches(' ' || sequence || ' ', pattern)"""
 
 
-#: By DuckDB, over the view documents: cuts at every line end, so the entries of several parts are not found.
+#: By DuckDB, over the view documents: cuts at every line end, so wrapped licences and the entries of several parts are not found.
 OP8_SQL = _sql()

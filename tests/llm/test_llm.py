@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -273,6 +274,18 @@ def test_every_licence_rule_matches_its_own_text(spark):
     assert {(i, rule) for i, (rule, _, _) in enumerate(licenses.RULES)} <= found
 
 
+def test_wrapped_licences(spark):
+    wraps = [lambda s: textwrap.fill(s, 72), lambda s: textwrap.fill(s, 40, initial_indent=" * ", subsequent_indent=" * "), lambda s: textwrap.fill(s, 76).replace("\n", "\r\n# ")]
+    texts = [w(ended(s)) for w in wraps for _, _, s in licenses.RULES]
+    other = ["Title\nReleased under the MIT License\nmore text", "Released under\n\nthe MIT License", "Released. Under the MIT License."]
+    rows = licenses.op8_license_scan(docs_of(spark, texts + other)).collect()
+    found = {(r["doc_id"], r["rule"]) for r in rows}
+    assert {(i, licenses.RULES[i % len(licenses.RULES)][0]) for i in range(len(texts))} <= found
+    assert {(i - len(texts), rule) for i, rule in found if i >= len(texts)} == {(0, "mit-short")}
+    flat = {(r["doc_id"], r["rule"], r["n_known"], r["sequence"]) for r in licenses.op8_license_scan(docs_of(spark, [ended(s) for _, _, s in licenses.RULES])).collect()}
+    assert {(r["doc_id"] % len(licenses.RULES), r["rule"], r["n_known"], r["sequence"]) for r in rows if r["doc_id"] < len(texts)} == flat
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
