@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
@@ -504,12 +504,26 @@ def q_block_quote(spark, d):
     return t(spark, d, "benchmark").select("item_id", T.quoted(F.col("text")).alias("quoted"))
 
 
+#: Ranges of ids that q_ordinal_names numbers apart.
+PLACE_RANGES = 64
+
+
 @query("q_ordinal_names", "SELECT page_id, printf('%02d', row_number() OVER (ORDER BY page_id)) || '-' || regexp_replace(regexp_extract(rtrim(url, '/'), '[^/]*$'), '\\.html$', '') || '.html' AS name FROM pages WHERE page_id < 40")
 def q_ordinal_names(spark, d):
-    """The pages of one table of contents: a short list in order, so its places come from an array."""
-    toc = t(spark, d, "pages").filter("page_id < 40").agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("toc"))  # 40 rows at most
-    slug = F.regexp_replace(F.regexp_extract(F.rtrim(F.col("x.url"), F.lit("/")), "[^/]*$", 0), r"\.html$", "")
-    return toc.select(F.posexplode("toc").alias("i", "x")).select("x.page_id", F.concat(F.lpad((F.col("i") + 1).cast("string"), 2, "0"), F.lit("-"), slug, F.lit(".html")).alias("name"))
+    """All pages in order of id under ordinal names.  A place is a row number within a range of ids and the count of the ranges before it."""
+    pages = t(spark, d, "pages").select("page_id", "url")
+    cuts = list(pages.select(F.percentile_approx("page_id", [k / PLACE_RANGES for k in range(1, PLACE_RANGES)], 10_000)).first()[0] or [])
+    within = sum(((F.col("page_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    ranged = pages.withColumn("part", F.coalesce(within, F.lit(PLACE_RANGES)))  # null ids last
+    # One count for each range: at most PLACE_RANGES rows reach the driver.
+    sizes, before, base = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()), 0, {}
+    for part, n in sizes:
+        base[part], before = before, before + n
+    offset = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for kv in base.items() for x in kv)), F.col("part").cast("long")) if base else F.lit(0).cast("long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("page_id")) + offset
+    slug = F.regexp_replace(F.regexp_extract(F.rtrim(F.col("url"), F.lit("/")), "[^/]*$", 0), r"\.html$", "")
+    number = ranged.select("page_id", slug.alias("slug"), place.cast("string").alias("place"))
+    return number.select("page_id", F.concat(F.when(F.length("place") < 2, F.lpad("place", 2, "0")).otherwise(F.col("place")), F.lit("-"), "slug", F.lit(".html")).alias("name"))
 
 
 def _embedded_docs(spark, d):

@@ -40,6 +40,13 @@ def test_query_matches_sql(spark, name):
     assert sorted(repr([plain(row[c]) for c in names]) for row in df.collect()) == sorted(repr([plain(v) for v in row]) for row in r.fetchall())
 
 
+def test_ordinal_names_of_all_pages(spark, tmp_path):
+    pages = [(i * 7 % 1201, f"http://x/a/p{i}.html/") for i in range(1201)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["name"] for r in Q.QUERIES["q_ordinal_names"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"{k:02d}-{u.rstrip('/').split('/')[-1]}" for k, (i, u) in enumerate(sorted(pages), 1)}
+
+
 def test_rst_sections():
     text = "lost\n\nTitle\n=====\nintro :ref:`Here <x>` and :py:func:`name`\n\n.. note::\n   gone\n  stays\n\n.. _label:\n\nSub\n---\nbody |a\nb| `link`_ <http://x.y>\n\n====\nOver\n====\n\nSub\n---\nagain\nShort head\n-----\n"
     got = list(rst.sections(text, "file"))
