@@ -12,6 +12,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ from loomcorpus.llm.common import arrow_map, encode
 
 #: 16 random bits for each byte; byte 0 has none, so that a run of 16 zero bytes starts the hash anew.
 GEAR = np.array([0, *(xxhash.xxh3_64_intdigest(bytes([i])) >> 48 for i in range(1, 256))], dtype=np.uint16)
+#: The first byte of each word.
+STARTS = re.compile(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]")
 PAD = bytes(16)
 GROUP_BYTES = 1 << 20
 
@@ -73,7 +76,7 @@ def chunk_rows(keyed: DataFrame, p: Params) -> DataFrame:
                 for x, y in zip(c, c[1:]):
                     piece = b[x:y]
                     length.append(y - x)
-                    words.append(piece.count(b" ") + piece.count(b"\n"))
+                    words.append(len(STARTS.findall(b, x, y)))
                     digest.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
 
         blobs, size, first = [], 0, 0

@@ -264,6 +264,15 @@ def test_licences(spark):
     assert all(any(a in s.lower() for a in licenses.ANCHORS) or k in ("bsd.endorse", "bsd.source") for k, s in licenses.SENTENCES.items())
 
 
+def test_repeated_passages_with_any_white_space(spark):
+    rng = random.Random(17)
+    for space in ("\t", "\r", "\x0b", "\x0c", " \t "):
+        passage = space.join(words(rng, 200))
+        docs = docs_of(spark, [space.join([*words(rng, 20), passage, *words(rng, 20)]) for _ in range(2)])
+        rows = substring_dedup.op2_substring_dedup(docs).collect()
+        assert {r["doc_id"] for r in rows} == {1} and 150 < sum(r["n_words"] for r in rows) <= 202  # the chunks at both edges differ
+
+
 def ended(sentences):
     return " ".join(licenses.SENTENCES[k] + ("" if licenses.SENTENCES[k][-1] in ":;" else ".") for k in sentences)
 
