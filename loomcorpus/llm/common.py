@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
-#: Rows an Arrow batch may hold: texts can be long, so a batch is kept small.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch that are worked on at once: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="loomcorpus-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+    """A new path in the folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    A temporary folder is used only where the session names none, as in local tests.
+    Where the session names none, a temporary folder serves a driver that runs all tasks itself; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="loomcorpus-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/loomcorpus/{uuid.uuid4().hex}"
 
 
@@ -40,16 +48,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most BATCH_ROWS rows and BATCH_BYTES bytes each; a longer row is a part of its own."""
+    n = batch.num_rows
+    if n == 1 or n and n <= BATCH_ROWS and batch.nbytes <= BATCH_BYTES:
+        yield batch
+    elif n:
+        yield from slices(batch.slice(0, n // 2))
+        yield from slices(batch.slice(n // 2))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a function to each Arrow batch; batches are bounded, because texts may be long."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Apply a function to each Arrow batch, part by part.  The session's batch size is left alone: Spark bounds a batch by bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for part in slices(batch):
+                yield fn(part)
 
     return df.mapInArrow(run, schema)
 

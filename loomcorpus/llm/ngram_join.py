@@ -30,8 +30,9 @@ component id unless all ids of a component are null; other columns are ignored;
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +59,9 @@ class Params:
     outline: int = 1024  # bits of a set's outline, a multiple of 64
     before: int = 8  # n-grams of crowded lists that a row of such a list knows before it
     rounds: int = 1  # of leaders, and then of best candidates
+    group: int = 256  # pairs of one set that are verified together
+    list_rows: int = 1024  # longer posting lists are dealt into blocks, and these joined with each other
+    broadcast_keys: int = 250_000  # wanted classes whose keys are broadcast, of 24 bytes each; more are joined by a shuffle
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -69,9 +73,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+BLOCK_BYTES = 1 << 18  # texts are hashed together, and long ones in pieces, of about so many bytes
 _BASE, _BASE_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _powers = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
-GROUP_BYTES = 1 << 20  # texts are hashed together in groups of about so many bytes
 
 
 def _power_tables(size: int) -> list[np.ndarray]:
@@ -84,16 +89,27 @@ def _power_tables(size: int) -> list[np.ndarray]:
     return _powers
 
 
-def _group_shingles(blobs: list[bytes], n: int) -> list[np.ndarray]:
-    """Words are found and hashed by array operations over all bytes of a group of texts."""
-    data = np.frombuffer(b"\n".join([*blobs, b""]), dtype=np.uint8)
+def _word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word: found by array operations over all bytes.  The block ends with white space."""
+    data = np.frombuffer(block, dtype=np.uint8)
     up, down = _power_tables(len(data))
     space = np.concatenate([[True], _IS_SPACE[data]])
     turns = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = turns[::2], turns[1::2]
     sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_LOWER[data].astype(U) * up[: len(data)], out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * P1)
+    np.cumsum(_LOWER[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * P1), starts
+
+
+def _group_shingles(blobs: list[bytes], n: int) -> list[np.ndarray]:
+    data, at, hashes, places = b"\n".join([*blobs, b""]), 0, [], []
+    while at < len(data):  # cut at white space; only a word longer than a block makes a longer one
+        cut = _SPACE.search(data, min(at + BLOCK_BYTES, len(data) - 1)).end()
+        h, starts = _word_hashes(data[at:cut])
+        hashes.append(h)
+        places.append(starts + at)
+        at = cut
+    h, starts = np.concatenate(hashes), np.concatenate(places)
     first = np.searchsorted(starts, np.cumsum([0] + [len(b) + 1 for b in blobs])).tolist()
     windows = np.zeros(max(0, len(h) - n + 1), dtype=U)
     for k in range(n):
@@ -111,13 +127,13 @@ def _group_shingles(blobs: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def shingles(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+def shingles(texts: Iterable[str | None], n: int) -> Iterator[np.ndarray]:
     """For each text, hashes of its word n-grams, in order, repeats included."""
     blobs, size = [], 0
     for text in texts:
         blobs.append(encode(text))
         size += len(blobs[-1])
-        if size >= GROUP_BYTES:
+        if size >= BLOCK_BYTES:
             yield from _group_shingles(blobs, n)
             blobs, size = [], 0
     if blobs:
@@ -134,39 +150,48 @@ def needed(size, percent: int):
 def sketch(docs: DataFrame, p: Params) -> bytes:
     """Levels of the n-grams by how crowded their bucket is, one byte each.
 
-    All texts are counted.  A task keeps one array of 2 ** sketch_bits counters and gives it away in
-    compressed slices, which are summed slice by slice; the result has a fixed size whatever the input.
+    All texts are counted.  A task keeps one array of 2 ** sketch_bits small counters, which stop at 2 ** 32 - 1, and
+    gives it away in compressed slices, which are summed slice by slice; the result has a fixed size whatever the input.
     """
     bits, parts = p.sketch_bits, p.slices
     width = (1 << bits) // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << bits, dtype=np.int64), [], 0
+        total, held, size = np.zeros(1 << bits, dtype=np.uint32), [], 0
+
+        def add() -> None:
+            if held:
+                places, n = np.unique(np.concatenate(held), return_counts=True)
+                total[places] = np.minimum(total[places].astype(np.int64) + n, 0xFFFFFFFF)
+                held.clear()
+
         for batch in batches:
-            for x in shingles(batch.column(0).to_pylist(), p.n):
-                held.append(x >> U(64 - bits))
+            for x in shingles((t.as_py() for t in batch.column(0)), p.n):
+                held.append((x >> U(64 - bits)).astype(np.uint32))
                 size += len(x)
-                if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+                if size > 500_000:
+                    add()
+                    size = 0
+        add()
         for i in range(parts):
             part = total[i * width : (i + 1) * width]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(blob), dtype="<i8")
-                sums[i] = sums[i] + x if i in sums else x
+            for i, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(zlib.decompress(blob.as_buffer()), dtype="<i8")
+                if i in sums:
+                    sums[i] += x
+                else:
+                    sums[i] = x.copy()
         for i, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator()
+    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(summed, schema).toLocalIterator()
     total = np.zeros(1 << bits, dtype=np.int64)
     for r in rows:
         total[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<i8")
@@ -177,8 +202,13 @@ def sketch(docs: DataFrame, p: Params) -> bytes:
     return levels.tobytes()
 
 
+def set_key(s: np.ndarray) -> bytes:
+    """128 bits of a sorted set of n-grams."""
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """Of rows (id, text): id, text_key, digest (null without words), n, prefix (the longest that any l asks for), outline.
+    """Of rows (id, text): id, text_key, set_key (null without words), n, prefix (the longest that any l asks for), outline.
 
     A prefix token is the level of an n-gram before the upper bits of its hash: its number is the global order.
     """
@@ -186,62 +216,72 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         level = np.frombuffer(levels.value, dtype=np.uint8)
-        digest, size, prefix, outline = [], [], [], []
-        for s in shingles(batch.column(2).to_pylist(), p.n):
+        keys, size, prefix, outline = [], [], [], []
+        for s in shingles((t.as_py() for t in batch.column(2)), p.n):
             s = np.unique(s)
             n = len(s)
             size.append(n)
             if not n:
-                digest.append(None)
+                keys.append(None)
                 prefix.append(None)
                 outline.append(None)
                 continue
-            digest.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+            keys.append(set_key(s))
             tokens = level[(s >> U(64 - p.sketch_bits)).astype(np.int64)].astype(np.int64) << 57 | (s >> U(7)).astype(np.int64)
             tokens.sort()
-            prefix.append(tokens[: min(n, n - needed(n, p.percent) + p.max_match)])
+            prefix.append(tokens[: min(n, n - needed(n, p.percent) + p.max_match)].copy())
             odd = np.bincount((s % U(p.outline)).astype(np.int64), minlength=p.outline) & 1
             outline.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-        cols = [batch.column(0), batch.column(1), pa.array(digest, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(outline, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, names=["id", "text_key", "digest", "n", "prefix", "outline"])
+        cols = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(outline, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "text_key", "set_key", "n", "prefix", "outline"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    keyed = docs.select("id", F.xxhash64("text").alias("text_key"), "text")
-    return arrow_map(keyed, fn, f"id {kind}, text_key long, digest long, n long, prefix array<long>, outline array<long>")
+    keyed = docs.select("id", text_key(), "text")
+    return arrow_map(keyed, fn, f"id {kind}, text_key struct<x: long, y: long>, set_key binary, n long, prefix array<long>, outline array<long>")
+
+
+def text_key() -> Column:
+    """128 bits of a text: two hashes with different seeds."""
+    return F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y")).alias("text_key")
+
+
+def classes_of(sigs: DataFrame) -> DataFrame:
+    """One row for each set: digest (a number given here), set_key, text_key (of a text with that set), n, prefix, outline, least (id).
+
+    The outline is a struct of numbers: its bits are compared in generated code.  Written, so the numbers stay.
+    """
+    once = sigs.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("n", "prefix", "outline")))
+    return once.withColumn("digest", F.monotonically_increasing_id())
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """(digest, items) of the classes whose text_key is wanted: their texts alone are cut again."""
+    """(digest, items) of wanted classes (digest, text_key): their texts alone are cut again."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(s) for s in shingles(batch.column(0).to_pylist(), p.n)]
-        digest = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-        return pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "items"])
+        sets = [np.unique(s) for s in shingles((t.as_py() for t in batch.column(1)), p.n)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "items"])
 
-    keys = wanted.select("text_key").distinct()
-    if keys.limit(1_000_001).count() <= 1_000_000:  # at most 8 MB; else the texts are shuffled
+    keys = wanted.select("digest", "text_key")
+    if keys.limit(p.broadcast_keys + 1).count() <= p.broadcast_keys:  # else the texts are shuffled
         keys = F.broadcast(keys)
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(keys, "text_key", "left_semi")
-    once = texts.groupBy("text_key").agg(F.first("text").alias("text")).select("text")
+    texts = docs.select(text_key(), "text").join(keys, "text_key")
+    once = texts.groupBy("digest").agg(F.first("text").alias("text"))
     return arrow_map(once, fn, "digest long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) that link.  One set travels for each pair, the other stays with its key."""
-    one = pairs.join(sets.withColumnsRenamed({"digest": "a", "items": "items_a"}), "a")
-    both = one.join(sets.withColumnsRenamed({"digest": "b", "items": "items_b"}), "b").select("a", "b", "items_a", "items_b")
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = x.values.to_numpy(), y.values.to_numpy()
-            common = np.concatenate([x, y])
-            common.sort()
-            common = int((common[1:] == common[:-1]).sum())
-            keep.append(100 * common >= p.percent * (len(x) + len(y) - common))
-        return batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    """The pairs (a, b) that link.  The sets travel: one for each pair, and b's once for each p.group pairs that it has.
 
-    return arrow_map(both, fn, "a long, b long")
+    So a leader that thousands of members are held against is not one task.
+    """
+    share = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.group)).alias("parts"))
+    hot = share.filter("parts > 1")
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
+    copies = sets.join(share, sets["digest"] == share["b"]).select("b", F.col("items").alias("items_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    one = dealt.join(sets.select(F.col("digest").alias("a"), F.col("items").alias("items_a")), "a")
+    both = one.join(copies, ["b", "part"])
+    shared = F.size(F.array_intersect("items_a", "items_b"))
+    return both.filter(shared * 100 >= (F.size("items_a") + F.size("items_b") - shared) * p.percent).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,14 +317,9 @@ def chosen(rows: DataFrame, p: Params) -> DataFrame:
     return rows.groupBy("digest").agg(F.first("n").alias("n"), *sums).select("digest", best["l"].alias("l"))
 
 
-def distinct_sets(sigs: DataFrame) -> DataFrame:
-    """(digest, n, prefix) of each class."""
-    return sigs.filter("digest is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-
-
-def posting_rows(sigs: DataFrame) -> DataFrame:
+def posting_rows(classes: DataFrame) -> DataFrame:
     """(token, pos, digest, n, df) of prefix n-grams that more than one class has."""
-    rows = distinct_sets(sigs).select("digest", "n", F.posexplode("prefix").alias("pos", "token"))
+    rows = classes.select("digest", "n", F.posexplode("prefix").alias("pos", "token"))
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     return rows.join(df, "token")
 
@@ -334,10 +369,9 @@ def leader_pairs(rows: DataFrame, classes: DataFrame, labels: DataFrame, p: Para
     return by_prefixes(pairs, classes, p).select("a", "b")
 
 
-def outlines(sigs: DataFrame, p: Params) -> DataFrame:
+def outlines(classes: DataFrame, p: Params) -> DataFrame:
     """(digest, outline) of each class, as a struct of numbers: its bits are compared in generated code."""
-    words = F.struct(*(F.col("outline")[i].alias(f"w{i}") for i in range(p.outline // 64)))
-    return sigs.filter("digest is not null").groupBy("digest").agg(F.first("outline").alias("outline")).select("digest", words.alias("outline"))
+    return classes.select("digest", F.struct(*(F.col("outline")[i].alias(f"w{i}") for i in range(p.outline // 64))).alias("outline"))
 
 
 def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
@@ -345,19 +379,21 @@ def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
 
     Rows of a list's largest component meet only the others' rows; lists of one component go at once.
     shapes: (digest, outline), looked up for lists that more than p.crowded components share; their rows
-    also know the n-grams before them.
+    also know the n-grams before them.  A list of more than p.list_rows rows is dealt into blocks by digest;
+    each block of the one side meets each block of the other in a group of its own.
     """
     per = index.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", "k", F.col("m.label").alias("main"))
-    live = index.join(top, "token")
+    top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k"), F.ceil(F.sum("c") / F.lit(p.list_rows)).alias("blocks")).filter("k > 1")
+    live = index.join(top.select("token", "k", "blocks", F.col("m.label").alias("main")), "token")
     many = F.col("k") > p.crowded
     w = Window.partitionBy("digest").orderBy("pos").rowsBetween(-p.before, -1)
     crowd = live.filter(many).join(shapes, "digest").withColumn("before", F.collect_list("token").over(w))
     # Written: both sides of the join below read it, and the lookup runs once.
     live = written(crowd, "crowd").unionByName(live.filter(~many), allowMissingColumns=True)
     cols = ["digest", "pos", "n", "l", "label", "outline", "before"]
-    x = live.filter("label <> main").select("token", *(F.col(c).alias(f"{c}_x") for c in cols))
-    y = live.select("token", F.col("main"), *(F.col(c).alias(f"{c}_y") for c in cols))
+    mine, all_ = F.pmod(F.xxhash64("digest"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = live.filter("label <> main").select("token", mine.alias("block_x"), all_.alias("block_y"), *(F.col(c).alias(f"{c}_x") for c in cols))
+    y = live.select("token", mine.alias("block_y"), all_.alias("block_x"), F.col("main"), *(F.col(c).alias(f"{c}_y") for c in cols))
     # Two rows outside the main component meet twice; the smaller digest comes first.
     once = (F.col("label_y") == F.col("main")) | (F.col("digest_x") < F.col("digest_y"))
     l = F.least("l_x", "l_y")
@@ -367,7 +403,7 @@ def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
     differ = sum(F.bit_count(F.col("outline_x")[f"w{i}"].bitwiseXOR(F.col("outline_y")[f"w{i}"])) for i in range(p.outline // 64))
     alike = F.col("outline_x").isNull() | (differ <= F.col("n_x") + F.col("n_y") - 2 * common(p))
     new = F.col("before_x").isNull() | (F.size(F.array_intersect("before_x", "before_y")) < l)
-    return x.join(y, "token").filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near & (most >= common(p)) & alike & new)
+    return x.join(y, ["token", "block_x", "block_y"]).filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near & (most >= common(p)) & alike & new)
 
 
 def candidate_pairs(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
@@ -385,44 +421,41 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """One row per document: id, n_shingles, class_id (its n-gram set; null if empty), component_id."""
+    """One row per document: id, n_shingles, class_id (the smallest id with the same n-gram set; null if empty), component_id."""
     p = params
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sigs = written(signatures(rows, p), "signatures")
-    posts = written(posting_rows(sigs), "postings")
-    keys = sigs.filter("digest is not null").groupBy("digest").agg(F.min("text_key").alias("text_key"))
+    classes = written(classes_of(sigs), "classes")
+    posts = written(posting_rows(classes), "postings")
     labels = sigs.sparkSession.createDataFrame([], "node long, root long")
-    edges = labels.selectExpr("node AS a", "root AS b")
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-        sets = written(whole_sets(rows, nodes.join(keys, "digest"), p), "sets")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        wanted = written(classes.select("digest", "text_key").join(nodes, "digest"), "wanted")
+        sets = written(whole_sets(rows, wanted, p), "sets")
         return written(verified(pairs, sets, p), "links")
 
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The labels with the links among these pairs; a component is known by the pairs of its nodes and root."""
+        return components(labels.selectExpr("node AS a", "root AS b").unionByName(check(pairs)))
+
     for i in range(p.rounds):
-        new = check(leader_pairs(posts, distinct_sets(sigs), labels, p, i))
-        if new.isEmpty():
-            break
-        edges = edges.unionByName(new)
-        labels = components(edges)
+        labels = joined(leader_pairs(posts, classes, labels, p, i))
     base = F.col("n") - needed(F.col("n"), p.percent)
     index = posts.join(chosen(posts, p), "digest").filter(F.col("pos") < base + F.col("l")).drop("df")
     index = index.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    pairs = written(by_prefixes(candidate_pairs(written(index, "index"), outlines(sigs, p), p), distinct_sets(sigs), p), "candidates")
+    pairs = written(by_prefixes(candidate_pairs(written(index, "index"), outlines(classes, p), p), classes, p), "candidates")
     for _ in range(p.rounds):
         best = pairs.groupBy("a").agg(F.max(F.struct("promise", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        edges = edges.unionByName(check(best))
-        labels = components(edges)
+        labels = joined(best)
         pairs = between(pairs, labels)
-    edges = edges.unionByName(check(pairs.select("a", "b")))
-    labels = components(edges).withColumnRenamed("node", "digest")
-    classes = sigs.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("least"))
-    named = classes.join(labels, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    labels = joined(pairs.select("a", "b")).withColumnRenamed("node", "digest")
+    named = classes.select("digest", "set_key", "least").join(labels, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = named.groupBy("root").agg(F.min("least").alias("component"))
-    names = named.join(first, "root").select("digest", "component")
-    out = sigs.select("id", "n", "digest").join(names, "digest", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("digest").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    names = named.join(first, "root").select("set_key", F.col("least").alias("class_id"), "component")
+    out = sigs.select("id", "n", "set_key").join(names, "set_key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
@@ -458,5 +491,5 @@ v AS (SELECT k.a, k.b FROM k JOIN c x ON x.c = k.a JOIN c y ON y.c = k.b
 e AS (SELECT a, b FROM v UNION SELECT b, a FROM v),
 reach AS (SELECT c AS node, c AS root FROM c UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node),
 lab AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(lab.root, s.doc_id) AS component_id
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(lab.root, s.doc_id) AS component_id, c.c AS class_id
 FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN lab ON lab.node = c.c"""

@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.OP1_SQL,
     "op5_quality_rules": quality_rules.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_warc_assembly": warc.OP7_SQL,
