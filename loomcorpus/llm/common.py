@@ -10,6 +10,7 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +49,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(id_col: str, text_col: str):
+    """Names a row by its id and 64 bits of its text; rows equal in both are one document."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+
+
+#: Keys that hold more than 1 / HOT of a table's rows, so fewer than HOT, are dealt into PARTS groups.
+HOT, PARTS = 256, 64
+
+
+def dealt_join(rows: DataFrame, counted: DataFrame, keys: list[str], hot_keys: list[str], by: str, count: str = "copies", how: str = "inner") -> DataFrame:
+    """rows joined with counted on keys; counted holds how often each key occurs in rows, and is a written table.
+
+    The rows of a hot key (by hot_keys, some of the keys) are dealt by the column `by`, and counted's row is repeated for
+    each part, so that no task gets a hot key whole.  The broadcast names fewer than HOT keys, whatever the input.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(counted.groupBy(*hot_keys).agg(F.sum(count).alias("__n")).filter(F.col("__n") > total / HOT).select(*hot_keys, F.lit(True).alias("__hot")))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, hot_keys, "left").withColumn("__part", part).drop("__hot")
+    right = counted.join(hot, hot_keys, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most BATCH_ROWS rows and BATCH_BYTES bytes each; a longer row is a part of its own."""
     n = batch.num_rows
