@@ -284,24 +284,60 @@ def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return both.filter(shared * 100 >= (F.size("items_a") + F.size("items_b") - shared) * p.percent).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Links that a task joins at once, with about 100 bytes for each.
+TASK_EDGES = 200_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Of the edges (u, v) of each partition: each node with the smallest that its partition's edges reach, if that is another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        ends = [np.concatenate([x[i] for x in parts]) for i in (0, 1)]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        u, v = at[: len(ends[0])], at[len(ends[0]) :]
+        root = np.arange(len(nodes))
+        while True:
+            x, y = root[u], root[v]
+            apart = x != y
+            if not apart.any():
+                break
+            u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := root[root], root):
+                root = up
+        low = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[root[low]])], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) of the nodes with links, root the smallest node; edges (a, b).
 
-    Alternating large and small stars; each step is a written table, so a lost executor costs one step.
+    Tasks of about task_edges links each join what they hold; what one task can't see is joined by large and small stars
+    between them, until nothing changes.  Each round is a written table, so a lost executor costs one round.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state, seen = ("count(1) AS n", "bit_xor(xxhash64(u, v)) AS h"), None
     while True:
+        now = edges.selectExpr(*state).first()
+        if now == seen:
+            break
+        tasks = -(-now["n"] // task_edges)
+        edges, seen = forest(edges.coalesce(max(1, tasks))), now
+        if tasks <= 1:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         hook = large.join(down, "u")
         small = hook.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v")).distinct()
-        new = written(small, "edges")
-        state = "count(1) AS n", "bit_xor(xxhash64(u, v)) AS h"
-        if edges.selectExpr(*state).first() == new.selectExpr(*state).first():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = new
+        edges = written(small, "edges")
+    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "labels")
 
 
 def chosen(rows: DataFrame, p: Params) -> DataFrame:
@@ -438,7 +474,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The labels with the links among these pairs; a component is known by the pairs of its nodes and root."""
-        return components(labels.selectExpr("node AS a", "root AS b").unionByName(check(pairs)))
+        new = check(pairs)
+        return labels if new.isEmpty() else components(labels.selectExpr("node AS a", "root AS b").unionByName(new))
 
     for i in range(p.rounds):
         labels = joined(leader_pairs(posts, classes, labels, p, i))
