@@ -1,13 +1,17 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A text is cut where the upper bits of a gear hash over the last 16 bytes are zero; a cut depends on
-those bytes alone, so an insertion moves no cut behind it.  Chunks are counted by digest over the
-corpus.  Runs of adjacent chunks that were seen earlier (smaller id, then position) are the repeated
-passages, if they have `min_words` words; the first occurrence stays.
+those bytes alone, so an insertion moves no cut behind it.  Chunks are counted by a digest of 128 bits over
+the corpus.  Runs of adjacent chunks that were seen earlier (smaller id, then position) are the repeated
+passages, if they have `min_words` words or `least_bytes` bytes (texts without white space have no words to
+count); the first occurrence stays.
 
-Defined cases: a null text counts as empty; an empty text has no chunks; rows equal in id and text are
-one document (they keep or lose a passage together); a text is cut between characters only; other
-columns are ignored; an empty table gives no rows.
+Texts are cut once; the chunks are written, counted, and joined with the digests found twice.
+
+Defined cases: a null text counts as empty; an empty text has no chunks and a null or empty one no passage;
+rows equal in id and text are one document (they keep or lose a passage together), and chunks at the same
+place of rows with one id are one occurrence; a text is cut between characters only; very long texts are cut
+whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import arrow_map, encode
+from loomcorpus.llm.common import arrow_map, dealt_join, encode, row_key, written
 
 #: 16 random bits for each byte; byte 0 has none, so that a run of 16 zero bytes starts the hash anew.
 GEAR = np.array([0, *(xxhash.xxh3_64_intdigest(bytes([i])) >> 48 for i in range(1, 256))], dtype=np.uint16)
@@ -35,7 +39,8 @@ GROUP_BYTES = 1 << 20
 class Params:
     bits: int = 5  # a cut at one byte in 2 ** bits
     min_bytes: int = 12  # a cut that follows another more closely is none
-    min_words: int = 12  # of a run that is reported
+    min_words: int = 12  # of a run that is reported,
+    least_bytes: int = 150  # or its bytes
 
 
 def cuts(blobs: list[bytes], p: Params) -> list[list[int]]:
@@ -62,7 +67,7 @@ def cuts(blobs: list[bytes], p: Params) -> list[list[int]]:
 
 
 def chunk_rows(keyed: DataFrame, p: Params) -> DataFrame:
-    """Of rows (row_key, id, text): row_key, id, no, start, length, words, digest of each chunk."""
+    """Of rows (row_key, text): row_key, no, start, length, words and digest (d1, d2) of each chunk."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, no, start, length, words, digest = [], [], [], [], [], []
@@ -74,68 +79,67 @@ def chunk_rows(keyed: DataFrame, p: Params) -> DataFrame:
                 no.extend(range(n))
                 start.extend(c[:-1])
                 for x, y in zip(c, c[1:]):
-                    piece = b[x:y]
                     length.append(y - x)
                     words.append(len(STARTS.findall(b, x, y)))
-                    digest.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+                    digest.append(xxhash.xxh3_128_digest(b[x:y]))
 
         blobs, size, first = [], 0, 0
-        for text in batch.column(2).to_pylist():
-            blobs.append(encode(text))
+        for i, text in enumerate(batch.column(1)):
+            blobs.append(encode(text.as_py()))
             size += len(blobs[-1])
             if size >= GROUP_BYTES:
                 flush(first, blobs)
-                first, blobs, size = first + len(blobs), [], 0
+                first, blobs, size = i + 1, [], 0
         if blobs:
             flush(first, blobs)
-        pick = pa.array(row, pa.int64())
-        cols = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(no, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, words, digest))]
-        return pa.RecordBatch.from_arrays(cols, names=["row_key", "id", "no", "start", "length", "words", "digest"])
-
-    kind = keyed.schema["id"].dataType.simpleString()
-    return arrow_map(keyed, fn, f"row_key long, id {kind}, no int, start long, length long, words long, digest long")
+        halves = np.frombuffer(b"".join(digest), dtype="<i8").reshape(-1, 2)
+        cols = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int32()) for x in (no, start, length, words)), *(pa.array(np.ascontiguousarray(halves[:, j])) for j in (0, 1))]
+        return pa.RecordBatch.from_arrays(cols, names=["row_key", "no", "start", "length", "words", "d1", "d2"])
+
+    kind = keyed.schema["row_key"].dataType.simpleString()
+    return arrow_map(keyed, fn, f"row_key {kind}, no int, start int, length int, words int, d1 long, d2 long")
+
+
+def runs_of(found: list[dict], p: Params) -> list[tuple[int, int, int, int, list]]:
+    """(start, length, words, chunks, ids that keep them) of each run of adjacent repeated chunks that is a passage."""
+    out, run = [], []
+    for x in [*sorted(found, key=lambda x: x["no"]), None]:
+        if x and (not run or x["no"] == run[-1]["no"] + 1):
+            run.append(x)
+            continue
+        n_words, length = (sum(r[k] for r in run) for k in ("words", "length"))
+        if n_words >= p.min_words or length >= p.least_bytes:
+            out.append((run[0]["start"], length, n_words, len(run), sorted({r["kept_id"] for r in run if r["kept_id"] is not None})))
+        run = [x] if x else []
+    return out
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """The repeated passages: row_key, id, start and length in bytes, n_words, n_chunks, kept_ids (where it stays)."""
+    """The repeated passages: row_key, start and length in bytes, n_words, n_chunks, kept_ids (where it stays)."""
     p = params
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chunks = chunk_rows(keyed, p)
-    place = F.struct("id", "start", "row_key")
-    kept = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("kept")).filter("copies > 1").select("digest", "kept")
-    hits = chunks.join(kept, "digest").filter(place != F.col("kept"))
-    per = hits.groupBy("row_key").agg(F.first("id").alias("id"), F.collect_set(F.struct("no", "start", "length", "words", F.col("kept.id").alias("kept_id"))).alias("hits"))
+    chunks = written(chunk_rows(docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")), p), "chunks")
+    place = F.struct(F.col("row_key.id").alias("id"), "start")
+    many = written(chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("kept")).filter("copies > 1"), "repeated_chunks")
+    hits = dealt_join(chunks, many, ["d1", "d2"], ["d1", "d2"], "row_key").filter(~place.eqNullSafe(F.col("kept")))
+    per = hits.groupBy("row_key").agg(F.collect_set(F.struct("no", "start", "length", "words", F.col("kept.id").alias("kept_id"))).alias("hits"))
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, out = [], {"start": [], "length": [], "n_words": [], "n_chunks": [], "kept_ids": []}
-        for i, found in enumerate(batch.column(2).to_pylist()):
-            found.sort(key=lambda x: x["no"])
-            run: list[dict] = []
-            for x in [*found, None]:
-                if x and (not run or x["no"] == run[-1]["no"] + 1):
-                    run.append(x)
-                    continue
-                n_words = sum(r["words"] for r in run)
-                if n_words >= p.min_words:
-                    row.append(i)
-                    out["start"].append(run[0]["start"])
-                    out["length"].append(sum(r["length"] for r in run))
-                    out["n_words"].append(n_words)
-                    out["n_chunks"].append(len(run))
-                    out["kept_ids"].append(sorted({r["kept_id"] for r in run if r["kept_id"] is not None}))
-                run = [x] if x else []
-        pick = pa.array(row, pa.int64())
-        cols = [batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(out[k], pa.int64()) for k in ("start", "length", "n_words", "n_chunks")), pa.array(out["kept_ids"], pa.list_(batch.column(1).type))]
-        return pa.RecordBatch.from_arrays(cols, names=["row_key", "id", *out])
-
-    kind = keyed.schema["id"].dataType.simpleString()
-    return arrow_map(per, fn, f"row_key long, id {kind}, start long, length long, n_words long, n_chunks long, kept_ids array<{kind}>")
+        found = [(i, *run) for i, hits in enumerate(batch.column(1)) for run in runs_of(hits.as_py(), p)]
+        row, *numbers, kept = zip(*found, strict=True) if found else ([],) * 6
+        names = ["start", "length", "n_words", "n_chunks"]
+        ids = pa.list_(batch.column(1).type.value_type.field("kept_id").type)
+        cols = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in numbers), pa.array(kept, ids)]
+        return pa.RecordBatch.from_arrays(cols, names=["row_key", *names, "kept_ids"])
+
+    kind = chunks.schema["row_key"].dataType.simpleString()
+    return arrow_map(per, fn, f"row_key {kind}, start long, length long, n_words long, n_chunks long, kept_ids array<{id_type}>")
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """The documents without their repeated passages; all columns and rows stay."""
     spans = repeated(docs, id_col, text_col, params).groupBy("row_key").agg(F.collect_list(F.struct("start", "length")).alias("__spans")).withColumnRenamed("row_key", "__row_key")
-    joined = docs.withColumn("__row_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(spans, "__row_key", "left").drop("__row_key")
+    joined = docs.withColumn("__row_key", row_key(id_col, text_col)).join(spans, "__row_key", "left").drop("__row_key")
     at, schema = docs.columns.index(text_col), docs.schema
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -155,4 +159,4 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op2_substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per repeated passage, with the documents that keep it."""
-    return repeated(docs).select(F.col("id").alias("doc_id"), "start", "length", "n_words", "n_chunks", F.col("kept_ids").alias("kept_doc_ids"))
+    return repeated(docs).select(F.col("row_key.id").alias("doc_id"), "start", "length", "n_words", "n_chunks", F.col("kept_ids").alias("kept_doc_ids"))
