@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import SPACE, WORD, arrow_map, encode, written
+from loomcorpus.llm.common import SPACE, WORD, arrow_map, dealt_join, encode, row_key, written
 
 LONG_WORDS = 50  # a line of more words is removed alone
 MULTIPLIER = 31
@@ -48,12 +48,12 @@ def _signed(x: int) -> int:
 
 
 def occurrences(keyed: DataFrame) -> DataFrame:
-    """Of rows (row_key, id, text): the place and hash of each window; no text."""
+    """Of rows (row_key, text): the place and hash of each window; no text."""
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, first, count, code = [], [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            for at, n, h in windows(text):
+        for i, text in enumerate(batch.column(1)):
+            for at, n, h in windows(text.as_py()):
                 row.append(i)
                 first.append(at)
                 count.append(n)
@@ -62,7 +62,7 @@ def occurrences(keyed: DataFrame) -> DataFrame:
         cols = [batch.column(0).take(pick), *(pa.array(x, pa.int64()) for x in (first, count, code))]
         return pa.RecordBatch.from_arrays(cols, names=["row_key", "first_line", "n_lines", "hash"])
 
-    return arrow_map(keyed, fn, "row_key long, first_line long, n_lines long, hash long")
+    return arrow_map(keyed, fn, f"row_key {keyed.schema['row_key'].dataType.simpleString()}, first_line long, n_lines long, hash long")
 
 
 def joined_runs(found: list[dict]) -> list[dict]:
@@ -70,7 +70,7 @@ def joined_runs(found: list[dict]) -> list[dict]:
     runs: list[dict] = []
     last: dict[tuple, dict] = {}
     for x in sorted(found, key=lambda x: (x["first_line"], -x["n_lines"])):
-        along = (x["kept_key"], x["kept_line"] - x["first_line"])
+        along = (x["kept_id"], x["kept_text"], x["kept_line"] - x["first_line"])
         run = last.get(along)
         if run and x["first_line"] <= run["first_line"] + run["n_lines"]:
             run["n_lines"] = max(run["n_lines"], x["first_line"] + x["n_lines"] - run["first_line"])
@@ -89,55 +89,56 @@ def joined_runs(found: list[dict]) -> list[dict]:
 def repeats(keyed: DataFrame) -> DataFrame:
     """(row_key, cut): the passages to remove, with first_line, n_lines, kept_id, kept_line and copies of each.
 
-    Only hashes and places are shuffled for all windows; the bytes travel only for hashes found twice.
+    Only hashes and places are shuffled for all windows; the bytes travel only for hashes found twice.  A hash that a
+    large share of all windows has is dealt among tasks.
     """
-    place = F.struct("id", "first_line", "row_key")
+    place = F.struct(F.col("row_key.id").alias("id"), "first_line", F.col("row_key.text").alias("text"))
     found = written(occurrences(keyed), "line_windows")
-    many = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    again = found.join(many, "hash")
+    many = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated_hashes")
+    again = dealt_join(found, many, ["hash"], ["hash"], "row_key")
     wanted = again.groupBy("row_key").agg(F.collect_set(F.struct("first_line", "n_lines", "hash")).alias("want"))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, at, n, code, window = [], [], [], [], []
-        for i, (text, want) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            lines = encode(text).split(b"\n")
-            for w in want:
+        for i, (text, want) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+            lines = encode(text.as_py()).split(b"\n")
+            for w in want.as_py():
                 row.append(i)
                 at.append(w["first_line"])
                 n.append(w["n_lines"])
                 code.append(w["hash"])
                 window.append(b"\n".join(lines[w["first_line"] : w["first_line"] + w["n_lines"]]))
         pick = pa.array(row, pa.int64())
-        cols = [batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(x, pa.int64()) for x in (at, n, code)), pa.array(window, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["row_key", "id", "first_line", "n_lines", "hash", "window"])
+        cols = [batch.column(0).take(pick), *(pa.array(x, pa.int64()) for x in (at, n, code)), pa.array(window, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["row_key", "first_line", "n_lines", "hash", "window"])
 
-    kind = keyed.schema["id"].dataType.simpleString()
-    texts = keyed.join(wanted, "row_key").select("row_key", "id", "text", "want")
-    exact = written(arrow_map(texts, fn, f"row_key long, id {kind}, first_line long, n_lines long, hash long, window binary"), "line_bytes")
+    kind, id_type = (keyed.schema["row_key"].dataType.simpleString(), keyed.schema["row_key"].dataType["id"].dataType.simpleString())
+    texts = keyed.join(wanted, "row_key").select("row_key", "text", "want")
+    exact = written(arrow_map(texts, fn, f"row_key {kind}, first_line long, n_lines long, hash long, window binary"), "line_bytes")
     # Grouping by the bytes themselves is the byte comparison; partial sums meet a hot window map-side.
-    kept = exact.groupBy("hash", "n_lines", "window").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    overlaps = (F.col("kept.row_key") == F.col("row_key")) & (F.col("first_line") < F.col("kept.first_line") + F.col("n_lines"))
-    gone = exact.join(kept, ["hash", "n_lines", "window"]).filter((place != F.col("kept")) & ~overlaps)
-    hit = F.struct("first_line", "n_lines", F.col("kept.id").alias("kept_id"), F.col("kept.first_line").alias("kept_line"), F.col("kept.row_key").alias("kept_key"), "copies")
+    kept = written(exact.groupBy("hash", "n_lines", "window").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated_windows")
+    overlaps = (F.col("kept.id").eqNullSafe(F.col("row_key.id"))) & (F.col("kept.text") == F.col("row_key.text")) & (F.col("first_line") < F.col("kept.first_line") + F.col("n_lines"))
+    gone = dealt_join(exact, kept, ["hash", "n_lines", "window"], ["hash", "n_lines"], "row_key").filter(~place.eqNullSafe(F.col("kept")) & ~overlaps)
+    hit = F.struct("first_line", "n_lines", F.col("kept.id").alias("kept_id"), F.col("kept.first_line").alias("kept_line"), F.col("kept.text").alias("kept_text"), "copies")
     per = gone.groupBy("row_key").agg(F.collect_set(hit).alias("found"))
 
     def join(batch: pa.RecordBatch) -> pa.RecordBatch:
         item = batch.column(1).type.value_type
         fields = pa.struct([pa.field(k, item.field(k).type) for k in ("first_line", "n_lines", "kept_id", "kept_line", "copies")])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([joined_runs(x) for x in batch.column(1).to_pylist()], pa.list_(fields))], names=["row_key", "cut"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([joined_runs(x.as_py()) for x in batch.column(1)], pa.list_(fields))], names=["row_key", "cut"])
 
-    return arrow_map(per, join, f"row_key long, cut array<struct<first_line: long, n_lines: long, kept_id: {kind}, kept_line: long, copies: long>>")
+    return arrow_map(per, join, f"row_key {kind}, cut array<struct<first_line: long, n_lines: long, kept_id: {id_type}, kept_line: long, copies: long>>")
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (row_key, id, text).  The key hashes id and text: equal rows share it, which changes nothing."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """Rows (row_key, text).  Rows equal in id and text share their key, which changes nothing."""
+    return docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True) -> DataFrame:
     """The documents with the repeated passages cut out; a document that loses its last word goes, if drop_emptied."""
     cut = repeats(keyed_rows(docs, id_col, text_col))
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    keyed = docs.withColumn("__row_key", row_key(id_col, text_col))
     joined = keyed.join(cut.withColumnRenamed("row_key", "__row_key").withColumnRenamed("cut", "__cut"), "__row_key", "left")
     lines = F.split(F.col(text_col), "\n", -1)
     keep = F.filter(
@@ -154,25 +155,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op6_line_dedup(docs: DataFrame) -> DataFrame:
     """One row per removed passage, with the document and place that keep it; copies is that of its rarest window."""
     keyed = keyed_rows(docs, "doc_id", "text")
-    rows = keyed.join(repeats(keyed), "row_key").select("id", F.split("text", "\n", -1).alias("lines"), F.explode("cut").alias("c"))
+    rows = keyed.join(repeats(keyed), "row_key").select("row_key.id", F.split("text", "\n", -1).alias("lines"), F.explode("cut").alias("c"))
     passage = F.array_join(F.slice("lines", (F.col("c.first_line") + 1).cast("int"), F.col("c.n_lines").cast("int")), "\n")
     return rows.select(F.col("id").alias("doc_id"), "c.first_line", "c.n_lines", F.md5(passage).alias("digest"), F.col("c.kept_id").alias("kept_doc_id"), "c.kept_line", "c.copies")
 
 
-#: By DuckDB, over the view documents: still the rule of chunks of about four lines that the query followed before, which leaves most repeated passages.
+#: By DuckDB, over the view documents: windows of one long or two lines, their later occurrences, runs of these with one shift, and of the runs those not inside another.
 OP6_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i - 1 AS i, line, ('0x' || left(md5(line), 8))::BIGINT AS h, n
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i,
-               len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL)),
-e AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 + h) & 3 = 0 OR i = n - 1 AS ends FROM l),
-g AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
-k AS (
-  SELECT doc_id, min(i) AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk
-  FROM g GROUP BY doc_id, c HAVING count(*) > 1 AND regexp_matches(string_agg(line, chr(10) ORDER BY i), '[^\x20\x09-\x0D]')),
-r AS (
-  SELECT *, count(*) OVER (PARTITION BY chunk) AS copies, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first_line) AS o,
-         first_value(doc_id) OVER (PARTITION BY chunk ORDER BY doc_id, first_line) AS kept_doc_id,
-         first_value(first_line) OVER (PARTITION BY chunk ORDER BY doc_id, first_line) AS kept_line FROM k)
-SELECT doc_id, first_line::BIGINT AS first_line, n_lines::BIGINT AS n_lines, md5(chunk) AS digest, kept_doc_id, kept_line::BIGINT AS kept_line, copies::BIGINT AS copies
-FROM r WHERE o > 1"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM d),
+n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
+w AS (
+  SELECT doc_id, i, 2 AS n, line || chr(10) || next AS w FROM n WHERE next IS NOT NULL AND regexp_matches(line || next, '[^\x20\x09-\x0D]')
+  UNION ALL
+  SELECT doc_id, i, 1, line FROM n WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50),
+k AS (SELECT n, w, count(*) AS copies, min(struct_pack(d := doc_id, i := i)) AS kept FROM w GROUP BY n, w HAVING count(*) > 1),
+g AS (SELECT doc_id, i, n, kept.d AS kd, kept.i AS ki, copies FROM w JOIN k USING (n, w) WHERE NOT (doc_id = kept.d AND i < kept.i + n)),
+a AS (SELECT *, max(i + n) OVER (PARTITION BY doc_id, kd, ki - i ORDER BY i, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+b AS (SELECT *, count_if(reach IS NULL OR i > reach) OVER (PARTITION BY doc_id, kd, ki - i ORDER BY i, n DESC) AS run FROM a),
+r AS (SELECT doc_id, kd, ki - i AS shift, run, min(i) AS i, max(i + n) - min(i) AS lines, min(copies) AS copies, max(n) FILTER (reach IS NULL OR i > reach) AS lead FROM b GROUP BY doc_id, kd, ki - i, run),
+o AS (SELECT *, max(i + lines) OVER (PARTITION BY doc_id ORDER BY i, lines DESC, lead DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM r)
+SELECT doc_id, i::BIGINT AS first_line, lines::BIGINT AS n_lines, md5(array_to_string(list_slice(string_split(text, chr(10)), i + 1, i + lines), chr(10))) AS digest,
+       kd AS kept_doc_id, (i + shift)::BIGINT AS kept_line, copies::BIGINT AS copies
+FROM o JOIN d USING (doc_id) WHERE covered IS NULL OR i + lines > covered"""
