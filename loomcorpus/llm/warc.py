@@ -4,13 +4,14 @@ A capture is three records: request, response (or revisit of an equal payload) a
 and metadata name the main record in WARC-Concurrent-To.  Archives are written by Spark's text writer,
 whose line separator is the blank line that ends a WARC record: any file system, and its commit
 protocol, so a lost executor leaves no half file.  Reading parses by Content-Length, so a payload may
-hold anything.  Transactions are joined through the identifiers, and come out as one nested row each.
+hold anything.  Transactions are joined through the identifiers, and come out as one nested row each;
+a revisit's row holds the response that its WARC-Refers-To names, found among the records read.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; a null page_id is a
 capture without a number; payloads under `min_revisit` bytes are never revisits; rows that share
 page_id and payload share their identifiers and come out as captures each; of equal payloads all rows
-with the smallest page_id are responses; captures without a page_id are responses; other columns are
-ignored; empty tables give no rows.
+with the smallest page_id are responses; captures without a page_id are responses; a revisit whose
+response isn't there has null in its place; other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import shared_dir
+from loomcorpus.llm.common import dealt_join, shared_dir, written
 
 MIN_REVISIT = 100
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Records of a file at most: a file is parsed in one piece.
 FILE_RECORDS = 1000
+#: Revisits whose keys are broadcast at most, of 72 bytes each; with more, the pages are shuffled.
+BROADCAST_ROWS = 200_000
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, "
-    "payload_digest string, page_id long, payload binary, found_digest string, fields string"
+    "payload_digest string, page_id long, payload binary, payload_bytes long, found_digest string, fields string"
 )
 
 
@@ -50,13 +53,20 @@ def _record(kind: str, rid: Column, uri: Column, content_type: str, body: Column
     )
 
 
-def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """The pages with their digest, and kept_id: the page_id of the response that a revisit refers to, else null."""
+def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The pages with their digest, and kept_id: the page_id of the response that a revisit refers to, else null.
+
+    Digests alone are shuffled to find the revisits; these few go to the pages, unless they are more than broadcast_rows.
+    """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    # Only digests found twice are joined; a hot one is summed map-side and its rows are split by the skew join.
-    kept = base.filter((F.octet_length("html") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "least")
-    return base.join(kept, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("least") < F.col("page_id"), F.col("least")).alias("kept_id"))
+    digests = written(base.filter((F.octet_length("html") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest"), "digests")
+    least = written(digests.groupBy("digest").agg(F.min("page_id").alias("kept_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated_digests")
+    later = dealt_join(digests, least, ["digest"], ["digest"], "page_id").filter("kept_id < page_id").select("page_id", "digest", "kept_id").distinct()
+    later = written(later, "revisits")
+    if later.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        later = F.broadcast(later)
+    return base.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "kept_id")
 
 
 def main_id(page_id: Column, digest: Column) -> Column:
@@ -105,12 +115,12 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under a path; the digest of a response's payload is computed anew."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """One row per record of the archives under a path; size and digest of a response's payload are computed anew."""
     from hashlib import sha256
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"page_id": pa.int64(), "payload": pa.binary()}.get(n, pa.string())) for n in (c.split()[0] for c in RECORD.split(", "))])
+        schema = pa.schema([(n, {"page_id": pa.int64(), "payload": pa.binary(), "payload_bytes": pa.int64()}.get(n, pa.string())) for n in (c.split()[0] for c in RECORD.split(", "))])
 
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -130,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         "record_id": h.get("warc-record-id"), "type": kind, "concurrent_to": h.get("warc-concurrent-to"), "refers_to": h.get("warc-refers-to"),
                         "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "content_type": h.get("content-type"),
                         "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha256:") or None, "page_id": page,
-                        "payload": payload if kind == "response" else None, "found_digest": sha256(payload).hexdigest() if kind == "response" else None, "fields": fields,
+                        "payload": payload if with_payload and kind == "response" else None, "payload_bytes": len(payload) if kind == "response" else None, "found_digest": sha256(payload).hexdigest() if kind == "response" else None, "fields": fields,
                     })
                     size += len(block)
                     if size > 8_000_000 or len(rows) >= 1000:
@@ -139,41 +149,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    conf = spark.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # an archive a batch: bounded by the size of a file
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(fn, RECORD)
 
 
 def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per capture: main, request and metadata as structs, joined through concurrent-to identifiers.
+    """One row per capture: main, request, metadata and refers as structs; records: a written table.
 
-    Requests and metadata are one row for each identifier; a capture without them has null there.
+    Request and metadata are found through their concurrent-to identifiers and are one row for each; a capture without
+    them has null there.  refers: record_id, page_id, payload_bytes and found_digest of the response that a revisit names.
     """
-    cols = ["record_id", "type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "found_digest", F.octet_length("payload").cast("long").alias("payload_bytes")]
-    main = records.filter(F.col("type").isin("response", "revisit")).select(F.struct(*cols, *(["payload"] if with_payload else [])).alias("main"))
+    cols = ["record_id", "type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "found_digest", "payload_bytes"]
+    main = records.filter(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("key"), F.struct(*cols, *(["payload"] if with_payload else [])).alias("main"))
     side = records.filter(F.col("type").isin("request", "metadata")).select(F.col("concurrent_to").alias("key"), "type", F.struct("record_id", "target_uri", "page_id", "fields").alias("r"))
     pair = side.groupBy("key").agg(F.max(F.when(F.col("type") == "request", F.col("r"))).alias("request"), F.max(F.when(F.col("type") == "metadata", F.col("r"))).alias("metadata"))
-    return main.join(pair, F.col("main.record_id") == F.col("key"), "left").drop("key")
+    whole = written(main.join(pair, "key", "left").drop("key"), "captures")
+    named = whole.filter("main.type = 'revisit'").groupBy(F.col("main.refers_to").alias("target")).agg(F.count(F.lit(1)).alias("copies"))
+    response = whole.filter("main.type = 'response'").select(F.col("main.record_id").alias("target"), F.struct("main.record_id", "metadata.page_id", "main.payload_bytes", "main.found_digest").alias("refers"))
+    found = written(response.groupBy("target").agg(F.max("refers").alias("refers")).join(named, "target"), "responses")
+    revisits = whole.filter("main.type = 'revisit'").withColumn("target", F.col("main.refers_to"))
+    met = dealt_join(revisits, found, ["target"], ["target"], "main.record_id", how="left")
+    rest = whole.filter("main.type <> 'revisit'").withColumn("refers", F.lit(None).cast(found.schema["refers"].dataType))
+    return met.select(*whole.columns, "refers").unionByName(rest)
 
 
 def op7_warc_assembly(pages: DataFrame) -> DataFrame:
-    """The contract's columns, read back from the archives and assembled.
-
-    A revisit's payload is its response's, found through its digest, which both records carry.
-    """
+    """The contract's columns, read back from the archives and assembled: a revisit's payload is that of the response it names."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc"
     write_archives(pages, path)
-    whole = assemble(read_archives(spark, path), with_payload=False)
-    rows = whole.select(F.col("metadata.page_id").alias("page_id"), F.col("main.type").alias("record_type"), F.col("main.payload_digest").alias("payload_digest"),
-                        F.col("main.found_digest").alias("found"), F.col("main.payload_bytes").alias("bytes"))
-    # Of the responses that were revisited: their page and the bytes that were read.
-    kept = rows.filter((F.col("record_type") == "response") & F.col("page_id").isNotNull() & (F.col("bytes") >= MIN_REVISIT)).groupBy(F.col("found").alias("digest")).agg(F.min("page_id").alias("least"), F.max("bytes").alias("full"))
-    out = rows.join(kept, (F.col("payload_digest") == F.col("digest")) & (F.col("record_type") == "revisit"), "left")
-    return out.select(
-        "page_id", F.coalesce("bytes", "full").alias("payload_bytes"), F.coalesce("found", "digest").alias("payload_digest"), "record_type",
-        F.when(F.col("record_type") == "revisit", F.col("least")).alias("refers_to"),
+    records = written(read_archives(spark, path, with_payload=False), "records")
+    whole = assemble(records, with_payload=False)
+    return whole.select(
+        F.col("metadata.page_id").alias("page_id"), F.coalesce("main.payload_bytes", "refers.payload_bytes").alias("payload_bytes"), F.coalesce("main.found_digest", "refers.found_digest").alias("payload_digest"),
+        F.col("main.type").alias("record_type"), F.col("refers.page_id").alias("refers_to"),
     )
 
 
