@@ -3,8 +3,14 @@
 A classifier, counted on a labelled table, gives each document a posterior over domains.  Nonnegative
 rates, one for each document, are then fitted so that the expected tokens of each domain (rate times
 tokens times posterior) meet targets in least squares: projected gradient steps, taken in the metric
-of the domains' Gram matrix over the documents whose rate isn't zero.  A step needs one aggregation of
-a few sums; a rate follows from the posterior and the list of steps, so no state of the documents is kept.
+of the domains' Gram matrix over the documents that are free to move.  Documents with one posterior
+move alike, so their tokens are summed once and a step aggregates that small table; a rate follows from
+the posterior and the list of steps, so no state of the documents is kept.  Tokens are words here.
+
+The targets are the weights' shares of `total` tokens.  Without a total it is so large that the domain
+`keep` needs `surplus` times what it has, and at least what there is.  `most_rate` bounds the rates from
+above: with 1 no document is repeated, and domains short of tokens stay short.  A fit that neither meets
+its targets nor stands still after `steps` steps gives a warning; `residual` says what is missed.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and the rate of its posterior;
 repeated rows get equal rates; documents without labels, and labels that are null or repeated (smallest
@@ -15,6 +21,7 @@ labelled rows all domains are equally likely; other columns are kept; empty tabl
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,9 +44,12 @@ class Params:
     lift: float = 10.0  # the term's share of the domain's rows over its share of the others
     prefix: int = 5  # a term is the beginning of a word
     weights: dict[str, float] = field(default_factory=lambda: {"clean": 0.92, "low": 0.05, "toxic": 0.03})
-    keep: str = "clean"  # the whole is so large that this domain needs `surplus` times the tokens it has
+    total: float | None = None  # tokens that are wanted in all
+    keep: str = "clean"  # without a total, this domain needs `surplus` times the tokens it has
     surplus: float = 1.05
-    steps: int = 25
+    most_rate: float = math.inf
+    steps: int = 40
+    halvings: int = 12  # lengths of a step that are tried
     tolerance: float = 1e-9
 
 
@@ -130,50 +140,97 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, p: Params, label: Colum
     return Classifier(model.priors, marks, logs("__cell", rows), logs("__hits", rows.withColumn("__hits", model.hit_key())))
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """The rate after these steps, of rows with __p0, ...: max(0, rate + posterior . step), from 1."""
-    r = F.lit(1.0)
-    for step in steps:
-        r = F.greatest(F.lit(0.0), r + sum((F.col(f"__p{d}") * F.lit(float(x)) for d, x in enumerate(step)), F.lit(0.0)))
-    return r
+Step = tuple[list[float], list[float]]
+
+
+def with_rate(rows: DataFrame, steps: list[Step], most: float = math.inf) -> DataFrame:
+    """Rows with __p0, ... and __rate, the rate after these steps, from 1.
+
+    A step is what the domains lack and the way to go: rate + posterior . way, between 0 and most.  Documents at a bound
+    that what is lacking pulls outwards stay there.
+    """
+    rows = rows.withColumn("__rate", F.lit(min(1.0, most)))
+    for lack, way in steps:
+        rows = rows.withColumn("__rate", F.when(free(lack, most), moved(way, most)).otherwise(F.col("__rate")))
+    return rows
+
+
+def free(lack: list[float], most: float) -> Column:
+    r, pull = F.col("__rate"), along(lack)
+    return ((r > 1e-9) | (pull > 0)) & ((r < most * (1 - 1e-9)) | (pull < 0))
+
+
+def moved(way: list[float], most: float) -> Column:
+    r = F.greatest(F.lit(0.0), F.col("__rate") + along(way))
+    return F.least(F.lit(float(most)), r) if most < math.inf else r
+
+
+def along(step: list[float]) -> Column:
+    return sum((F.col(f"__p{d}") * F.lit(float(x)) for d, x in enumerate(step)), F.lit(0.0))
 
 
 @dataclass(frozen=True)
 class Mixture:
-    classifier: Classifier
-    steps: list[list[float]]
+    steps: list[Step]
     targets: list[float]
     reached: list[float]
-    rows: DataFrame  # doc_id, __tokens, __p0, ..., __draw of the documents, a written table
+    residual: float  # the most that a domain misses, as a share of the total
+    rows: DataFrame  # the documents with __tokens, __p0, ..., a written table
+
+
+def scored(docs: DataFrame, labelled: DataFrame, params: Params, columns: list[str]) -> DataFrame:
+    """These columns of the documents, __tokens, __p0, ... and __draw: written, so the texts are read once."""
+    rows = fit_classifier(docs, labelled, params).with_posterior(with_features(docs, params))
+    post = [f"__p{d}" for d in range(len(DOMAINS))]
+    return written(rows.select(*columns, "__tokens", *post, draw("doc_id", "text").alias("__draw")), "posteriors")
 
 
-def fit(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> Mixture:
-    """Fit classifier and rates.  The posteriors are written once; a step reads them and sums a few numbers."""
+def fit(docs: DataFrame, labelled: DataFrame, params: Params = Params(), columns: list[str] | None = None) -> Mixture:
+    """Fit classifier and rates; columns: those of the documents that the mixture's rows have, by default the id."""
+    rows = scored(docs, labelled, params, ["doc_id"] if columns is None else columns)
+    return Mixture(*fit_rates(rows, params), rows)
+
+
+def fit_rates(rows: DataFrame, params: Params = Params()) -> tuple[list[Step], list[float], list[float], float]:
+    """(steps, targets, reached, residual) of rows with __tokens and __p0, ....
+
+    Projected gradient steps in the metric of the free documents' Gram matrix; of a few lengths of each step the best is taken.
+    """
     p, k = params, len(DOMAINS)
-    classifier = fit_classifier(docs, labelled, p)
     post = [f"__p{d}" for d in range(k)]
-    rows = written(classifier.with_posterior(with_features(docs.select("doc_id", "text"), p)).select("doc_id", "__tokens", *post, draw("doc_id", "text").alias("__draw")), "posteriors")
+    # Cells times hits are fewer than 50,000, so the classes are, whatever the input.
+    classes = written(rows.groupBy(*post).agg(F.sum("__tokens").cast("double").alias("t")), "posterior_classes")
 
-    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        r = rows.withColumn("r", rate(steps))
-        at = [F.col(x) for x in post]
-        mass = [F.sum(F.col("r") * F.col("__tokens") * x) for x in at]
-        gram = [F.sum(F.when(F.col("r") > 0, F.col("__tokens") * at[a] * at[b]).otherwise(0.0)) for a in range(k) for b in range(k)]
-        out = np.array([x or 0.0 for x in r.agg(*mass, *gram).first()], dtype=float)
-        return out[:k], out[k:].reshape(k, k)
+    def sums(steps: list[Step], wanted: list[Column]) -> np.ndarray:
+        out = with_rate(classes, steps, p.most_rate).agg(*(F.sum(x) for x in wanted)).first()
+        return np.array([x or 0.0 for x in out], dtype=float).reshape(-1, k)
 
-    mass, gram = sums([])
+    mass = sums([], [F.col("__rate") * F.col("t") * F.col(x) for x in post])[0]
     weights = np.array([p.weights[d] for d in DOMAINS]) / sum(p.weights.values())
     at = DOMAINS.index(p.keep)
-    whole = max(mass.sum(), p.surplus * mass[at] / weights[at]) if weights[at] > 0 else mass.sum()
-    targets, steps = weights * whole, []
+    whole = p.total
+    if whole is None:
+        whole = max(mass.sum(), p.surplus * mass[at] / weights[at]) if weights[at] > 0 else mass.sum()
+    targets, steps, still = weights * whole, [], False
+    slack = p.tolerance * max(1.0, whole)
     for _ in range(p.steps):
-        miss = targets - mass
-        if np.abs(miss).max() <= p.tolerance * max(1.0, whole):
+        lack = (targets - mass).tolist()
+        if max(map(abs, lack)) <= slack:
+            break
+        gram = sums(steps, [F.when(free(lack, p.most_rate), F.col("t") * F.col(a) * F.col(b)).otherwise(0.0) for a in post for b in post])
+        ways = [(np.linalg.pinv(gram) @ lack * 0.5**i).tolist() for i in range(p.halvings)]
+        tried = sums(steps, [F.when(free(lack, p.most_rate), moved(way, p.most_rate)).otherwise(F.col("__rate")) * F.col("t") * F.col(x) for way in ways for x in post])
+        gaps = np.linalg.norm(targets - tried, axis=1)
+        best = int(gaps.argmin())
+        still = bool(gaps[best] >= np.linalg.norm(lack) - slack)
+        if still:
             break
-        steps.append((np.linalg.pinv(gram) @ miss).tolist())
-        mass, gram = sums(steps)
-    return Mixture(classifier, steps, targets.tolist(), mass.tolist(), rows)
+        steps.append((lack, ways[best]))
+        mass = tried[best]
+    residual = float(np.abs(targets - mass).max() / max(1.0, whole))
+    if residual > p.tolerance and not still:
+        warnings.warn(f"after {p.steps} steps the mixture misses a target by {residual:.2%} of all tokens", stacklevel=2)
+    return steps, targets.tolist(), mass.tolist(), residual
 
 
 def draw(id_col: str, text_col: str) -> Column:
@@ -185,21 +242,18 @@ def copies() -> Column:
     return F.floor(F.col("__rate") + F.col("__draw")).cast("int")
 
 
-def rated(docs: DataFrame, mixture: Mixture, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with __tokens, __p0, ... (posterior), __rate and __copies: the rate, rounded by a number drawn from id and text."""
-    rows = mixture.classifier.with_posterior(with_features(docs, params, text_col)).withColumn("__rate", rate(mixture.steps))
-    return rows.withColumn("__draw", draw(id_col, text_col)).withColumn("__copies", copies()).drop("__terms", "__cell", "__draw")
+def rated(mixture: Mixture, params: Params = Params()) -> DataFrame:
+    """The mixture's rows with __rate and __copies: the rate, rounded by a number drawn from id and text."""
+    return with_rate(mixture.rows, mixture.steps, params.most_rate).withColumn("__copies", copies())
 
 
 def mix(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> DataFrame:
     """The documents, each as often as its rate says; same columns."""
-    rows = rated(docs, fit(docs, labelled, params), params)
+    rows = rated(fit(docs, labelled, params, docs.columns), params)
     return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__one")).drop("__one")
 
 
 def op10_mixing(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row per document: its posteriors, rate and copies."""
-    mixture = fit(docs, labelled)
-    rows = mixture.rows.withColumn("__rate", rate(mixture.steps)).withColumn("__copies", copies())
     post = [F.col(f"__p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return rows.select("doc_id", F.col("__tokens").alias("tokens"), *post, F.col("__rate").alias("rate"), F.col("__copies").cast("long").alias("copies"))
+    return rated(fit(docs, labelled)).select("doc_id", F.col("__tokens").alias("tokens"), *post, F.col("__rate").alias("rate"), F.col("__copies").cast("long").alias("copies"))
