@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 #: Phrases by which an answer declines (straight and curly apostrophe).
 ABSTAIN = r"(?i)does not contain enough information|cannot answer|can['’]t answer|unable to answer|not enough information|insufficient (context|information)"
+#: Fixed value: a mark that cites passages by number.
 CITATION = r"\[(\d+(?:,\s*\d+)*)\]"
 
 

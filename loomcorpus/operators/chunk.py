@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcorpus.functions.text import atoms, slug, token_count
+from loomcorpus.functions.text import atoms, bound, slug, token_count
 
 
 def packed(parts: Column, most: int, overlap: int, counts: Column | None = None) -> Column:
@@ -15,38 +15,42 @@ def packed(parts: Column, most: int, overlap: int, counts: Column | None = None)
 
     counts: the atoms' tokens, if another counter than white space is wanted.
 
-    A fold over the atoms of one section: sections are independent, nothing is shuffled.
+    A fold over the counts of one section's atoms finds where chunks begin and end; texts are joined afterwards.
+    Sections are independent, so nothing is shuffled.
     """
-    atom = "struct<text:string,n:int>"
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.expr(f"cast(array() as array<{atom}>)").alias("buf"), F.lit(0).alias("t"))
 
-    def text(buf: Column) -> Column:
-        return F.array_join(F.transform(buf, lambda a: a["text"]), " ")
+    def state(cuts: Column, begin: Column, tokens: Column, at: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), begin.alias("begin"), tokens.alias("t"), at.alias("at"))
 
-    def emitted(s: Column) -> Column:
-        return F.when(F.size(s["buf"]) > 0, F.concat(s["out"], F.array(text(s["buf"])))).otherwise(s["out"])
+    def cut(begin: Column, end: Column) -> Column:
+        return F.array(F.struct(begin.alias("a"), end.alias("b")))
 
-    def suffix(buf: Column) -> Column:
-        zero = F.struct(F.expr(f"cast(array() as array<{atom}>)").alias("kept"), F.lit(0).alias("t"), F.lit(False).alias("stop"))
+    def closed(s: Column) -> Column:
+        return F.when(s["begin"] < s["at"], F.concat(s["cuts"], cut(s["begin"], s["at"]))).otherwise(s["cuts"])
 
-        def step(k: Column, a: Column) -> Column:
-            fits = ~k["stop"] & (k["t"] + a["n"] <= overlap)
-            return F.struct(F.when(fits, F.concat(F.array(a), k["kept"])).otherwise(k["kept"]).alias("kept"), F.when(fits, k["t"] + a["n"]).otherwise(k["t"]).alias("t"), (~fits).alias("stop"))
+    def carried(ns: Column, s: Column) -> Column:
+        """How many of the open chunk's last atoms fit the overlap, and their tokens."""
+        zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("t"), F.lit(False).alias("stop"))
 
-        return F.aggregate(F.reverse(buf), zero, step)
+        def step(c: Column, n: Column) -> Column:
+            fits = ~c["stop"] & (c["t"] + n <= overlap)
+            return F.when(fits, F.struct((c["k"] + 1).alias("k"), (c["t"] + n).alias("t"), F.lit(False).alias("stop"))).otherwise(F.struct(c["k"].alias("k"), c["t"].alias("t"), F.lit(True).alias("stop")))
 
-    def merge(s: Column, a: Column) -> Column:
-        carry = suffix(s["buf"])
-        alone = F.struct(F.concat(emitted(s), F.array(a["text"])).alias("out"), F.expr(f"cast(array() as array<{atom}>)").alias("buf"), F.lit(0).alias("t"))
-        turn = F.struct(emitted(s).alias("out"), F.concat(carry["kept"], F.array(a)).alias("buf"), (carry["t"] + a["n"]).alias("t"))
-        more = F.struct(s["out"].alias("out"), F.concat(s["buf"], F.array(a)).alias("buf"), (s["t"] + a["n"]).alias("t"))
-        return F.when(a["n"] > most, alone).when(s["t"] + a["n"] > most, turn).otherwise(more)
+        return F.aggregate(F.reverse(F.slice(ns, s["begin"] + 1, s["at"] - s["begin"])), zero, step)
 
-    if counts is None:
-        counted = F.transform(parts, lambda p: F.struct(p.alias("text"), token_count(p).alias("n")))
-    else:
-        counted = F.zip_with(parts, counts, lambda p, n: F.struct(p.alias("text"), n.alias("n")))
-    return F.filter(F.aggregate(counted, start, merge, emitted), lambda c: F.trim(c) != "")
+    def chunks(x: Column) -> Column:
+        def step(s: Column, n: Column) -> Column:
+            after = s["at"] + 1
+            alone = state(F.concat(closed(s), cut(s["at"], after)), after, F.lit(0), after)
+            turn = bound(carried(x["n"], s), lambda c: state(closed(s), s["at"] - c["k"], c["t"] + n, after)) if overlap else state(closed(s), s["at"], n, after)
+            return F.when(n > most, alone).when(s["t"] + n > most, turn).otherwise(state(s["cuts"], s["begin"], s["t"] + n, after))
+
+        start = state(F.expr("cast(array() as array<struct<a:int,b:int>>)"), F.lit(0), F.lit(0), F.lit(0))
+        texts = F.transform(F.aggregate(x["n"], start, step, closed), lambda c: F.array_join(F.slice(x["p"], c["a"] + 1, c["b"] - c["a"]), " "))
+        return F.filter(texts, lambda c: F.trim(c) != "")
+
+    counted = (lambda p: F.transform(p, token_count)) if counts is None else (lambda _: counts)
+    return bound(parts, lambda p: bound(F.struct(p.alias("p"), counted(p).alias("n")), chunks))
 
 
 def section_path(hierarchy: Column, source_name: Column) -> Column:

@@ -1,8 +1,8 @@
-"""The chunk index: a Parquet table keyed by chunk_id."""
+"""The chunk index: a Parquet table keyed by chunk_id, in hash buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 META = ["chunk_id", "source_type", "source_name", "section_path", "original_path", "chunk_index", "total_chunks_in_section", "token_count"]
@@ -18,8 +18,15 @@ def changed(new: DataFrame, index: DataFrame) -> DataFrame:
     return new.withColumn("content_hash", F.md5("text")).join(index.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_anti")
 
 
+def latest(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """One row for each key: of repeated keys the last in the order of the frame."""
+    w = Window.partitionBy(key).orderBy(F.desc("__at"))
+    return rows.withColumn("__at", F.monotonically_increasing_id()).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__at", "__n")
+
+
 def upserted(index: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    return index.join(new.select(key), key, "left_anti").unionByName(new)
+    """The index with the new rows in place of those with their keys; of keys that new repeats the last row counts."""
+    return index.join(new.select(key), key, "left_anti").unionByName(latest(new, key))
 
 
 def pruned(index: DataFrame, current: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -27,25 +34,31 @@ def pruned(index: DataFrame, current: DataFrame, key: str = "chunk_id") -> DataF
     return index.join(current.select(key), key, "left_semi")
 
 
-def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Replace a table that df may be reading: write beside it, then rename."""
-    jvm = spark.sparkContext._jvm
-    target, staging, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".staging", ".old"))
-    df.write.mode("overwrite").parquet(path + ".staging")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(staging, target)
-    fs.delete(old, True)
-
-
-def upsert(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Create the table if there is none, else upsert by chunk_id."""
+def _exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        new = upserted(spark.read.parquet(path), new)
-    swap(spark, new, path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def upsert(spark: SparkSession, new: DataFrame, path: str, buckets: int = 64) -> None:
+    """Create the table if there is none, else upsert by chunk_id.
+
+    The table is partitioned by a hash bucket of the id, as "number-of-buckets"; an upsert reads and replaces the
+    buckets that new rows fall into and leaves the others alone.  Spark writes them beside the table and moves each
+    into its place when all are written.
+    """
+    if found := _exists(spark, path) and spark.read.parquet(path).select("bucket").first():
+        buckets = int(found["bucket"].split("-")[1])
+    number = F.format_string(f"%05d-{buckets}", F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)))
+    fresh = new.withColumn("bucket", number).persist()
+    try:
+        rows = latest(fresh)
+        if found:
+            touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # at most all buckets
+            old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+            rows = old.join(fresh.select("chunk_id"), "chunk_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+        rows.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    finally:
+        fresh.unpersist()
 
 
 def metadata(index: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from loomcorpus.functions.text import bound, faith_score, judge_json
-from loomcorpus.providers import answer
+from loomcorpus.providers import Budget, answer
 
 FAITHFULNESS = "struct<judge: string, faithfulness_score: double, unsupported_claims: array<string>, reasoning: string, reason: string, raw: string, error: string>"
 QUALITY = "struct<score: int, reason: string, judge: string, error: string, raw: string>"
@@ -115,7 +115,7 @@ def gate(expected: Column, abstained: Column) -> Column:
     return F.coalesce(~expected & ~abstained, F.lit(False))
 
 
-def asked(rows: DataFrame, complete: Callable[[str], str], **prompts: Column) -> DataFrame:
+def asked(rows: DataFrame, complete: Callable[[str], str], budget: Budget | None = None, **prompts: Column) -> DataFrame:
     """Rows with the provider's replies to their prompts, <name>_raw and <name>_error; a null prompt isn't sent.
 
     One map over the rows, whatever the number of prompts: nothing is joined.
@@ -128,7 +128,7 @@ def asked(rows: DataFrame, complete: Callable[[str], str], **prompts: Column) ->
         for batch in batches:
             more = []
             for i in range(len(names)):
-                got = [(None, None) if p is None else answer(complete, p) for p in batch.column(width + i).to_pylist()]
+                got = [(None, None) if p is None else answer(complete, p, budget) for p in batch.column(width + i).to_pylist()]
                 more += [pa.array([x[j] for x in got], pa.string()) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], names=out.names)
 

@@ -79,10 +79,58 @@ def rejudged(results: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("judge_faithfulness", F.when(F.col("should_abstain"), none).when(keep, old).otherwise(F.col("__fresh"))).select(*results.columns)
 
 
+def placed(rows: DataFrame, order: str, name: str = "place", ranges: int = 64) -> DataFrame:
+    """Rows with their place from 0 in the order of a number column, nulls last; rows with equal numbers have places in any order.
+
+    The numbers are cut into ranges at approximate quantiles, at most `ranges` + 1 counts reach the driver, and rows are
+    numbered within their range: no task sorts the whole table.
+    """
+    cuts = list(rows.select(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or [])
+    within = sum(((F.col(order) > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    ranged = rows.withColumn("__range", F.coalesce(within, F.lit(ranges)))
+    sizes = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = {part: sum(n for other, n in sizes.items() if other < part) for part in sizes}
+    offset = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for kv in base.items() for x in kv)), F.col("__range").cast("long")) if base else F.lit(0).cast("long")
+    return ranged.withColumn(name, F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1 + offset).drop("__range")
+
+
 def sample_positions(rows: DataFrame, order: str) -> DataFrame:
-    """First, middle and last row by a dense ordinal column; their places come from one aggregation."""
+    """First, middle and last row by place in the order of a number column, whatever gaps the numbers have."""
     n = rows.count()
-    return rows.filter(F.col(order).isin(sorted({0, n // 2, n - 1})))
+    return placed(rows, order, "__place").filter(F.col("__place").isin(sorted({0, n // 2, n - 1}))).drop("__place")
+
+
+def source_sizes(files: DataFrame, source: str = "source", size: str = "bytes") -> DataFrame:
+    """Files and bytes of each source and in total."""
+    rows = files.rollup(source).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.grouping(source).alias("g"))
+    return rows.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col(source)).alias(source), "files", "bytes")
+
+
+def category_counts(rows: DataFrame, category: str = "category") -> DataFrame:
+    return rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_means(rows: DataFrame, score: str, category: str = "category") -> DataFrame:
+    """Rows, mean score and rows without a score of each category."""
+    return rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.count_if(F.col(score).isNull()).alias("n_null"))
+
+
+def category_summary(results: DataFrame) -> DataFrame:
+    """Of each category: results, and the means of recall, reciprocal rank, faithfulness and quality over those that have them (null where none has)."""
+    return results.groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("retrieval_metrics.recall_at_k"), 3).alias("recall"), F.round(F.avg("retrieval_metrics.mrr"), 3).alias("mrr"),
+        F.round(F.avg("judge_faithfulness.faithfulness_score"), 2).alias("faithfulness"), F.round(F.avg("judge_quality.score"), 2).alias("quality"),
+    )
+
+
+def false_abstentions(rows: DataFrame) -> DataFrame:
+    """Rows that should have been answered and weren't."""
+    return rows.filter(~F.coalesce("should_abstain", F.lit(False)) & F.coalesce("abstained", F.lit(False)))
+
+
+def unsupported(rows: DataFrame, claims: str = "unsupported_claims", category: str = "category") -> DataFrame:
+    """Of each category the results with claims that nothing supports."""
+    return rows.groupBy(category).agg(F.count_if(F.coalesce(F.size(claims) > 0, F.lit(False))).alias("unsupported"))
 
 
 def rate_window(log: DataFrame, seconds: int = 62, requests: int = 300, tokens: int = 4_000_000) -> DataFrame:

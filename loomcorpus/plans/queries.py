@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
 from loomcorpus.operators import chunk, index, judge, label, metrics, report, retrieve
 from loomcorpus.plans import evaluate
-from loomcorpus.providers import completed, embedded, overlap_judge
-from loomcorpus.sources import html, rst
+from loomcorpus.providers import batch_numbers, completed, embedded, overlap_judge
+from loomcorpus.sources import acquire, html, pdf, rst
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,7 +108,7 @@ def q_metrics(spark, d):
 
 @query("q_macro_means", _rank() + _TRUTH + " SELECT round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, count(recall) AS n FROM p")
 def q_macro(spark, d):
-    return _metrics(spark, d).agg(F.round(F.avg("recall_at_k"), 6).alias("recall"), F.round(F.avg("mrr"), 6).alias("mrr"), F.count("recall_at_k").alias("n"))
+    return metrics.macro_means(_metrics(spark, d)).withColumns({"recall": F.round("recall", 6), "mrr": F.round("mrr", 6)})
 
 
 @query("q_metric_gate_nulls", _rank() + _TRUTH + " SELECT count(*) AS n, count(*) - count(recall) AS n_null FROM p")
@@ -122,6 +122,13 @@ def q_by_category(spark, d):
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.avg("mrr"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.avg("recall_at_k"), F.lit(0.0)), 6).alias("recall"))
 
 
+@query("q_recall_by_category", _rank() + _TRUTH + """, h AS (SELECT w.query_id, count_if(r.rank <= 5) AS h5, count_if(r.rank <= 10) AS h10 FROM w LEFT JOIN r ON r.query_id = w.query_id AND r.chunk_id = w.chunk_id GROUP BY ALL)
+SELECT label, count_if(n > 0)::BIGINT AS n, round(coalesce(avg(rr), 0), 6) AS mrr, round(coalesce(avg(h5 / nullif(n, 0)), 0), 6) AS recall_5, round(coalesce(avg(h10 / nullif(n, 0)), 0), 6) AS recall_10 FROM p LEFT JOIN h USING (query_id) GROUP BY label""")
+def q_recall_by_category(spark, d):
+    rows = metrics.by_category(ranked(spark, d), truth(spark, d), asked(spark, d), "label", K)
+    return rows.withColumns({c: F.round(c, 6) for c in ("mrr", "recall_5", "recall_10")})
+
+
 @query("q_recall_at_ks", _rank() + _TRUTH + """, ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
 x AS (SELECT k, w.query_id, count(r.chunk_id) / count(*) AS f FROM ks, w LEFT JOIN r ON r.query_id = w.query_id AND r.chunk_id = w.chunk_id AND r.rank <= k GROUP BY ALL)
 SELECT k::INT AS k, round(avg(f), 6) AS recall FROM x GROUP BY k""")
@@ -193,9 +200,14 @@ def q_ids(spark, d):
     return _placed(spark, d).select("doc_id", chunk.path_hash(F.col("original_path"), F.col("section_path"), F.col("occurrence")).alias("path_hash"))
 
 
-@query("q_id_uniqueness", f"SELECT chunk_id, count(*) AS n FROM (SELECT path || '::' || section || '::' || occurrence AS chunk_id FROM ({_OCC})) GROUP BY chunk_id HAVING count(*) > 1")
+@query("q_id_uniqueness", f"""SELECT chunk_id, count(*) AS n, numbered FROM (SELECT path || '::' || section || '::' || occurrence AS chunk_id, true AS numbered FROM ({_OCC}) UNION ALL SELECT path || '::' || section, false FROM ({_OCC}))
+GROUP BY chunk_id, numbered HAVING count(*) > 1""")
 def q_unique(spark, d):
-    return chunk.repeated_ids(_placed(spark, d).select(F.concat_ws("::", "original_path", "section_path", F.col("occurrence").cast("string")).alias("chunk_id")))
+    """Ids that repeat: none with the occurrence number, many without it."""
+    rows = _placed(spark, d)
+    path = F.concat_ws("::", "original_path", "section_path")
+    numbered = chunk.repeated_ids(rows.select(F.concat_ws("::", path, F.col("occurrence").cast("string")).alias("chunk_id"))).withColumn("numbered", F.lit(True))
+    return numbered.unionByName(chunk.repeated_ids(rows.select(path.alias("chunk_id"))).withColumn("numbered", F.lit(False)))
 
 
 def _counted(spark, d):
@@ -218,8 +230,7 @@ def q_corpus(spark, d):
 
 @query("q_source_sizes", "SELECT coalesce(source, 'TOTAL') AS source, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (source)")
 def q_sizes(spark, d):
-    rows = t(spark, d, "documents").rollup("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.grouping("source").alias("g"))
-    return rows.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("source")).alias("source"), "files", "bytes")
+    return report.source_sizes(t(spark, d, "documents").select("source", F.octet_length("text").alias("bytes")))
 
 
 @query("q_incremental_new", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -264,10 +275,12 @@ def q_abstain(spark, d):
     return answers(spark, d).select("conv_id", "turn", T.abstained(F.col("answer")).alias("abstained"))
 
 
-@query("q_cited_sources", _rank(5) + ", c AS (SELECT query_id, unnest([1, (query_id // 20 % 7)::INT, 3]) AS rank FROM q) SELECT DISTINCT r.query_id, r.rank::INT AS rank, chunk_id FROM r JOIN (SELECT DISTINCT * FROM c) c ON c.query_id = r.query_id AND c.rank = r.rank")
+@query("q_cited_sources", _rank(5) + ", c AS (SELECT query_id, unnest([1, (query_id // 20 % 7)::INT, 3]) AS rank FROM q WHERE query_id // 20 % 4 <> 1) SELECT DISTINCT r.query_id, r.rank::INT AS rank, chunk_id FROM r JOIN (SELECT DISTINCT * FROM c) c ON c.query_id = r.query_id AND c.rank = r.rank")
 def q_cited(spark, d):
-    cites = asked(spark, d).select("query_id", F.explode(F.array_distinct(F.array(F.lit(1), (F.floor(F.col("query_id") / 20) % 7).cast("int"), F.lit(3)))).alias("rank"))
-    return ranked(spark, d, 5).join(cites, ["query_id", "rank"]).select("query_id", "rank", "chunk_id")
+    """Every fourth answer abstains, and so cites nothing."""
+    i = F.floor(F.col("query_id") / 20)
+    made = asked(spark, d).select("query_id", F.array(F.lit(1), (i % 7).cast("int"), F.lit(3)).alias("citations_used"), (i % 4 == 1).alias("abstained"))
+    return retrieve.cited(ranked(spark, d, 5), made).select("query_id", "rank", "chunk_id")
 
 
 @query("q_context_block", _rank(3) + " SELECT query_id, string_agg('[' || rank || '] Source: ' || source || ' | Section: ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents ON doc_id = chunk_id GROUP BY query_id")
@@ -303,13 +316,13 @@ def q_distribution(spark, d):
 
 @query("q_category_means", _RES + " SELECT category, count(*) AS n, round(avg(base), 6) AS mean, count(*) - count(base) AS n_null FROM x GROUP BY category")
 def q_means(spark, d):
-    return results(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("base"), 6).alias("mean"), F.count_if(F.col("base").isNull()).alias("n_null"))
+    return report.category_means(results(spark, d), "base").withColumn("mean", F.round("mean", 6))
 
 
 @query("q_unsupported_count", _RES + " SELECT category, count_if(base IS NULL) AS unsupported FROM x GROUP BY category")
 def q_unsupported(spark, d):
     claims = F.when(F.col("base").isNull(), F.array(F.lit("claim"))).otherwise(F.array().cast("array<string>"))
-    return results(spark, d).groupBy("category").agg(F.count_if(F.size(claims) > 0).alias("unsupported"))
+    return report.unsupported(results(spark, d).withColumn("unsupported_claims", claims))
 
 
 @query("q_abstention_prf", _RES + """, c AS (SELECT count_if(should_abstain AND abstained) AS tp, count_if(NOT should_abstain AND abstained) AS fp, count_if(should_abstain AND NOT abstained) AS fn, count_if(should_abstain = abstained) / count(*) AS acc FROM x),
@@ -348,12 +361,14 @@ def q_status(spark, d):
 
 @query("q_category_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY lang")
 def q_counts(spark, d):
-    return t(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang")
+    return report.category_counts(t(spark, d, "documents"), "lang").orderBy("lang")
 
 
-@query("q_sample_rows", "SELECT doc_id, source FROM documents WHERE doc_id IN (0, (SELECT count(*) // 2 FROM documents), (SELECT count(*) - 1 FROM documents))")
+@query("q_sample_rows", """WITH r AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM labels)
+SELECT doc_id, quality FROM r WHERE place IN (0, n // 2, n - 1)""")
 def q_sample(spark, d):
-    return report.sample_positions(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    """Of labels, whose ids have gaps."""
+    return report.sample_positions(t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
 @query("q_previews", "SELECT doc_id, replace(left(text, 200), chr(10), ' ') || CASE WHEN length(text) > 200 THEN '...' ELSE '' END AS short, replace(left(text, 300), chr(10), ' ') || '...' AS long FROM documents")
@@ -361,11 +376,14 @@ def q_previews(spark, d):
     return t(spark, d, "documents").select("doc_id", T.preview(F.col("text"), 200).alias("short"), T.preview(F.col("text"), 300, always=True).alias("long"))
 
 
-@query("q_links", """SELECT page_id, array_to_string(list_transform(list_filter(regexp_extract_all(h, 'href="([^"]*)"', 1), lambda x: regexp_matches(x, '\\.html$') AND NOT regexp_matches(x, '^(http|#)')), lambda x: 'https://example.org/' || x), ' ') AS links
-FROM (SELECT page_id, html || '<a href="c' || page_id || '.html"></a><a href="http://x.html"></a>' AS h FROM pages)""")
+@query("q_links", "SELECT page_id, 'https://example.org/c' || page_id || '.html' || CASE WHEN page_id % 2 = 0 THEN ' https://example.org/sub/index.html' ELSE '' END AS links FROM pages")
 def q_links(spark, d):
-    more = F.concat("html", F.lit('<a href="c'), F.col("page_id").cast("string"), F.lit('.html"></a><a href="http://x.html"></a>'))
-    return t(spark, d, "pages").select("page_id", more.alias("html")).select("page_id", F.array_join(html.links(), " ").alias("links"))
+    """Pages, which have no chapter links of their own, with a menu of links in all quotations: chapters, index pages, anchors, other hosts."""
+    menu = F.concat(
+        F.lit('<a href="c'), F.col("page_id").cast("string"), F.lit('.html">one</a><a class=x href=\'landing-page.html\'>two</a><a href="http://x.html"></a><a href="#a.html"></a><link href="no.html"><A HREF=\'c'), F.col("page_id").cast("string"),
+        F.lit(".html'>again</A><a href=index.html>three</a><a href='c1.pdf'>four</a>"), F.when(F.col("page_id") % 2 == 0, F.lit('<a href="sub/index.html">five</a>')).otherwise(F.lit("")),
+    )
+    return t(spark, d, "pages").select("page_id", F.concat("html", menu).alias("html")).select("page_id", F.array_join(html.links(), " ").alias("links"))
 
 
 @query("q_slug", r"SELECT p_partkey, left(regexp_replace(trim(lower(regexp_replace(p_name, '[^\w\s-]', '', 'g'))), '[\s_-]+', '_', 'g'), 60) AS slug FROM part")
@@ -374,33 +392,97 @@ def q_slug(spark, d):
 
 
 @query("q_section_runs", r"""WITH l AS (SELECT doc_id, i - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-s AS (SELECT *, sum(regexp_matches(trim(line), '^(?:[A-Z]|\d+)(?:\.\d+)*\.?\s{1,4}[A-Z]')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
-SELECT doc_id, section::BIGINT AS section, count(*) AS lines FROM s GROUP BY ALL""")
+h AS (SELECT *, length(trim(line)) >= 3 AND regexp_matches(trim(line), '^(?:[A-Z]|\d+)(?:\.\d+)*\.?\s{1,4}[A-Z]') AS h FROM l),
+s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
+SELECT doc_id, section::BIGINT AS section, max(trim(line)) FILTER (h) AS heading, md5(regexp_replace(string_agg(line, '' ORDER BY pos) FILTER (NOT h), '\s+', '', 'g')) AS letters
+FROM s GROUP BY ALL HAVING regexp_matches(string_agg(line, '' ORDER BY pos) FILTER (NOT h), '\S')""")
 def q_runs(spark, d):
-    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = lines.selectExpr("*", r"sum(cast(trim(line) rlike '^(?:[A-Z]|\\d+)(?:\\.\\d+)*\\.?\\s{1,4}[A-Z]' as int)) OVER (PARTITION BY doc_id ORDER BY pos) AS section")
-    return rows.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"))
+    """Documents as files of one page, in one size of type."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    lines = docs.select("file", F.lit(1).alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    chars = docs.select("file", F.lit(1).alias("page"), F.lit(0).alias("char_no"), F.lit(0.0).alias("top"), F.lit(10.0).alias("size"), F.lit(" ").alias("text"))
+    rows = pdf.pdf_sections(lines, chars)
+    return rows.select(F.col("file").cast("long").alias("doc_id"), F.col("section_no").alias("section"), F.get("section_hierarchy", F.lit(1)).alias("heading"), F.md5(F.regexp_replace("text", r"\s+", "")).alias("letters"))
 
 
-@query("q_slug_accents")
+@query("q_slug_accents", r"SELECT doc_id, left(regexp_replace(trim(lower(regexp_replace(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g'), '[^\w\s-]', '', 'g')), ' ' || chr(9) || chr(10) || chr(13)), '[\s_-]+', '_', 'g'), 60) AS slug FROM documents")
 def q_slug_accents(spark, d):
-    return t(spark, d, "documents").select("doc_id", T.slug(F.substring_index("text", "\n", 1)).alias("slug"))
+    return t(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
+
 
+#: Of pages, without tags and white space: h is the page without an unfinished tag, scripts, styles, menu and footer.
+_PAGES = r"""WITH p AS (SELECT page_id, regexp_replace(html, '<[^>]*$', '') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<script>.*?</script>|<style>.*?</style>', '', 'gs'), '<nav>.*?(</nav>|$)', '', 's'), '<footer>.*$', '', 's') AS h FROM p)"""
+_LETTERS = r"""regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({0}, '<!--(.*?)-->', '\1', 'g'), '<[^>]*>', '', 'g'), '&amp;?', '&', 'g'), '&quot;', '"'), '\s+', '', 'g')"""
 
-@query("q_html_sections")
+
+@query("q_html_sections", _PAGES + rf""",
+c AS (SELECT page_id, regexp_replace(h, '^.*?<body>', '', 's') AS h FROM b),
+s AS (
+  SELECT page_id, 0 AS k, page_id::VARCHAR AS path, split_part(h, '<h1>', 1) AS x FROM c
+  UNION ALL SELECT page_id, 1, regexp_extract(h, '<h1>(.*?)(</h1>|$)', 1, 's'), CASE WHEN contains(h, '</h1>') THEN split_part(h, '</h1>', 2) ELSE '' END FROM c),
+u AS (SELECT page_id, k, replace(regexp_replace(trim(path), '&amp;?', '&', 'g'), '&quot;', '"') AS path, {_LETTERS.format("x")} AS letters FROM s)
+SELECT page_id::VARCHAR AS page, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INT AS section_no, path AS section_path, letters FROM u WHERE letters <> ''""")
 def q_html(spark, d):
     pages = t(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
     rows = html.html_sections(pages, mode="heading")
-    return rows.select(F.col("doc_ord.original_path").alias("page"), F.col("doc_ord.section_no").alias("section_no"), F.array_join("section_hierarchy", " > ").alias("section_path"), "text")
+    return rows.select(F.col("doc_ord.original_path").alias("page"), F.col("doc_ord.section_no").alias("section_no"), F.array_join("section_hierarchy", " > ").alias("section_path"), F.regexp_replace("text", r"\s+", "").alias("letters"))
+
+
+@query("q_html_text", _PAGES + f" SELECT page_id::VARCHAR AS page, letters FROM (SELECT page_id, {_LETTERS.format('h')} AS letters FROM b) WHERE letters <> ''")
+def q_html_text(spark, d):
+    pages = t(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    return html.html_texts(pages).select(F.col("original_path").alias("page"), F.regexp_replace("text", r"\s+", "").alias("letters"))
+
 
+_INLINE = "text"
+for _pattern, _to in rst.INLINE:
+    _INLINE = f"regexp_replace({_INLINE}, '{_pattern}', '{_to}', 'g')"
 
-@query("q_rst_sections")
+
+@query("q_rst_sections", rf"""WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS first, substr(text, length(split_part(text, chr(10), 1)) + 2) AS text FROM documents)
+SELECT doc_id::VARCHAR AS original_path, trim(first) AS section_path, md5(regexp_replace({_INLINE}, '\s+', '', 'g')) AS letters FROM f WHERE trim({_INLINE}, ' ' || chr(10)) <> ''""")
 def q_rst(spark, d):
     """Documents as files whose first line is underlined."""
     first = F.substring_index("text", "\n", 1)
     body = F.concat(first, F.lit("\n"), F.repeat(F.lit("="), F.greatest(F.length(first), F.lit(2))), F.lit("\n"), F.expr("substr(text, length(substring_index(text, '\\n', 1)) + 2)"))
     rows = rst.sectioned(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), body.alias("text")), rst.sections, "docs", "docs")
-    return rows.select("original_path", F.array_join("section_hierarchy", " > ").alias("section_path"), "text")
+    return rows.select("original_path", F.array_join("section_hierarchy", " > ").alias("section_path"), F.md5(F.regexp_replace("text", r"\s+", "")).alias("letters"))
+
+
+@query("q_heading_lines", r"""WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM f),
+h AS (SELECT doc_id, i, trim(l[i]) AS line FROM r WHERE regexp_matches(l[i], '[^\x20\x09-\x0D]'))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS heading_no, line AS title, ['=', '-', '~'][1 + ((i - 1) % 3)::INT] AS rule FROM h""")
+def q_heading_lines(spark, d):
+    """Documents with a rule under every line that has words, in three kinds in turn: all of them are headings."""
+    rules = F.array(F.lit("="), F.lit("-"), F.lit("~"))
+    ruled = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.concat(x, F.lit("\n"), F.repeat(F.get(rules, i % 3), F.greatest(F.length(x), F.lit(2))))).otherwise(F.lit("")))
+    rows = rst.heading_rows(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.array_join(ruled, "\n").alias("text")))
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "heading_no", "title", "rule")
+
+
+@query("q_token_batches", rf"""WITH RECURSIVE c AS (SELECT doc_id, source, {_TOK.format('text')} AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+b AS (
+  SELECT doc_id, source, n, i, 0 AS batch, n::BIGINT AS total FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.doc_id, c.source, c.n, c.i, CASE WHEN total > 0 AND total + c.n > 5000 THEN batch + 1 ELSE batch END, CASE WHEN total > 0 AND total + c.n > 5000 THEN c.n ELSE total + c.n END::BIGINT FROM b JOIN c ON c.source = b.source AND c.i = b.i + 1)
+SELECT doc_id, batch::INT AS batch FROM b""")
+def q_token_batches(spark, d):
+    """Documents of each source in batches of 5000 words."""
+    rows = t(spark, d, "documents").select("doc_id", "source", T.token_count(F.col("text")).alias("n"))
+    return batch_numbers(rows, "source", "doc_id", "n", 5000).select("doc_id", "batch")
+
+
+_CHUNKS = _pack_sql(OVERLAP).replace("FROM documents)", f"FROM documents WHERE {_TOK.format('text')} > {MOST})", 1)
+
+
+@query("q_chunks", f"""{_CHUNKS.replace("SELECT doc_id, (row_number()", "SELECT * FROM (SELECT doc_id, (row_number()", 1).replace("SELECT * FROM (SELECT doc_id, (row_number()", ", k AS (SELECT doc_id, (row_number()", 1)} WHERE trim(chunk) <> ''),
+w AS (SELECT doc_id, pos, chunk FROM k UNION ALL SELECT doc_id, 0, text FROM documents WHERE {_TOK.format('text')} <= {MOST}),
+x AS (SELECT w.*, count(*) OVER (PARTITION BY w.doc_id) AS total, source, lang, left(md5(path || '::' || section || '::' || occurrence), 8) AS hash FROM w JOIN documents USING (doc_id) JOIN ({_OCC}) USING (doc_id))
+SELECT source || '::' || lang || '::' || hash || '::' || pos AS chunk_id, pos::INT AS chunk_index, total::INT AS total_chunks_in_section, {_TOK.format('chunk')}::INT AS token_count, md5(chunk) AS digest FROM x""")
+def q_chunks(spark, d):
+    """Sections to chunks with ids."""
+    return chunk.chunk_documents(sections(spark, d), MOST, OVERLAP).select("chunk_id", "chunk_index", "total_chunks_in_section", "token_count", F.md5("text").alias("digest"))
 
 
 @query("q_ingest")
@@ -494,9 +576,12 @@ def q_judge_abstention(spark, d):
     return rows.select("event_id", F.col("a.correct").alias("correct"), F.col("a.label").alias("label"), "judged")
 
 
-@query("q_false_abstentions", f"""SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0 AND regexp_matches({_ANSWER}, '(?i)does not contain enough information|cannot answer|can[''’]t answer|unable to answer|not enough information|insufficient (context|information)')""")
+@query("q_false_abstentions", f"""SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND regexp_matches({_ANSWER}, '(?i)does not contain enough information|cannot answer|can[''’]t answer|unable to answer|not enough information|insufficient (context|information)')""")
 def q_false_abstentions(spark, d):
-    return answers(spark, d).filter((F.col("turn") % 2 == 0) & T.abstained(F.col("answer"))).select("conv_id", "turn")
+    """An answer is expected of every turn but the system's."""
+    expected = t(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "system").alias("should_abstain"))
+    rows = answers(spark, d).withColumn("abstained", T.abstained(F.col("answer"))).join(expected, ["conv_id", "turn"])
+    return report.false_abstentions(rows).select("conv_id", "turn")
 
 
 @query("q_block_quote", "SELECT item_id, '> ' || replace(text, chr(10), chr(10) || '> ') AS quoted FROM benchmark")
@@ -504,26 +589,11 @@ def q_block_quote(spark, d):
     return t(spark, d, "benchmark").select("item_id", T.quoted(F.col("text")).alias("quoted"))
 
 
-#: Ranges of ids that q_ordinal_names numbers apart.
-PLACE_RANGES = 64
-
-
-@query("q_ordinal_names", "SELECT page_id, printf('%02d', row_number() OVER (ORDER BY page_id)) || '-' || regexp_replace(regexp_extract(rtrim(url, '/'), '[^/]*$'), '\\.html$', '') || '.html' AS name FROM pages WHERE page_id < 40")
+@query("q_ordinal_names", "SELECT page_id, printf('%02d', row_number() OVER (ORDER BY page_id)) || '-' || regexp_replace(regexp_extract(rtrim(url, '/'), '[^/]*$'), '\\.html$', '') || '.html' AS name FROM pages")
 def q_ordinal_names(spark, d):
-    """All pages in order of id under ordinal names.  A place is a row number within a range of ids and the count of the ranges before it."""
-    pages = t(spark, d, "pages").select("page_id", "url")
-    cuts = list(pages.select(F.percentile_approx("page_id", [k / PLACE_RANGES for k in range(1, PLACE_RANGES)], 10_000)).first()[0] or [])
-    within = sum(((F.col("page_id") > c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    ranged = pages.withColumn("part", F.coalesce(within, F.lit(PLACE_RANGES)))  # null ids last
-    # One count for each range: at most PLACE_RANGES rows reach the driver.
-    sizes, before, base = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()), 0, {}
-    for part, n in sizes:
-        base[part], before = before, before + n
-    offset = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for kv in base.items() for x in kv)), F.col("part").cast("long")) if base else F.lit(0).cast("long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("page_id")) + offset
-    slug = F.regexp_replace(F.regexp_extract(F.rtrim(F.col("url"), F.lit("/")), "[^/]*$", 0), r"\.html$", "")
-    number = ranged.select("page_id", slug.alias("slug"), place.cast("string").alias("place"))
-    return number.select("page_id", F.concat(F.when(F.length("place") < 2, F.lpad("place", 2, "0")).otherwise(F.col("place")), F.lit("-"), "slug", F.lit(".html")).alias("name"))
+    """All pages in order of id under ordinal names."""
+    number = report.placed(t(spark, d, "pages").select("page_id", "url"), "page_id").withColumn("place", (F.col("place") + 1).cast("string"))
+    return number.select("page_id", acquire.ordinal_names(F.col("place"), F.col("url")).alias("name"))
 
 
 def _embedded_docs(spark, d):
@@ -545,9 +615,32 @@ def q_eval_run(spark, d):
     )
 
 
-@query("q_eval_summary")
+def stored(spark, d):
+    """Result rows with every kind of gap, made from labels and documents."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    rows = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return rows.select(
+        i.cast("string").alias("id"), F.when(i % 13 != 0, F.col("lang")).alias("category"), F.when(i % 11 == 0, "late").alias("error"),
+        F.when(i % 7 != 0, F.struct(F.when(i % 3 != 0, (n % 5) / 4).alias("recall_at_k"), F.when(i % 3 != 0, 1.0 / (n % 4 + 1)).alias("mrr"))).alias("retrieval_metrics"),
+        F.when(i % 5 != 0, F.struct((F.col("toxic") == F.col("quality")).alias("correct"))).alias("judge_abstention"), F.when(i % 4 != 0, F.struct(((n % 3) / 2).alias("faithfulness_score"))).alias("judge_faithfulness"),
+        F.when(i % 6 != 0, F.struct((n % 5 + 1).alias("score"))).alias("judge_quality"), n.alias("input_tokens"), F.when(i % 2 == 0, n % 100).alias("output_tokens"),
+    )
+
+
+_STORED = """WITH x AS (SELECT CASE WHEN doc_id % 13 <> 0 THEN lang END AS category, doc_id % 11 = 0 AS failed, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 <> 0 THEN n_chars % 5 / 4 END AS recall, CASE WHEN doc_id % 7 <> 0 AND doc_id % 3 <> 0 THEN 1 / (n_chars % 4 + 1) END AS mrr,
+  CASE WHEN doc_id % 5 <> 0 THEN (toxic = quality)::INT END AS correct, CASE WHEN doc_id % 4 <> 0 THEN n_chars % 3 / 2 END AS faith, CASE WHEN doc_id % 6 <> 0 THEN n_chars % 5 + 1 END AS quality, n_chars, CASE WHEN doc_id % 2 = 0 THEN n_chars % 100 END AS out FROM labels JOIN documents USING (doc_id))"""
+
+
+@query("q_eval_summary", _STORED + """ SELECT count(*) AS n, count_if(failed)::BIGINT AS errors, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(correct), 6) AS abstention_accuracy, round(avg(faith), 6) AS faithfulness, round(avg(quality), 6) AS quality,
+sum(n_chars)::BIGINT AS input_tokens, sum(out)::BIGINT AS output_tokens FROM x""")
 def q_eval_summary(spark, d):
-    return report.eval_summary(_evaluated(spark, d))
+    rows = report.eval_summary(stored(spark, d))
+    return rows.withColumns({c: F.round(c, 6) for c in ("recall", "mrr", "abstention_accuracy", "faithfulness", "quality")})
+
+
+@query("q_category_summary", _STORED + " SELECT coalesce(category, 'unknown') AS category, count(*) AS n, round(avg(recall), 3) AS recall, round(avg(mrr), 3) AS mrr, round(avg(faith), 2) AS faithfulness, round(avg(quality), 2) AS quality FROM x GROUP BY category")
+def q_category_summary(spark, d):
+    return report.category_summary(stored(spark, d))
 
 
 @query("q_ablation_run")

@@ -7,12 +7,13 @@ import re
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
 
 class HashEmbedder:
@@ -67,16 +68,51 @@ class RateLimiter:
             self.sleep(max(0.01, self.window - (now - self.log[0][0]) + 0.01))
 
 
-def with_retry(call: Callable, attempts: int = 3, pause: float = 30.0, sleep: Callable[[float], None] = time.sleep):
+class Throttled(Exception):
+    """What a provider raises, itself or a subclass, if its service asks to slow down."""
+
+
+def with_retry(call: Callable, attempts: int = 3, pause: float = 30.0, sleep: Callable[[float], None] = time.sleep, on: type[Exception] | tuple[type[Exception], ...] = Exception):
     for i in range(attempts):
         try:
             return call()
-        except Exception:
+        except on:
             if i == attempts - 1:
                 raise
             sleep(pause * 2**i)
 
 
+@dataclass(frozen=True)
+class Budget:
+    """What all tasks together may send in a window; each of `callers` tasks that run at once keeps to its part of it.
+
+    Set callers to the cores of the cluster: a limiter lives in one Python worker and knows nothing of the others.
+    """
+
+    requests: int = 300
+    tokens: int = 4_000_000
+    window: float = 62.0
+    margin: float = 1.5
+    callers: int = 1
+    attempts: int = 3
+    pause: float = 30.0
+
+    def send(self, call: Callable, tokens: int):
+        """The call's result, after as long a wait as the budget asks for; throttled calls are tried again."""
+        limiter = _limiters.get(self)
+        if limiter is None:
+            limiter = _limiters[self] = RateLimiter(max(1, self.requests // self.callers), self.tokens // self.callers, self.window, self.margin)
+        limiter.wait(tokens)
+        return with_retry(call, self.attempts, self.pause, on=Throttled)
+
+
+_limiters: dict[Budget, RateLimiter] = {}
+
+
+def sent(budget: Budget | None, call: Callable, tokens: int):
+    return call() if budget is None else budget.send(call, tokens)
+
+
 def token_batches(counts: list[int], most: int = 80_000) -> list[int]:
     """Greedy, order-preserving batch numbers; an oversized item is a batch of its own."""
     out, number, total = [], 0, 0
@@ -88,51 +124,98 @@ def token_batches(counts: list[int], most: int = 80_000) -> list[int]:
     return out
 
 
-def embedded(chunks: DataFrame, embedder: Callable = HashEmbedder(), input_type: str = "document", text_col: str = "text", contain: bool = False) -> DataFrame:
-    """Chunks with their vectors, batched by tokens within each Arrow batch.
+def batch_numbers(rows: DataFrame, key: str, order: str, tokens: str, most: int = 80_000) -> DataFrame:
+    """Rows with the batch they fall into, as token_batches numbers them within each key in the given order.
 
-    If `contain`, a failing call gives its rows a null vector and their embed_error, instead of a failed task.
+    Greedy batches are a running fold: a task reads its keys' rows in order and remembers one number and one sum.
+    """
+    at = [rows.columns.index(c) for c in (key, tokens)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, number, total = object(), 0, 0
+        for batch in batches:
+            out = []
+            for k, n in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if k != group:
+                    group, number, total = k, 0, 0
+                if total and total + (n or 0) > most:
+                    number, total = number + 1, 0
+                total += n or 0
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*rows.columns, "batch"])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
+
+
+def embedded(chunks: DataFrame, embedder: Callable = HashEmbedder(), input_type: str = "document", text_col: str = "text", contain: bool = False, budget: Budget | None = None, most: int = 80_000) -> DataFrame:
+    """Chunks with their vectors, sent in batches of at most `most` tokens, under a budget if there is one.
+
+    Batches run on across Arrow batches, so a task sends as few as its rows allow.  If `contain`, a failing call gives
+    its rows a null vector and their embed_error, instead of a failed task.
     """
     at, names = chunks.columns.index(text_col), chunks.columns
+    added = [*names, "embedding", *["embed_error"] * contain]
+
+    def send(rows: pa.RecordBatch, texts: list[str], tokens: int) -> pa.RecordBatch:
+        error = None
+        try:
+            got = sent(budget, lambda: embedder(texts, input_type), tokens)
+            if len(got) != len(texts):
+                raise ValueError("the provider returned another number of vectors")
+        except Exception as e:
+            if not contain:
+                raise
+            got, error = [None] * len(texts), f"{type(e).__name__}: {e}"
+        more = [pa.array([error] * len(texts), pa.string())] if contain else []
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(got, pa.list_(pa.float32())), *more], names=added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        texts: list[str] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal total
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            out = send(rows, list(texts), total)
+            held.clear()
+            texts.clear()
+            total = 0
+            return out
+
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            number, vectors, errors = token_batches([len(t.split()) for t in texts]), [], []
-            for b in sorted(set(number)):
-                part = [t for t, n in zip(texts, number, strict=True) if n == b]
-                error = None
-                try:
-                    got = embedder(part, input_type)
-                    if len(got) != len(part):
-                        raise ValueError("the provider returned another number of vectors")
-                except Exception as e:
-                    if not contain:
-                        raise
-                    got, error = [None] * len(part), f"{type(e).__name__}: {e}"
-                vectors += got
-                errors += [error] * len(part)
-            more = [pa.array(errors, pa.string())] if contain else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32())), *more], names=[*names, "embedding", *["embed_error"] * contain])
-
-    added = [StructField("embedding", ArrayType(FloatType()))] + [StructField("embed_error", StringType())] * contain
-    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, *added]))
-
-
-def answer(complete: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+            start = 0
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                n = len((text or "").split())
+                if texts and total + n > most:
+                    held.append(batch.slice(start, i - start)) if i > start else None
+                    yield flush()
+                    start = i
+                texts.append(text or "")
+                total += n
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
+        if texts:
+            yield flush()
+
+    fields = [StructField("embedding", ArrayType(FloatType()))] + [StructField("embed_error", StringType())] * contain
+    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, *fields]))
+
+
+def answer(complete: Callable[[str], str], prompt: str, budget: Budget | None = None) -> tuple[str | None, str | None]:
     """(reply, error): a failing call is a value."""
     try:
-        return complete(prompt), None
+        return sent(budget, lambda: complete(prompt), len(prompt.split())), None
     except Exception as e:
         return None, f"{type(e).__name__}: {e}"
 
 
-def completed(prompts: DataFrame, complete: Callable[[str], str] = extractive_answer, model: str = "offline") -> DataFrame:
+def completed(prompts: DataFrame, complete: Callable[[str], str] = extractive_answer, model: str = "offline", budget: Budget | None = None) -> DataFrame:
     """Prompts with answer, usage and error: a failing call becomes a row, not a failed task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [answer(complete, p or "") for p in batch.column("prompt").to_pylist()]
+            got = [answer(complete, p or "", budget) for p in batch.column("prompt").to_pylist()]
             answers, errors = [x[0] for x in got], [x[1] for x in got]
             tokens = [[len((t or "").split()) for t in x] for x in (batch.column("prompt").to_pylist(), answers)]
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array([model] * len(answers)), *(pa.array(t, pa.int64()) for t in tokens)], names=["query_id", "answer", "error", "model", "input_tokens", "output_tokens"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 QUESTION = "id string, category string, question string, ground_truth_chunk_ids array<string>, reference_answer string, should_abstain boolean, notes string"
@@ -25,6 +27,28 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) if n not in ("should_abstain", "ground_truth_chunk_ids") else (bool(r.get(n)) if n == "should_abstain" else list(r.get(n) or [])) for n in names) for r in rows], QUESTION)
 
 
+def write_questions(questions: DataFrame, path: str, width: int = 120) -> None:
+    """Questions as a YAML file of the driver, in order of id; the list is small.  Strings are quoted, unset fields left out."""
+    import yaml
+
+    class Quoted(yaml.SafeDumper):
+        def increase_indent(self, flow=False, indentless=False):
+            return super().increase_indent(flow, False)
+
+    Quoted.add_representer(str, lambda d, s: d.represent_scalar("tag:yaml.org,2002:str", s, style="|" if "\n" in s else '"'))
+    names = [c.split()[0] for c in QUESTION.split(", ") if c.split()[0] in questions.columns]
+    rows = [{n: r[n] for n in names if r[n] is not None} for r in questions.select(*names).orderBy("id").collect()]
+    plain = [{yaml_key(k): v for k, v in r.items()} for r in rows]
+    text = yaml.dump(plain, Dumper=Quoted, width=width, sort_keys=False, allow_unicode=True, default_flow_style=False)
+    part = Path(f"{path}.part")
+    part.write_text(text, encoding="utf-8")
+    part.replace(path)
+
+
+class yaml_key(str):
+    """A key: written without quotation marks."""
+
+
 def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Result lines; malformed ones and those without an id are passed over, or fail if strict."""
     rows = spark.read.schema(RESULT).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")

@@ -25,37 +25,42 @@ def rule_char(line: str) -> str:
     return m[1] if m else ""
 
 
-def without_directives(lines: list[str], keep: frozenset[str] = frozenset()) -> list[str]:
-    """Lines outside directives and their bodies; of directives named in keep the body stays."""
-    out, margin = [], None
-    for line in lines:
-        body = line.lstrip()
-        indent = len(line) - len(body)
-        if margin is not None and (not body or indent > margin):
-            continue
-        margin = None
-        if DIRECTIVE.match(body):
-            name = NAME.match(body)
-            if not (name and name[1] in keep):
-                margin = indent + 2
-            continue
-        out.append(line)
-    return out
+def without_directives(lines: list[str], keep: frozenset[str] = frozenset()) -> Iterator[str]:
+    """Lines outside directives and their bodies; of directives named in keep the body stays.
+
+    A body reaches to the next line with words that is indented by no more than two places beyond the directive.
+    """
+    indent = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
+    at = 0
+    while at < len(lines):
+        body = lines[at].lstrip()
+        at += 1
+        if not DIRECTIVE.match(body):
+            yield lines[at - 1]
+        elif not ((name := NAME.match(body)) and name[1] in keep):
+            margin = indent[at - 1] + 2
+            at = next((i for i in range(at, len(lines)) if indent[i] is not None and indent[i] <= margin), len(lines))
+
+
+#: Over two characters for each line, its kind and whether the line below underlines it: a title between equal rules, an underlined title, or any one line.
+HEADING = re.compile("(?P<rule>[" + re.escape(RULE_CHARS) + r"]).[^ ].(?P=rule).|[^ ]u(?P<under>.).|..", re.DOTALL)
 
 
 def headings(lines: list[str]) -> list[tuple[int, int, str, str]]:
-    """(first row, row after, text, rule character) of each heading."""
-    found, i = [], 0
-    rules = [rule_char(x) for x in lines] + ["", ""]
-    while i < len(lines):
-        if rules[i] and rules[i] == rules[i + 2] and lines[i + 1].strip():
-            found.append((i, i + 3, lines[i + 1].strip(), rules[i]))
-            i += 3
-        elif lines[i].strip() and rules[i + 1] and len(lines[i + 1].rstrip()) >= len(lines[i].rstrip()) - 2:
-            found.append((i - 1 if i and rules[i - 1] else i, i + 2, lines[i].strip(), rules[i + 1]))
-            i += 2
-        else:
-            i += 1
+    """(first row, row after, text, rule character) of each heading.
+
+    Lines are classified first: blank, rule or other; headings are then patterns of kinds.
+    """
+    kinds = [rule_char(x) or (" " if not x.strip() else "x") for x in lines]
+    lined = ["u" if k != " " and kinds[i + 1 : i + 2] not in ([" "], ["x"], []) and len(lines[i + 1].rstrip()) >= len(lines[i].rstrip()) - 2 else "-" for i, k in enumerate(kinds)]
+    found = []
+    for m in HEADING.finditer("".join(k + u for k, u in zip(kinds, lined, strict=True))):
+        at = m.start() // 2
+        if m["rule"]:
+            found.append((at, at + 3, lines[at + 1].strip(), m["rule"]))
+        elif m["under"]:
+            over = at > 0 and kinds[at - 1] in RULE_CHARS  # another rule above belongs to the heading, not to the text before
+            found.append((at - over, at + 2, lines[at].strip(), m["under"]))
     return found
 
 
@@ -67,7 +72,7 @@ def clean(text: str) -> str:
 
 def sections(text: str, stem: str, keep: frozenset[str] = frozenset()) -> Iterator[tuple[list[str], str]]:
     """(hierarchy, text); text before the first heading is dropped, a file without headings is one section."""
-    lines = without_directives(text.splitlines(), keep)
+    lines = list(without_directives(text.splitlines(), keep))
     marks = headings(lines)
     if not marks:
         if body := clean("\n".join(lines)):
@@ -83,6 +88,18 @@ def sections(text: str, stem: str, keep: frozenset[str] = frozenset()) -> Iterat
             yield [t for _, t in path], body
 
 
+def heading_rows(rows: DataFrame) -> DataFrame:
+    """Of rows (path, text): heading_no, title and rule character of each heading of each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = headings((text or "").splitlines())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array([t for *_, t, _ in found], pa.string()), pa.array([c for *_, c in found], pa.string())], names=["path", "heading_no", "title", "rule"])
+
+    return rows.select("path", "text").mapInArrow(run, "path string, heading_no int, title string, rule string")
+
+
 SCHEMA = "original_path string, section_no int, text string, section_hierarchy array<string>"
 
 
