@@ -49,8 +49,9 @@ def packed(parts: Column, most: int, overlap: int, counts: Column | None = None)
         texts = F.transform(F.aggregate(x["n"], start, step, closed), lambda c: F.array_join(F.slice(x["p"], c["a"] + 1, c["b"] - c["a"]), " "))
         return F.filter(texts, lambda c: F.trim(c) != "")
 
-    counted = (lambda p: F.transform(p, token_count)) if counts is None else (lambda _: counts)
-    return bound(parts, lambda p: bound(F.struct(p.alias("p"), counted(p).alias("n")), chunks))
+    if counts is not None:
+        return bound(F.struct(parts.alias("p"), counts.alias("n")), chunks)
+    return bound(parts, lambda p: bound(F.struct(p.alias("p"), F.transform(p, token_count).alias("n")), chunks))
 
 
 def section_path(hierarchy: Column, source_name: Column) -> Column:

@@ -123,7 +123,7 @@ def q_by_category(spark, d):
 
 
 @query("q_recall_by_category", _rank() + _TRUTH + """, h AS (SELECT w.query_id, count_if(r.rank <= 5) AS h5, count_if(r.rank <= 10) AS h10 FROM w LEFT JOIN r ON r.query_id = w.query_id AND r.chunk_id = w.chunk_id GROUP BY ALL)
-SELECT label, count_if(n > 0)::BIGINT AS n, round(coalesce(avg(rr), 0), 6) AS mrr, round(coalesce(avg(h5 / nullif(n, 0)), 0), 6) AS recall_5, round(coalesce(avg(h10 / nullif(n, 0)), 0), 6) AS recall_10 FROM p LEFT JOIN h USING (query_id) GROUP BY label""")
+SELECT label, count_if(n > 0)::BIGINT AS n, round(coalesce(avg(rr), 0), 6) AS mrr, round(coalesce(avg(coalesce(h5, 0) / nullif(n, 0)), 0), 6) AS recall_5, round(coalesce(avg(coalesce(h10, 0) / nullif(n, 0)), 0), 6) AS recall_10 FROM p LEFT JOIN h USING (query_id) GROUP BY label""")
 def q_recall_by_category(spark, d):
     rows = metrics.by_category(ranked(spark, d), truth(spark, d), asked(spark, d), "label", K)
     return rows.withColumns({c: F.round(c, 6) for c in ("mrr", "recall_5", "recall_10")})

@@ -103,7 +103,7 @@ class Budget:
         if limiter is None:
             limiter = _limiters[self] = RateLimiter(max(1, self.requests // self.callers), self.tokens // self.callers, self.window, self.margin)
         limiter.wait(tokens)
-        return with_retry(call, self.attempts, self.pause, on=Throttled)
+        return with_retry(call, self.attempts, self.pause, limiter.sleep, Throttled)
 
 
 _limiters: dict[Budget, RateLimiter] = {}
@@ -129,7 +129,8 @@ def batch_numbers(rows: DataFrame, key: str, order: str, tokens: str, most: int
 
     Greedy batches are a running fold: a task reads its keys' rows in order and remembers one number and one sum.
     """
-    at = [rows.columns.index(c) for c in (key, tokens)]
+    names = [*rows.columns, "batch"]
+    at = [names.index(c) for c in (key, tokens)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, number, total = object(), 0, 0
@@ -142,7 +143,7 @@ def batch_numbers(rows: DataFrame, key: str, order: str, tokens: str, most: int
                     number, total = number + 1, 0
                 total += n or 0
                 out.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*rows.columns, "batch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=names)
 
     return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
 

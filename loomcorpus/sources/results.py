@@ -36,16 +36,17 @@ def write_questions(questions: DataFrame, path: str, width: int = 120) -> None:
             return super().increase_indent(flow, False)
 
     Quoted.add_representer(str, lambda d, s: d.represent_scalar("tag:yaml.org,2002:str", s, style="|" if "\n" in s else '"'))
+    Quoted.add_representer(Key, lambda d, s: d.represent_scalar("tag:yaml.org,2002:str", str(s)))
     names = [c.split()[0] for c in QUESTION.split(", ") if c.split()[0] in questions.columns]
     rows = [{n: r[n] for n in names if r[n] is not None} for r in questions.select(*names).orderBy("id").collect()]
-    plain = [{yaml_key(k): v for k, v in r.items()} for r in rows]
+    plain = [{Key(k): v for k, v in r.items()} for r in rows]
     text = yaml.dump(plain, Dumper=Quoted, width=width, sort_keys=False, allow_unicode=True, default_flow_style=False)
     part = Path(f"{path}.part")
     part.write_text(text, encoding="utf-8")
     part.replace(path)
 
 
-class yaml_key(str):
+class Key(str):
     """A key: written without quotation marks."""
 
 

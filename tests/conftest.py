@@ -6,7 +6,8 @@ from pyspark.sql import SparkSession
 def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
     s = (
-        SparkSession.builder.master("local[4]").appName("tests")
+        # Short jobs: the first compiler is enough.
+        SparkSession.builder.master("local[4]").appName("tests").config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", str(base / "shared")).config("spark.sql.warehouse.dir", str(base / "warehouse")).getOrCreate()
     )
