@@ -80,10 +80,8 @@ def chunk_documents(sections: DataFrame, most: int = 1500, overlap: int = 100, c
         size, counts = F.col("text_tokens"), F.col("atom_tokens")
     parts = packed(F.col("atoms") if counter else atoms(F.col("text")), most, overlap, counts)
     rows = rows.withColumn("chunks", F.when(size <= most, whole).otherwise(parts)).withColumn("chunks", F.when(F.size("chunks") > 0, F.col("chunks")).otherwise(whole))
-    if counter:
-        rows = rows.withColumn("chunk_tokens", counter(F.col("chunks")))
     out = rows.select("*", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "chunk"))
-    tokens = F.get("chunk_tokens", F.col("chunk_index")) if counter else token_count(F.col("chunk"))
+    tokens = counter(F.array("chunk"))[0] if counter else token_count(F.col("chunk"))
     return out.select(
         F.col("chunk").alias("text"), F.concat_ws("::", "source_name", "slug", "path_hash", F.col("chunk_index").cast("string")).alias("chunk_id"), "source_type", "source_name",
         "section_path", F.coalesce("original_path", F.lit("")).alias("original_path"), "chunk_index", "total_chunks_in_section", tokens.alias("token_count"),
