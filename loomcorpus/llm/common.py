@@ -46,7 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again: what was made of them must be written itself."""
+    for t in tables:
+        if path := getattr(t, "written_path", None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def row_key(id_col: str, text_col: str):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import SPACE, WORD, arrow_map, dealt_join, encode, row_key, written
+from loomcorpus.llm.common import SPACE, WORD, arrow_map, dealt_join, discard, encode, row_key, written
 
 LONG_WORDS = 50  # a line of more words is removed alone
 MULTIPLIER = 31
@@ -115,6 +115,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
     kind, id_type = (keyed.schema["row_key"].dataType.simpleString(), keyed.schema["row_key"].dataType["id"].dataType.simpleString())
     texts = keyed.join(wanted, "row_key").select("row_key", "text", "want")
     exact = written(arrow_map(texts, fn, f"row_key {kind}, first_line long, n_lines long, hash long, window binary"), "line_bytes")
+    discard(found, many)
     # Grouping by the bytes themselves is the byte comparison; partial sums meet a hot window map-side.
     kept = written(exact.groupBy("hash", "n_lines", "window").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated_windows")
     overlaps = (F.col("kept.id").eqNullSafe(F.col("row_key.id"))) & (F.col("kept.text") == F.col("row_key.text")) & (F.col("first_line") < F.col("kept.first_line") + F.col("n_lines"))

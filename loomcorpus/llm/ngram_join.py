@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import arrow_map, encode, written
+from loomcorpus.llm.common import arrow_map, discard, encode, written
 
 U = np.uint64
 P1, P2, P3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -320,7 +320,7 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     Tasks of about task_edges links each join what they hold; what one task can't see is joined by large and small stars
     between them, until nothing changes.  Each round is a written table, so a lost executor costs one round.
     """
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = kept = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state, seen = ("count(1) AS n", "bit_xor(xxhash64(u, v)) AS h"), None
     while True:
         now = edges.selectExpr(*state).first()
@@ -337,7 +337,11 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
         hook = large.join(down, "u")
         small = hook.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v")).distinct()
         edges = written(small, "edges")
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "labels")
+        discard(kept)
+        kept = edges
+    labels = written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "labels")
+    discard(kept)
+    return labels
 
 
 def chosen(rows: DataFrame, p: Params) -> DataFrame:
@@ -410,8 +414,8 @@ def outlines(classes: DataFrame, p: Params) -> DataFrame:
     return classes.select("digest", F.struct(*(F.col("outline")[i].alias(f"w{i}") for i in range(p.outline // 64))).alias("outline"))
 
 
-def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
-    """Rows in which two sets of different components meet at a token.  index: token, pos, digest, n, l, label.
+def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Rows in which two sets of different components meet at a token, and a table they are read from.  index: token, pos, digest, n, l, label.
 
     Rows of a list's largest component meet only the others' rows; lists of one component go at once.
     shapes: (digest, outline), looked up for lists that more than p.crowded components share; their rows
@@ -425,7 +429,8 @@ def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
     w = Window.partitionBy("digest").orderBy("pos").rowsBetween(-p.before, -1)
     crowd = live.filter(many).join(shapes, "digest").withColumn("before", F.collect_list("token").over(w))
     # Written: both sides of the join below read it, and the lookup runs once.
-    live = written(crowd, "crowd").unionByName(live.filter(~many), allowMissingColumns=True)
+    crowd = written(crowd, "crowd")
+    live = crowd.unionByName(live.filter(~many), allowMissingColumns=True)
     cols = ["digest", "pos", "n", "l", "label", "outline", "before"]
     mine, all_ = F.pmod(F.xxhash64("digest"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     x = live.filter("label <> main").select("token", mine.alias("block_x"), all_.alias("block_y"), *(F.col(c).alias(f"{c}_x") for c in cols))
@@ -439,14 +444,14 @@ def meetings(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
     differ = sum(F.bit_count(F.col("outline_x")[f"w{i}"].bitwiseXOR(F.col("outline_y")[f"w{i}"])) for i in range(p.outline // 64))
     alike = F.col("outline_x").isNull() | (differ <= F.col("n_x") + F.col("n_y") - 2 * common(p))
     new = F.col("before_x").isNull() | (F.size(F.array_intersect("before_x", "before_y")) < l)
-    return x.join(y, ["token", "block_x", "block_y"]).filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near & (most >= common(p)) & alike & new)
+    return x.join(y, ["token", "block_x", "block_y"]).filter((F.col("label_x") != F.col("label_y")) & once & long_enough("n_x", "n_y", p) & near & (most >= common(p)) & alike & new), crowd
 
 
-def candidate_pairs(index: DataFrame, shapes: DataFrame, p: Params) -> DataFrame:
-    """(a, b) of different components that share l prefix n-grams."""
-    met, l = meetings(index, shapes, p), F.least("l_x", "l_y")
+def candidate_pairs(index: DataFrame, shapes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of different components that share l prefix n-grams, and a table they are read from."""
+    (met, crowd), l = meetings(index, shapes, p), F.least("l_x", "l_y")
     pair = F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")
-    return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.first(l).alias("l")).filter("c >= l").select("a", "b")
+    return met.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.first(l).alias("l")).filter("c >= l").select("a", "b"), crowd
 
 
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -460,8 +465,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     """One row per document: id, n_shingles, class_id (the smallest id with the same n-gram set; null if empty), component_id."""
     p = params
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sigs = written(signatures(rows, p), "signatures")
-    classes = written(classes_of(sigs), "classes")
+    whole = written(signatures(rows, p), "signatures")
+    classes, sigs = written(classes_of(whole), "classes"), written(whole.select("id", "n", "set_key"), "documents_sets")
+    discard(whole)
     posts = written(posting_rows(classes), "postings")
     labels = sigs.sparkSession.createDataFrame([], "node long, root long")
 
@@ -470,24 +476,36 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         wanted = written(classes.select("digest", "text_key").join(nodes, "digest"), "wanted")
         sets = written(whole_sets(rows, wanted, p), "sets")
-        return written(verified(pairs, sets, p), "links")
+        links = written(verified(pairs, sets, p), "links")
+        discard(pairs, wanted, sets)
+        return links
 
     def joined(pairs: DataFrame) -> DataFrame:
         """The labels with the links among these pairs; a component is known by the pairs of its nodes and root."""
         new = check(pairs)
-        return labels if new.isEmpty() else components(labels.selectExpr("node AS a", "root AS b").unionByName(new))
+        if new.isEmpty():
+            return labels
+        out = components(labels.selectExpr("node AS a", "root AS b").unionByName(new))
+        discard(new, labels)
+        return out
 
     for i in range(p.rounds):
         labels = joined(leader_pairs(posts, classes, labels, p, i))
     base = F.col("n") - needed(F.col("n"), p.percent)
     index = posts.join(chosen(posts, p), "digest").filter(F.col("pos") < base + F.col("l")).drop("df")
     index = index.join(labels.withColumnsRenamed({"node": "digest", "root": "label"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    pairs = written(by_prefixes(candidate_pairs(written(index, "index"), outlines(classes, p), p), classes, p), "candidates")
+    index = written(index, "index")
+    discard(posts)
+    met, crowd = candidate_pairs(index, outlines(classes, p), p)
+    pairs = written(by_prefixes(met, classes, p), "candidates")
+    discard(index, crowd)
     for _ in range(p.rounds):
         best = pairs.groupBy("a").agg(F.max(F.struct("promise", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         labels = joined(best)
-        pairs = between(pairs, labels)
+        before, pairs = pairs, written(between(pairs, labels), "open_pairs")
+        discard(before)
     labels = joined(pairs.select("a", "b")).withColumnRenamed("node", "digest")
+    discard(pairs)
     named = classes.select("digest", "set_key", "least").join(labels, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     first = named.groupBy("root").agg(F.min("least").alias("component"))
     names = named.join(first, "root").select("set_key", F.col("least").alias("class_id"), "component")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import dealt_join, shared_dir, written
+from loomcorpus.llm.common import dealt_join, discard, shared_dir, written
 
 MIN_REVISIT = 100
 END = "\r\n\r\n"
@@ -64,6 +64,7 @@ def captures(pages: DataFrame, min_revisit: int = MIN_REVISIT, broadcast_rows: i
     least = written(digests.groupBy("digest").agg(F.min("page_id").alias("kept_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeated_digests")
     later = dealt_join(digests, least, ["digest"], ["digest"], "page_id").filter("kept_id < page_id").select("page_id", "digest", "kept_id").distinct()
     later = written(later, "revisits")
+    discard(digests, least)
     if later.limit(broadcast_rows + 1).count() <= broadcast_rows:
         later = F.broadcast(later)
     return base.join(later, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "kept_id")
