@@ -190,8 +190,8 @@ def _tables() -> tuple[dict[str, str], list[tuple[str, str, list[str]]]]:
 
 
 SENTENCES, RULES = _tables()
-#: Every sentence of the table holds one of these (with any white space and punctuation for a blank), so texts without any are passed over.
-ANCHORS = ("licen", "redistribut", "permission", "warrant", "copyright", "public domain", "free software", "without fee", "under cc", "this software", "in no event", "altered", "mpl", "wtfpl", "fitness", "source distribution")
+#: Every sentence of the table holds one of these, so texts without any are passed over.
+ANCHORS = ("licen", "distribut", "permission", "warrant", "copyright", "software", "wtfpl")
 
 
 def rule_pattern(sentences: list[str]) -> str:
@@ -205,15 +205,39 @@ def entry_pattern(sentence: str, wrap: str = "/") -> str:
     return f"[ {wrap}|]".join(f"[ {wrap}]".join(p.split(" ")) for p in parts if p)
 
 
-#: The entries in a cut text, the longest first, between ends of sentences or lines.
-KNOWN = "(?<=[|/])(?:" + "|".join(entry_pattern(s) for s in sorted(SENTENCES.values(), key=lambda s: -len(normal(s)))) + ")(?=[|/])"
+def known_pattern(sentences: list[str]) -> str:
+    """A pattern of any entry in a cut text, between ends of sentences or lines; of entries that begin alike, the longest.
+
+    Entries share the pattern of the words that they begin with, so a place is tried once for each beginning.
+    """
+    tree: dict = {}
+    for sentence in sorted(sentences, key=lambda s: -len(normal(s))):
+        node = tree
+        for word in re.split(r"(?<=\])(?=[a-z0-9])", "[]" + entry_pattern(sentence).replace("[", "\0[").replace("]", "]")):
+            for part in word.split("\0"):
+                if part != "[]":
+                    node = node.setdefault(part, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        found = [part + pattern(below) for part, below in node.items() if part]
+        end = ["(?=[|/])"] if "" in node else []
+        return found[0] if len(found) == 1 and not end else "(?:" + "|".join(found + end) + ")" if found else end[0]
+
+    return "(?<=[|/])" + pattern(tree)
+
+
+KNOWN = known_pattern(list(SENTENCES.values()))
 
 
 def sentence_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the known sentences of each document in order, for documents that have any."""
     table = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (normal(v), k)))
     text = F.lower(F.col(text_col))
-    hit = docs.filter(text.rlike("|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)))
+    some = F.lit(False)
+    for anchor in ANCHORS:
+        some = some | F.contains(text, F.lit(anchor))
+    hit = docs.filter(some)
     marked = F.regexp_replace(F.concat(F.lit("\n"), text, F.lit("\n")), SPLIT, "$1\u0001")  # \u0001: an end of a sentence
     bare = F.regexp_replace(marked, "[^a-z0-9\n\u0001]+", " ")
     cut = F.regexp_replace(F.regexp_replace(bare, " ?\u0001 ?", "|"), " ?\n ?", "/")
