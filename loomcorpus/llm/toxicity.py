@@ -155,11 +155,15 @@ def kind_of(terms: tuple, words: frozenset | None = None, stems: frozenset | Non
 def hits(text: str | None, automaton: Automaton, p: Params) -> tuple[int, list[tuple[tuple, bool]]]:
     """The number of words of one whole text, and for each that meets terms: these, and whether it stands in a quotation."""
     low = (text or "").lower()
+    words = WORD.findall(low)
+    found = {w: met for w in set(words) if any(met := automaton.terms(w))}
+    if not found:  # as most texts: where the words stand doesn't matter
+        return len(words), []
     spans = [(m.start(), m.end()) for m in WORD.finditer(low)]
     out = []
-    for i, (start, end) in enumerate(spans):
-        met = automaton.terms(low[start:end])
-        if not any(met):
+    for i, (word, (start, end)) in enumerate(zip(words, spans, strict=True)):
+        met = found.get(word)
+        if met is None:
             continue
         a, b = spans[max(0, i - p.window)][0], spans[min(len(spans) - 1, i + p.window)][1]
         before, after = low[a:start], low[end:b]
