@@ -64,22 +64,23 @@ def row_key(id_col: str, text_col: str):
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
 
 
-#: Keys that hold more than 1 / HOT of a table's rows, so fewer than HOT, are dealt into PARTS groups.
-HOT, PARTS = 256, 64
+#: A join is dealt as if it had this many partitions at least; a session with more gives its own number.
+PARTS = 256
 
 
 def dealt_join(rows: DataFrame, counted: DataFrame, keys: list[str], hot_keys: list[str], by: str, count: str = "copies", how: str = "inner") -> DataFrame:
     """rows joined with counted on keys; counted holds how often each key occurs in rows, and is a written table.
 
-    The rows of a hot key (by hot_keys, some of the keys) are dealt by the column `by`, and counted's row is repeated for
-    each part, so that no task gets a hot key whole.  The broadcast names fewer than HOT keys, whatever the input.
+    A key (by hot_keys, some of the keys) with more rows than a partition has on average is dealt by the column `by`
+    into as many parts as it would fill, and counted's row is repeated for each part, so that no task gets more of a
+    key than its share.  There are fewer such keys than partitions, and fewer than twice as many parts, whatever the input.
     """
-    total = counted.agg(F.sum(count)).first()[0] or 0
-    hot = F.broadcast(counted.groupBy(*hot_keys).agg(F.sum(count).alias("__n")).filter(F.col("__n") > total / HOT).select(*hot_keys, F.lit(True).alias("__hot")))
-    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
-    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(hot, hot_keys, "left").withColumn("__part", part).drop("__hot")
-    right = counted.join(hot, hot_keys, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    wide = max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = (counted.agg(F.sum(count)).first()[0] or 0) / wide
+    hot = F.broadcast(counted.groupBy(*hot_keys).agg(F.sum(count).alias("__n")).filter(F.col("__n") > share).select(*hot_keys, F.ceil(F.col("__n") / max(share, 1.0)).cast("int").alias("__parts")))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")), F.lit(0)).cast("int")
+    left = rows.join(hot, hot_keys, "left").withColumn("__part", part).drop("__parts")
+    right = counted.join(hot, hot_keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [*keys, "__part"], how).drop("__part")
 
 

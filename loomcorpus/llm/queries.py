@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomcorpus.llm import ann, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity, warc
+from loomcorpus.llm import ann, exact_dedup, fim, hard_negatives, licenses, line_dedup, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity, warc
 from loomcorpus.llm.common import table
 
 
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": _over("documents", licenses.op8_license_scan),
     "op9_toxicity": lambda spark, sf_dir: toxicity.op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op10_mixing": lambda spark, sf_dir: mixing.op10_mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op11_fill_in_middle": _over("documents", fim.op11_fill_in_middle),
+    "op12_exact_dedup": _over("documents", exact_dedup.op12_exact_dedup),
+    "op13_hard_negatives": _over("embeddings", hard_negatives.op13_hard_negatives),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +36,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_warc_assembly": warc.OP7_SQL,
     "op8_license_scan": licenses.OP8_SQL,
+    "op11_fill_in_middle": fim.OP11_SQL,
+    "op12_exact_dedup": exact_dedup.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
