@@ -6,6 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomcorpus.sources import snapshots
+
 QUESTION = "id string, category string, question string, ground_truth_chunk_ids array<string>, reference_answer string, should_abstain boolean, notes string"
 RESULT = (
     "id string, category string, question string, should_abstain boolean, ground_truth_chunk_ids array<string>, error string, retrieved_chunk_ids array<string>, top_scores array<double>, "
@@ -51,10 +53,43 @@ class Key(str):
 
 
 def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Result lines; malformed ones and those without an id are passed over, or fail if strict."""
-    rows = spark.read.schema(RESULT).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
+    """Result lines; malformed ones and those without an id are passed over, or fail if strict.
+
+    A path that write_results wrote is read as its newest snapshot has it; any other is a file or folder of lines.
+    """
+    here = snapshots.newest(spark, path)
+    rows = spark.read.schema(RESULT).json(snapshots.full_paths(path, here) if here.number else path, mode="FAILFAST" if strict else "DROPMALFORMED")
     return rows if strict else rows.filter("id IS NOT NULL")
 
 
-def write_results(df: DataFrame, path: str, append: bool = True) -> None:
-    df.write.mode("append" if append else "overwrite").json(path)
+def write_results(df: DataFrame, path: str, append: bool = True, tries: int = 20) -> None:
+    """Add rows to the results in a folder, or put them in place of what is there, which they may be read from.
+
+    The rows are written beside what is there and a snapshot names them, so that readers see all or nothing of it, and a
+    writer that is killed changes nothing.  Of two writers that rewrite at once one fails with Conflict, and so does one whose
+    rows come from an older snapshot; its folder is deleted.  Appending writers take turns.  A folder of plain lines becomes
+    the first snapshot.
+    """
+    spark = df.sparkSession
+    base = snapshots.newest(spark, path)
+    if not base.number:
+        base = snapshots.Snapshot(0, {name: {} for name in snapshots.files(spark, path)})
+    read = snapshots.read_from(df, path)
+    filled = {name for name, note in base.entries.items() if note.get("files")}
+    if not append and read and not filled <= read <= base.entries.keys():
+        raise snapshots.Conflict(f"{path}: the rows come from another snapshot than the newest")
+    folder = snapshots.new_folder()
+    try:
+        df.write.json(f"{path}/{folder}")
+        own = {folder: {"files": len(snapshots.files(spark, f"{path}/{folder}"))}}
+        for left in reversed(range(tries)):
+            try:
+                snapshots.commit(spark, path, base, base.entries | own if append else own)
+                return
+            except snapshots.Conflict:
+                if not append or not left:
+                    raise
+                base = snapshots.newest(spark, path)
+    except BaseException:
+        snapshots.remove(spark, path, folder)
+        raise
