@@ -66,28 +66,43 @@ def path_hash(path: Column, section: Column, number: Column) -> Column:
     return F.left(F.md5(F.concat_ws("::", F.coalesce(path, F.lit("")), section, number.cast("string"))), F.lit(8))
 
 
-def chunk_documents(sections: DataFrame, most: int = 1500, overlap: int = 100, counter: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Chunks of sections (doc_ord, text, source_type, source_name, original_path, section_hierarchy).
+def cut_sections(sections: DataFrame, most: int = 1500, overlap: int = 100, counter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Sections with section_path, slug and chunks, an array of text and tokens, in place of the text.
 
     counter: from an array of texts to an array of their tokens (see functions.tokens); by default words.
     """
-    rows = sections.withColumn("section_path", section_path(F.col("section_hierarchy"), F.col("source_name"))).withColumn("occurrence", occurrence())
-    last = F.coalesce(F.try_element_at("section_hierarchy", F.lit(-1)), F.col("source_name"))
-    rows = rows.withColumns({"slug": slug(last), "path_hash": path_hash(F.col("original_path"), F.col("section_path"), F.col("occurrence"))})
+    rows = sections.withColumn("section_path", section_path(F.col("section_hierarchy"), F.col("source_name")))
+    rows = rows.withColumn("slug", slug(F.coalesce(F.try_element_at("section_hierarchy", F.lit(-1)), F.col("source_name"))))
     whole, size, counts = F.array("text"), token_count(F.col("text")), None
     if counter:
         rows = rows.withColumn("atoms", atoms(F.col("text"))).withColumns({"atom_tokens": counter(F.col("atoms")), "text_tokens": counter(F.array("text"))[0]})
         size, counts = F.col("text_tokens"), F.col("atom_tokens")
     parts = packed(F.col("atoms") if counter else atoms(F.col("text")), most, overlap, counts)
     rows = rows.withColumn("chunks", F.when(size <= most, whole).otherwise(parts)).withColumn("chunks", F.when(F.size("chunks") > 0, F.col("chunks")).otherwise(whole))
-    out = rows.select("*", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "chunk"))
+    return rows.drop("text", "atoms", "atom_tokens", "text_tokens") if counter else rows.drop("text")
+
+
+def chunk_id(source_name: Column, slug: Column, path: Column, section: Column, occurrence: Column, index: Column) -> Column:
+    return F.concat_ws("::", source_name, slug, path_hash(path, section, occurrence), index.cast("string"))
+
+
+def chunk_rows(cut: DataFrame, counter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The chunks, with ids, of cut sections that have their occurrence."""
+    out = cut.select("*", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "chunk"))
     tokens = counter(F.array("chunk"))[0] if counter else token_count(F.col("chunk"))
+    name = chunk_id(F.col("source_name"), F.col("slug"), F.col("original_path"), F.col("section_path"), F.col("occurrence"), F.col("chunk_index"))
     return out.select(
-        F.col("chunk").alias("text"), F.concat_ws("::", "source_name", "slug", "path_hash", F.col("chunk_index").cast("string")).alias("chunk_id"), "source_type", "source_name",
-        "section_path", F.coalesce("original_path", F.lit("")).alias("original_path"), "chunk_index", "total_chunks_in_section", tokens.alias("token_count"),
+        F.col("chunk").alias("text"), name.alias("chunk_id"), "source_type", "source_name", "section_path", F.coalesce("original_path", F.lit("")).alias("original_path"), "chunk_index", "total_chunks_in_section",
+        tokens.alias("token_count"),
     )
 
 
+def chunk_documents(sections: DataFrame, most: int = 1500, overlap: int = 100, counter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks of sections (doc_ord, text, source_type, source_name, original_path, section_hierarchy)."""
+    named = sections.withColumn("section_path", section_path(F.col("section_hierarchy"), F.col("source_name"))).withColumn("occurrence", occurrence())
+    return chunk_rows(cut_sections(named, most, overlap, counter), counter)
+
+
 def repeated_ids(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

@@ -161,10 +161,10 @@ def test_index_and_stream(spark, tmp_path):
     spark.createDataFrame(rows, SECTION).write.parquet(str(tmp_path / "in/1"))
     src, idx, ck = str(tmp_path / "in/*"), str(tmp_path / "index"), str(tmp_path / "ck")
     ingest_stream(spark, src, idx, ck).awaitTermination()
-    assert spark.read.parquet(idx).count() == 3
+    assert index.read(spark, idx).count() == 3
     spark.createDataFrame([(0, "changed", "docs", "s", "p0", ["H"]), (9, "new", "docs", "s", "p9", ["H"])], SECTION).write.parquet(str(tmp_path / "in/2"))
     ingest_stream(spark, src, idx, ck).awaitTermination()
-    got = spark.read.parquet(idx)
+    got = index.read(spark, idx)
     assert got.count() == 4 and got.filter("text = 'changed'").count() == 1 and got.filter("text = 'text 0'").count() == 0
     assert index.metadata(got).columns == index.META
     done = spark.createDataFrame([("a", None), ("b", "boom")], "id string, error string")

@@ -12,7 +12,7 @@ from loomcorpus.functions import text as T
 from loomcorpus.operators import chunk, index, metrics, report, retrieve
 from loomcorpus.plans import evaluate
 from loomcorpus.providers import Budget, RateLimiter, Throttled, batch_numbers, completed, embedded, token_batches
-from loomcorpus.sources import acquire, html, pdf, results, rst
+from loomcorpus.sources import acquire, html, pdf, results, rst, snapshots
 
 
 def test_html_frames():
@@ -140,15 +140,53 @@ def test_batch_numbers(spark):
 def test_upsert_replaces_touched_buckets_only(spark, tmp_path):
     path = str(tmp_path / "index")
     kind = "chunk_id string, text string"
-    index.upsert(spark, spark.createDataFrame([(f"c{i}", "old") for i in range(40)], kind), path, buckets=8)
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*.parquet")}
-    index.upsert(spark, spark.createDataFrame([("c3", "first"), ("c3", "last"), ("new", "x")], kind).coalesce(1), path, buckets=99)
-    got = {r["chunk_id"]: r["text"] for r in spark.read.parquet(path).collect()}
+    index.upsert(spark, spark.createDataFrame([(f"c{i}", "old") for i in range(40)], kind), path, most_rows=8)
+    before = index.directory(snapshots.newest(spark, path))
+    index.upsert(spark, spark.createDataFrame([("c3", "first"), ("c3", "last"), ("new", "x")], kind).coalesce(1), path, most_rows=8)
+    got = {r["chunk_id"]: r["text"] for r in index.read(spark, path).collect()}
     assert len(got) == 41 and got["c3"] == "last" and got["new"] == "x" and got["c4"] == "old"
-    kept = [p for p in before if p.exists()]
-    assert 6 <= len({p.parent for p in kept}) < 8 and {p.parent.name.split("-")[-1] for p in before} == {"8"}
+    after = index.directory(snapshots.newest(spark, path))
+    kept = {b for b in before if after.get(b) == before[b]}
+    assert len(before) >= 6 and len(before) - 2 <= len(kept) < len(before)
     index.upsert(spark, spark.createDataFrame([], kind), path)
-    assert spark.read.parquet(path).count() == 41
+    assert index.read(spark, path).count() == 41
+
+
+def test_full_buckets_split_alone(spark, tmp_path):
+    path, most = str(tmp_path / "index"), 50
+    seen = {}
+    for step, n in enumerate((20, 200, 2000)):
+        rows = spark.range(n).select(F.format_string("c%d", "id").alias("chunk_id"), F.lit(step).alias("step"))
+        index.upsert(spark, rows, path, most)
+        buckets = index.directory(snapshots.newest(spark, path))
+        sizes = {b: index.read(spark, path, [b]).count() for b in buckets}
+        assert sum(sizes.values()) == n and max(sizes.values()) <= most
+        assert sum(2.0 ** -(len(b) - 1) for b in buckets) == 1.0 and not any(a != b and b.startswith(a) for a in buckets for b in buckets)
+        assert all(len(list((tmp_path / "index" / p).glob("*.parquet"))) == 1 for p in buckets.values() if p)
+        seen[step] = len(buckets)
+    assert seen[0] == 1 and seen[2] >= 2000 / most
+    hit = [b for b in buckets if index.read(spark, path, [b]).filter("chunk_id = 'c7'").count()]
+    index.upsert(spark, spark.createDataFrame([("c7", 9)], "chunk_id string, step int"), path, most)
+    after = index.directory(snapshots.newest(spark, path))
+    assert {b for b in buckets if after[b] != buckets[b]} == set(hit) and len(hit) == 1
+
+
+def test_upsert_deletes_moves_and_passes_over_batches(spark, tmp_path):
+    path, kind = str(tmp_path / "index"), "chunk_id string, text string"
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "chunk_id string")
+    first = spark.createDataFrame([(f"c{i}", f"t{i}") for i in range(6)], kind)
+    assert index.upsert(spark, first, path, 2, batch=("s", 0))
+    assert not index.upsert(spark, first.limit(0), path, 2, gone=ids("c1"), batch=("s", 0))
+    moves = spark.createDataFrame([("c0", "c1"), ("c1", "c2"), ("c5", "c9")], "chunk_id string, new_id string")
+    assert index.upsert(spark, spark.createDataFrame([("c0", "new")], kind), path, 2, gone=ids("c4", "c0", "none"), moved=moves, batch=("s", 1))
+    assert {r["chunk_id"]: r["text"] for r in index.read(spark, path).collect()} == {"c0": "new", "c1": "t0", "c2": "t1", "c3": "t3", "c9": "t5"}
+    index.upsert(spark, first.limit(0), path, 2, gone=ids("c0", "c1", "c2", "c3", "c9"))
+    assert index.read(spark, path).count() == 0
+    index.upsert(spark, first.withColumn("more", F.lit(1)), path, 2)
+    assert index.read(spark, path).filter("more = 1").count() == 6
+    with pytest.raises(Exception, match="lost"):
+        index.upsert(spark, first.withColumn("text", F.raise_error(F.lit("lost"))), path)
+    assert index.read(spark, path).count() == 6
 
 
 def test_topk_in_blocks(spark):
