@@ -2,9 +2,9 @@
 
 A text is cut where the upper bits of a gear hash over the last 16 bytes are zero; a cut depends on
 those bytes alone, so an insertion moves no cut behind it.  Chunks are counted by a digest of 128 bits over
-the corpus.  Runs of adjacent chunks that were seen earlier (smaller id, then position) are the repeated
-passages, if they have `min_words` words or `least_bytes` bytes (texts without white space have no words to
-count); the first occurrence stays.
+the corpus.  Runs of adjacent chunks that were first seen side by side in one document (smaller id, then position)
+are the repeated passages, if they have `min_words` words or `least_bytes` bytes (texts without white space have no
+words to count); the first occurrence stays, so a passage stands whole in the document that keeps it.
 
 Texts are cut once; the chunks are written, counted, and joined with the digests found twice.
 
@@ -101,15 +101,15 @@ def chunk_rows(keyed: DataFrame, p: Params) -> DataFrame:
 
 
 def runs_of(found: list[dict], p: Params) -> list[tuple[int, int, int, int, list]]:
-    """(start, length, words, chunks, ids that keep them) of each run of adjacent repeated chunks that is a passage."""
+    """(start, length, words, chunks, ids that keep it) of each run of adjacent repeated chunks, kept side by side in one document, that is a passage."""
     out, run = [], []
     for x in [*sorted(found, key=lambda x: x["no"]), None]:
-        if x and (not run or x["no"] == run[-1]["no"] + 1):
+        if x and run and x["no"] == run[-1]["no"] + 1 and (x["kept_id"], x["kept_start"] - x["start"]) == (run[0]["kept_id"], run[0]["kept_start"] - run[0]["start"]):
             run.append(x)
             continue
         n_words, length = (sum(r[k] for r in run) for k in ("words", "length"))
-        if n_words >= p.min_words or length >= p.least_bytes:
-            out.append((run[0]["start"], length, n_words, len(run), sorted({r["kept_id"] for r in run if r["kept_id"] is not None})))
+        if run and (n_words >= p.min_words or length >= p.least_bytes):
+            out.append((run[0]["start"], length, n_words, len(run), [run[0]["kept_id"]] if run[0]["kept_id"] is not None else []))
         run = [x] if x else []
     return out
 
@@ -121,7 +121,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     place = F.struct(F.col("row_key.id").alias("id"), "start")
     many = written(chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("kept")).filter("copies > 1"), "repeated_chunks")
     hits = dealt_join(chunks, many, ["d1", "d2"], ["d1", "d2"], "row_key").filter(~place.eqNullSafe(F.col("kept")))
-    per = hits.groupBy("row_key").agg(F.collect_set(F.struct("no", "start", "length", "words", F.col("kept.id").alias("kept_id"))).alias("hits"))
+    per = hits.groupBy("row_key").agg(F.collect_set(F.struct("no", "start", "length", "words", F.col("kept.id").alias("kept_id"), F.col("kept.start").alias("kept_start"))).alias("hits"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:

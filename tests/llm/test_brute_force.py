@@ -149,16 +149,20 @@ def test_substring_passages_match_plain_python(spark):
         chunks[d] = [(x, y, b[x:y], len([i for i in range(x, y) if b[i : i + 1].strip(b" \t\n\x0b\x0c\r") and (i == 0 or not b[i - 1 : i].strip(b" \t\n\x0b\x0c\r"))])) for x, y in zip(c, c[1:])]
         for x, _, piece, _ in chunks[d]:
             first.setdefault(piece, (d, x))
-    want = []
+    want, whole = [], {d: (t or "").encode() for d, t in enumerate(texts)}
     for d, found in chunks.items():
         run = []
         for chunk in [*found, None]:
-            if chunk and first[chunk[2]] != (d, chunk[0]):
+            at = chunk and first[chunk[2]]
+            again = at and at != (d, chunk[0])
+            if again and run and (at[0], at[1] - chunk[0]) == (first[run[0][2]][0], first[run[0][2]][1] - run[0][0]):
                 run.append(chunk)
                 continue
             if run and (sum(r[3] for r in run) >= p.min_words or run[-1][1] - run[0][0] >= p.least_bytes):
-                want.append((d, run[0][0], run[-1][1] - run[0][0], sum(r[3] for r in run), len(run), sorted({first[r[2]][0] for r in run})))
-            run = []
+                want.append((d, run[0][0], run[-1][1] - run[0][0], sum(r[3] for r in run), len(run), [first[run[0][2]][0]]))
+            run = [chunk] if again else []
+    for d, start, length, _, _, (kept,) in want:
+        assert whole[d][start : start + length] in whole[kept]
     got = [(r["doc_id"], r["start"], r["length"], r["n_words"], r["n_chunks"], r["kept_doc_ids"]) for r in substring_dedup.op2_substring_dedup(docs_of(spark, texts)).collect()]
     assert sorted(got) == sorted(want) and {41, 42} <= {x[0] for x in got}
     cut = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeated(docs_of(spark, texts)).collect()}
