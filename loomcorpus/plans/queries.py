@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
-from loomcorpus.operators import chunk, index, judge, label, metrics, report, retrieve
+from loomcorpus.operators import cells, chunk, index, judge, label, metrics, report, retrieve
 from loomcorpus.plans import evaluate
 from loomcorpus.providers import batch_numbers, completed, embedded, overlap_judge
 from loomcorpus.sources import acquire, html, pdf, rst
+from loomcorpus.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,6 +93,24 @@ def q_topk_filtered(spark, d):
     return _out(retrieve.topk(retrieve.source_filter(vectors(spark, d), "label", [2, 3]), asked(spark, d), 5))
 
 
+def _cells(spark, d, **more):
+    path = shared_dir(spark)
+    cells.build(vectors(spark, d), path)
+    return _out(cells.search(spark, path, asked(spark, d), K, **more))
+
+
+@query("q_topk_cells")
+def q_topk_cells(spark, d):
+    """The approximate index over all vectors: as many cells and candidates as it has measured that it needs."""
+    return _cells(spark, d)
+
+
+@query("q_cells_filtered", _rank(where=" WHERE v.label IN (2, 3)") + " SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM r")
+def q_cells_filtered(spark, d):
+    """The approximate index with all cells and candidates taken, and so exact, of two labels."""
+    return _cells(spark, d, where=F.col("label").isin(2, 3), probes=1 << 30, candidates=1 << 30)
+
+
 @query("q_score_bands", _rank() + " SELECT query_id, rank::INT AS rank, CASE WHEN round(score, 6) >= 0.8 THEN 'high' WHEN round(score, 6) >= 0.65 THEN 'medium' ELSE 'low' END AS band FROM r")
 def q_bands(spark, d):
     return _out(ranked(spark, d)).select("query_id", "rank", T.band(F.col("score"), 0.8, 0.65).alias("band"))
