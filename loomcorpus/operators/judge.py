@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from loomcorpus.functions.text import bound, faith_score, judge_json
+from loomcorpus.ledger import Ledger, with_replies
 from loomcorpus.providers import Budget, answer
 
 FAITHFULNESS = "struct<judge: string, faithfulness_score: double, unsupported_claims: array<string>, reasoning: string, reason: string, raw: string, error: string>"
@@ -115,11 +116,14 @@ def gate(expected: Column, abstained: Column) -> Column:
     return F.coalesce(~expected & ~abstained, F.lit(False))
 
 
-def asked(rows: DataFrame, complete: Callable[[str], str], budget: Budget | None = None, **prompts: Column) -> DataFrame:
+def asked(rows: DataFrame, complete: Callable[[str], str], budget: Budget | None = None, ledger: Ledger | None = None, model: str = "judge", **prompts: Column) -> DataFrame:
     """Rows with the provider's replies to their prompts, <name>_raw and <name>_error; a null prompt isn't sent.
 
-    One map over the rows, whatever the number of prompts: nothing is joined.
+    One map over the rows, whatever the number of prompts: nothing is joined.  With a ledger, replies of the model that it
+    holds are taken from there, and each distinct prompt is asked once.
     """
+    if ledger:
+        return with_replies(rows, complete, ledger, model, budget, **prompts)
     width, names = len(rows.columns), list(prompts)
     sent = rows.select("*", *(c.cast("string").alias(f"{n}_prompt") for n, c in prompts.items()))
     out = StructType([*rows.schema.fields, *(StructField(f"{n}_{x}", StringType()) for n in names for x in ("raw", "error"))])

@@ -1,7 +1,7 @@
 """The evaluation of a question set: retrieval, metrics, answers, judges; the ablation; judging anew.
 
-Question-sized frames are persisted where several steps read them, so a provider is asked once for each
-row unless an executor is lost.
+Question-sized frames that several steps read are written to the shared folder, so a provider is asked once for each
+row.  With a ledger, no reply is asked for twice, by later runs either.
 """
 
 from __future__ import annotations
@@ -12,21 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcorpus.functions import text as T
+from loomcorpus.ledger import Ledger, embedded_once
 from loomcorpus.operators import judge, metrics, report, retrieve
 from loomcorpus.providers import Budget, HashEmbedder, embedded, extractive_answer
+from loomcorpus.sources.shared import stored
 
 #: What a model is told.
 ANSWER_RULES = "Answer from the numbered context alone and cite it as [n]. If it does not contain enough information, say so."
 PLAIN_RULES = "Answer the question from what you know, in a few sentences."
 
 
-def retrieved(questions: DataFrame, chunks: DataFrame, k: int = 10, embedder: Callable = HashEmbedder(), budget: Budget | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieved(questions: DataFrame, chunks: DataFrame, k: int = 10, embedder: Callable = HashEmbedder(), budget: Budget | None = None, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame]:
     """Questions with error, retrieved_chunk_ids, top_scores and retrieval_metrics; and the hits.  chunks: with embedding.
 
     A question that the provider can't embed has an error and no hits.
     """
-    asks = embedded(questions.select(F.col("id").alias("query_id"), F.col("question").alias("text")), embedder, "query", contain=True, budget=budget).persist()
-    hits = retrieve.hit_rows(retrieve.topk(chunks, asks, k), chunks).persist()
+    texts = questions.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
+    asks = stored(embedded_once(texts, embedder, ledger, "embedder", "query", budget=budget) if ledger else embedded(texts, embedder, "query", contain=True, budget=budget), "asks")
+    hits = stored(retrieve.hit_rows(retrieve.topk(chunks, asks, k), chunks), "hits")
     lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("l"))
     lists = lists.select(F.col("query_id").alias("id"), F.transform("l", lambda x: x["chunk_id"]).alias("retrieved_chunk_ids"), F.transform("l", lambda x: F.round(x["score"], 4)).alias("top_scores"))
     counted = questions.filter(~F.coalesce("should_abstain", F.lit(False)) & (F.size("ground_truth_chunk_ids") > 0))
@@ -38,12 +41,12 @@ def retrieved(questions: DataFrame, chunks: DataFrame, k: int = 10, embedder: Ca
     return rows.withColumn("retrieval_metrics", F.when(F.col("error").isNull(), F.col("retrieval_metrics"))), hits
 
 
-def answered(rows: DataFrame, hits: DataFrame, complete: Callable[[str], str] = extractive_answer, model: str = "offline", budget: Budget | None = None) -> DataFrame:
+def answered(rows: DataFrame, hits: DataFrame, complete: Callable[[str], str] = extractive_answer, model: str = "offline", budget: Budget | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Rows with answer, abstained, citations_used, model and tokens; a failed call is an error of its row."""
     block = retrieve.context(hits).withColumnRenamed("query_id", "id")
     prompt = F.concat(F.lit(ANSWER_RULES), F.lit("\n\n"), F.coalesce("context", F.lit("")), F.lit("\n\n---\n\nQuestion: "), F.coalesce("question", F.lit("")))
     asks = rows.join(block, "id", "left").withColumn("prompt", F.when(F.col("error").isNull(), prompt)).drop("context")
-    out = judge.asked(asks, complete, budget, answer=F.col("prompt"))
+    out = judge.asked(asks, complete, budget, ledger, model, answer=F.col("prompt"))
     fine, a = F.col("answer_raw").isNotNull(), F.col("answer_raw")
     return out.select(
         *(c for c in rows.columns if c != "error"), F.coalesce("error", F.concat(F.lit("generation: "), F.col("answer_error"))).alias("error"), a.alias("answer"), F.when(fine, T.abstained(a)).alias("abstained"), F.when(fine, T.citations(a)).alias("citations_used"),
@@ -51,12 +54,12 @@ def answered(rows: DataFrame, hits: DataFrame, complete: Callable[[str], str] =
     )
 
 
-def judged(rows: DataFrame, hits: DataFrame, complete: Callable[[str], str], budget: Budget | None = None) -> DataFrame:
+def judged(rows: DataFrame, hits: DataFrame, complete: Callable[[str], str], budget: Budget | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Rows with judge_abstention (wherever there is an answer), judge_faithfulness and judge_quality (where both flags are false)."""
     q, a, did, should = F.col("question"), F.col("answer"), F.col("abstained"), F.coalesce("should_abstain", F.lit(False))
     has, gate = F.col("answer").isNotNull(), judge.gate(should, did)
     out = judge.asked(
-        rows.join(judge.passages(hits), "id", "left"), complete, budget,
+        rows.join(judge.passages(hits), "id", "left"), complete, budget, ledger,
         a=F.when(has, judge.abstention_prompt(q, a, did, should)), f=F.when(gate, judge.faithfulness_prompt(F.col("whole"), a)), q=F.when(gate, judge.quality_prompt(q, F.col("short"), a)),
     )
     return out.select(
@@ -67,16 +70,16 @@ def judged(rows: DataFrame, hits: DataFrame, complete: Callable[[str], str], bud
     )
 
 
-def run(questions: DataFrame, chunks: DataFrame, k: int = 10, embedder: Callable = HashEmbedder(), complete: Callable[[str], str] = extractive_answer, judge_call: Callable[[str], str] | None = None, generate: bool = True, budget: Budget | None = None, embed_budget: Budget | None = None) -> DataFrame:
+def run(questions: DataFrame, chunks: DataFrame, k: int = 10, embedder: Callable = HashEmbedder(), complete: Callable[[str], str] = extractive_answer, judge_call: Callable[[str], str] | None = None, generate: bool = True, budget: Budget | None = None, embed_budget: Budget | None = None, ledger: Ledger | None = None) -> DataFrame:
     """One result row for each question; without `generate` only retrieval, without `judge_call` no judges.
 
     budget holds for answers and judges, embed_budget for the embedding of questions.
     """
-    rows, hits = retrieved(questions, chunks, k, embedder, embed_budget)
+    rows, hits = retrieved(questions, chunks, k, embedder, embed_budget, ledger)
     if not generate:
         return rows
-    rows = answered(rows, hits, complete, budget=budget)
-    return rows if judge_call is None else judged(rows, hits, judge_call, budget)
+    rows = stored(answered(rows, hits, complete, budget=budget, ledger=ledger), "answers")
+    return rows if judge_call is None else judged(rows, hits, judge_call, budget, ledger)
 
 
 def pending_ablation(results: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def pending_ablation(results: DataFrame) -> DataFrame:
     return rows.filter("no_rag_answer IS NULL") if "no_rag_answer" in results.columns else rows
 
 
-def ablated(results: DataFrame, complete: Callable[[str], str], judge_call: Callable[[str], str], budget: Budget | None = None) -> DataFrame:
+def ablated(results: DataFrame, complete: Callable[[str], str], judge_call: Callable[[str], str], budget: Budget | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Results with no_rag_answer and no_rag_quality; those that have them, or expect none, stay as they are.
 
     A failed call leaves the row pending; a failed judge is an error of the score.
@@ -96,17 +99,17 @@ def ablated(results: DataFrame, complete: Callable[[str], str], judge_call: Call
     own = results.columns
     plain = F.concat(F.lit(PLAIN_RULES), F.lit("\n\nQuestion: "), F.coalesce("question", F.lit("")))
     due = ~F.coalesce("should_abstain", F.lit(False)) & F.col("no_rag_answer").isNull()
-    rows = judge.asked(results, complete, budget, plain=F.when(due, plain))
-    rows = judge.asked(rows, judge_call, budget, score=F.when(F.col("plain_raw").isNotNull(), judge.quality_prompt(F.col("question"), F.lit(""), F.col("plain_raw"))))
+    rows = stored(judge.asked(results, complete, budget, ledger, "plain", plain=F.when(due, plain)), "plain")
+    rows = judge.asked(rows, judge_call, budget, ledger, score=F.when(F.col("plain_raw").isNotNull(), judge.quality_prompt(F.col("question"), F.lit(""), F.col("plain_raw"))))
     new = F.when(F.col("plain_raw").isNotNull(), judge.quality(F.col("score_raw"), F.col("score_error")))
     return rows.withColumns({"no_rag_answer": F.coalesce("no_rag_answer", "plain_raw"), "no_rag_quality": F.coalesce("no_rag_quality", new)}).select(*own)
 
 
-def rejudge(results: DataFrame, chunks: DataFrame, complete: Callable[[str], str], budget: Budget | None = None) -> DataFrame:
+def rejudge(results: DataFrame, chunks: DataFrame, complete: Callable[[str], str], budget: Budget | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Results with faithfulness judged anew from the stored ids of what was retrieved; no search is repeated."""
     hits = results.select(F.col("id").alias("query_id"), F.posexplode("retrieved_chunk_ids").alias("rank", "chunk_id")).withColumn("rank", F.col("rank") + 1).withColumn("score", F.lit(None).cast("double"))
     text = judge.passages(retrieve.hit_rows(hits, chunks)).select("id", "whole")
     due = results.filter(~F.coalesce("should_abstain", F.lit(False)) & F.col("answer").isNotNull() & F.col("error").isNull()).select("id", "answer").join(text, "id", "left")
-    got = judge.asked(due, complete, budget, f=judge.faithfulness_prompt(F.col("whole"), F.col("answer"))).select("id", judge.faithfulness(F.col("f_raw"), F.col("f_error")).alias("f"))
+    got = judge.asked(due, complete, budget, ledger, f=judge.faithfulness_prompt(F.col("whole"), F.col("answer"))).select("id", judge.faithfulness(F.col("f_raw"), F.col("f_error")).alias("f"))
     new = got.select("id", F.col("f.faithfulness_score").alias("score"), F.coalesce("f.reasoning", "f.error").alias("reasoning"), F.col("f.unsupported_claims").alias("unsupported_claims"))
     return report.rejudged(results, new)

@@ -17,6 +17,7 @@ from loomcorpus.plans import evaluate
 from loomcorpus.providers import batch_numbers, completed, embedded, overlap_judge
 from loomcorpus.sources import acquire, html, pdf, rst
 from loomcorpus.sources.shared import shared_dir
+from loomcorpus.sources.shared import stored as stored_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -514,7 +515,7 @@ def q_ingest(spark, d):
 def q_answer(spark, d):
     """Benchmark texts as questions over whole documents: embed, retrieve, answer, post-process."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("source_name"), F.col("lang").alias("section_path"))
-    asks = embedded(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), input_type="query")
+    asks = stored_frame(embedded(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), input_type="query"), "asks")
     hits = retrieve.hit_rows(retrieve.topk(embedded(docs), asks, 5), docs)
     prompt = F.concat("context", F.lit("\n\n---\n\nQuestion: "), "text").alias("prompt")
     out = completed(retrieve.context(hits).join(asks.select("query_id", "text"), "query_id").select("query_id", prompt))
