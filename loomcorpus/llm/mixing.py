@@ -4,13 +4,15 @@ A classifier, counted on a labelled table, gives each document a posterior over
 rates, one for each document, are then fitted so that the expected tokens of each domain (rate times
 tokens times posterior) meet targets in least squares: projected gradient steps, taken in the metric
 of the domains' Gram matrix over the documents that are free to move.  Documents with one posterior
-move alike, so their tokens are summed once and a step aggregates that small table; a rate follows from
-the posterior and the list of steps, so no state of the documents is kept.  Tokens are words here.
+move alike, so their tokens are summed once; a step aggregates that small table and writes it anew with
+the next rates, and a document's rate is that of its posterior.  Tokens are words here.
 
 The targets are the weights' shares of `total` tokens.  Without a total it is so large that the domain
 `keep` needs `surplus` times what it has, and at least what there is.  `most_rate` bounds the rates from
-above: with 1 no document is repeated, and domains short of tokens stay short.  A fit that neither meets
-its targets nor stands still after `steps` steps gives a warning; `residual` says what is missed.
+above: with 1 no document is repeated.  Then, without a total, `keep` is to give all that it can; a domain
+that can't give its share gives what it has and the others share the rest by their weights, so that none has
+more than its due.  Whatever domain ends up off its weight is named in a warning, and so is a fit that neither
+meets its targets nor stands still after `steps` steps; `residual` says what is missed.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and the rate of its posterior;
 repeated rows get equal rates; documents without labels, and labels that are null or repeated (smallest
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomcorpus.llm.common import written
+from loomcorpus.llm.common import discard, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 DOMAINS = ("clean", "low", "toxic")
@@ -96,21 +98,19 @@ class Classifier:
     def with_posterior(self, rows: DataFrame) -> DataFrame:
         """Columns __p0, __p1, ... of rows with __terms and __cell."""
         rows = rows.withColumn("__hits", self.hit_key())
-        z = []
-        for d in range(len(DOMAINS)):
-            total = F.lit(self.priors[d])
-            for column, table in (("__cell", self.cells), ("__hits", self.hits)):
-                if table:
-                    logs = F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v[d])))
-                    unseen = min(v[d] for v in table.values())
-                    total = total + F.coalesce(F.try_element_at(logs, F.col(column)), F.lit(unseen))
-            z.append(total)
-        rows = rows.withColumns({f"__z{d}": x for d, x in enumerate(z)})
+        found = {}
+        for column, table in (("__cell", self.cells), ("__hits", self.hits)):
+            if table:
+                unseen = F.array(*(F.lit(min(v[d] for v in table.values())) for d in range(len(DOMAINS))))
+                logs = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+                found[f"{column}_logs"] = F.coalesce(F.try_element_at(logs, F.col(column)), unseen)
+        rows = rows.withColumns(found)
+        rows = rows.withColumns({f"__z{d}": sum((F.get(c, F.lit(d)) for c in found), F.lit(self.priors[d])) for d in range(len(DOMAINS))})
         most = F.greatest(*(F.col(f"__z{d}") for d in range(len(DOMAINS))))
         rows = rows.withColumns({f"__e{d}": F.exp(F.col(f"__z{d}") - most) for d in range(len(DOMAINS))})
         whole = sum((F.col(f"__e{d}") for d in range(1, len(DOMAINS))), F.col("__e0"))
         rows = rows.withColumns({f"__p{d}": F.col(f"__e{d}") / whole for d in range(len(DOMAINS))})
-        return rows.drop("__hits", *(f"__{x}{d}" for x in "ze" for d in range(len(DOMAINS))))
+        return rows.drop("__hits", *found, *(f"__{x}{d}" for x in "ze" for d in range(len(DOMAINS))))
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, p: Params, label: Column | None = None) -> Classifier:
@@ -143,26 +143,17 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, p: Params, label: Colum
 Step = tuple[list[float], list[float]]
 
 
-def with_rate(rows: DataFrame, steps: list[Step], most: float = math.inf) -> DataFrame:
-    """Rows with __p0, ... and __rate, the rate after these steps, from 1.
-
-    A step is what the domains lack and the way to go: rate + posterior . way, between 0 and most.  Documents at a bound
-    that what is lacking pulls outwards stay there.
-    """
-    rows = rows.withColumn("__rate", F.lit(min(1.0, most)))
-    for lack, way in steps:
-        rows = rows.withColumn("__rate", F.when(free(lack, most), moved(way, most)).otherwise(F.col("__rate")))
-    return rows
-
-
 def free(lack: list[float], most: float) -> Column:
+    """Whether a rate isn't at a bound that what is lacking pulls it against."""
     r, pull = F.col("__rate"), along(lack)
     return ((r > 1e-9) | (pull > 0)) & ((r < most * (1 - 1e-9)) | (pull < 0))
 
 
-def moved(way: list[float], most: float) -> Column:
-    r = F.greatest(F.lit(0.0), F.col("__rate") + along(way))
-    return F.least(F.lit(float(most)), r) if most < math.inf else r
+def moved(lack: list[float], way: list[float], most: float, length: Column | None = None) -> Column:
+    """The rates after a step of some length: rate + length * posterior . way, between 0 and most, where they are free."""
+    to = along(way) if length is None else length * along(way)
+    r = F.greatest(F.lit(0.0), F.col("__rate") + to)
+    return F.when(free(lack, most), F.least(F.lit(float(most)), r) if most < math.inf else r).otherwise(F.col("__rate"))
 
 
 def along(step: list[float]) -> Column:
@@ -175,6 +166,7 @@ class Mixture:
     targets: list[float]
     reached: list[float]
     residual: float  # the most that a domain misses, as a share of the total
+    classes: DataFrame  # the posteriors with their __rate, fewer than 50,000
     rows: DataFrame  # the documents with __tokens, __p0, ..., a written table
 
 
@@ -191,46 +183,67 @@ def fit(docs: DataFrame, labelled: DataFrame, params: Params = Params(), columns
     return Mixture(*fit_rates(rows, params), rows)
 
 
-def fit_rates(rows: DataFrame, params: Params = Params()) -> tuple[list[Step], list[float], list[float], float]:
-    """(steps, targets, reached, residual) of rows with __tokens and __p0, ....
+def wanted(mass: np.ndarray, p: Params) -> np.ndarray:
+    """The domains' targets, for what they have."""
+    weights, at = np.array([p.weights[d] for d in DOMAINS]) / sum(p.weights.values()), DOMAINS.index(p.keep)
+    if p.total is not None or not weights[at]:
+        return weights * (mass.sum() if p.total is None else p.total)
+    if p.most_rate == math.inf:
+        return weights * max(mass.sum(), p.surplus * mass[at] / weights[at])
+    most, short = p.most_rate * mass, np.zeros(len(mass), dtype=bool)
+    for _ in DOMAINS:
+        # The tokens that make all of `keep` its share among the domains that can give theirs.
+        due = np.where(short, most, weights * most[at] / weights[at])
+        if not (short_now := ~short & (due > most * (1 + 1e-12))).any():
+            break
+        short |= short_now
+    return due
+
+
+def fit_rates(rows: DataFrame, params: Params = Params()) -> tuple[list[Step], list[float], list[float], float, DataFrame]:
+    """(steps, targets, reached, residual, classes) of rows with __tokens and __p0, ....
 
     Projected gradient steps in the metric of the free documents' Gram matrix; of a few lengths of each step the best is taken.
     """
     p, k = params, len(DOMAINS)
     post = [f"__p{d}" for d in range(k)]
     # Cells times hits are fewer than 50,000, so the classes are, whatever the input.
-    classes = written(rows.groupBy(*post).agg(F.sum("__tokens").cast("double").alias("t")), "posterior_classes")
-
-    def sums(steps: list[Step], wanted: list[Column]) -> np.ndarray:
-        out = with_rate(classes, steps, p.most_rate).agg(*(F.sum(x) for x in wanted)).first()
-        return np.array([x or 0.0 for x in out], dtype=float).reshape(-1, k)
-
-    mass = sums([], [F.col("__rate") * F.col("t") * F.col(x) for x in post])[0]
-    weights = np.array([p.weights[d] for d in DOMAINS]) / sum(p.weights.values())
-    at = DOMAINS.index(p.keep)
-    whole = p.total
-    if whole is None:
-        whole = max(mass.sum(), p.surplus * mass[at] / weights[at]) if weights[at] > 0 else mass.sum()
-    targets, steps, still = weights * whole, [], False
+    classes = written(rows.groupBy(*post).agg(F.sum("__tokens").cast("double").alias("t")).withColumn("__rate", F.lit(float(min(1.0, p.most_rate)))), "posterior_classes")
+    lengths = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(0.5**i).alias("by")) for i in range(p.halvings))))
+
+    def sums(table: DataFrame, columns: list[Column]) -> np.ndarray:
+        return np.array([x or 0.0 for x in table.agg(*(F.sum(x) for x in columns)).first()], dtype=float).reshape(-1, k)
+
+    mass = sums(classes, [F.col("__rate") * F.col("t") * F.col(x) for x in post])[0]
+    targets, steps, still = wanted(mass / min(1.0, p.most_rate), p), [], False
+    whole = targets.sum()
     slack = p.tolerance * max(1.0, whole)
     for _ in range(p.steps):
         lack = (targets - mass).tolist()
         if max(map(abs, lack)) <= slack:
             break
-        gram = sums(steps, [F.when(free(lack, p.most_rate), F.col("t") * F.col(a) * F.col(b)).otherwise(0.0) for a in post for b in post])
-        ways = [(np.linalg.pinv(gram) @ lack * 0.5**i).tolist() for i in range(p.halvings)]
-        tried = sums(steps, [F.when(free(lack, p.most_rate), moved(way, p.most_rate)).otherwise(F.col("__rate")) * F.col("t") * F.col(x) for way in ways for x in post])
+        gram = sums(classes.filter(free(lack, p.most_rate)), [F.col("t") * F.col(a) * F.col(b) for a in post for b in post])
+        way = (np.linalg.pinv(gram) @ lack).tolist()
+        tries = classes.withColumn("__l", lengths).withColumn("__rate", moved(lack, way, p.most_rate, F.col("__l.by")))
+        found = tries.groupBy("__l.i").agg(*(F.sum(F.col("__rate") * F.col("t") * F.col(x)).alias(f"s{x}") for x in post)).orderBy("i").collect()  # a row for each length
+        tried = np.array([[r[f"s{x}"] for x in post] for r in found])
         gaps = np.linalg.norm(targets - tried, axis=1)
         best = int(gaps.argmin())
         still = bool(gaps[best] >= np.linalg.norm(lack) - slack)
         if still:
             break
-        steps.append((lack, ways[best]))
+        way = [x * 0.5**best for x in way]
+        steps.append((lack, way))
+        last, classes = classes, written(classes.withColumn("__rate", moved(lack, way, p.most_rate)), "posterior_classes")
+        discard(last)
         mass = tried[best]
     residual = float(np.abs(targets - mass).max() / max(1.0, whole))
     if residual > p.tolerance and not still:
         warnings.warn(f"after {p.steps} steps the mixture misses a target by {residual:.2%} of all tokens", stacklevel=2)
-    return steps, targets.tolist(), mass.tolist(), residual
+    weights, shares = np.array([p.weights[d] for d in DOMAINS]) / sum(p.weights.values()), mass / max(1.0, mass.sum())
+    if p.most_rate < math.inf and mass.sum() and (np.abs(weights - shares) > 0.01 * weights).any():
+        warnings.warn("domains off their weights: " + ", ".join(f"{d} has {x:.2%} of the tokens for {w:.2%}" for d, x, w in zip(DOMAINS, shares, weights, strict=True) if abs(w - x) > 0.01 * w), stacklevel=2)
+    return steps, targets.tolist(), mass.tolist(), residual, classes
 
 
 def draw(id_col: str, text_col: str) -> Column:
@@ -242,14 +255,15 @@ def copies() -> Column:
     return F.floor(F.col("__rate") + F.col("__draw")).cast("int")
 
 
-def rated(mixture: Mixture, params: Params = Params()) -> DataFrame:
+def rated(mixture: Mixture) -> DataFrame:
     """The mixture's rows with __rate and __copies: the rate, rounded by a number drawn from id and text."""
-    return with_rate(mixture.rows, mixture.steps, params.most_rate).withColumn("__copies", copies())
+    post = [f"__p{d}" for d in range(len(DOMAINS))]
+    return mixture.rows.join(F.broadcast(mixture.classes.select(*post, "__rate")), post).withColumn("__copies", copies())
 
 
 def mix(docs: DataFrame, labelled: DataFrame, params: Params = Params()) -> DataFrame:
     """The documents, each as often as its rate says; same columns."""
-    rows = rated(fit(docs, labelled, params, docs.columns), params)
+    rows = rated(fit(docs, labelled, params, docs.columns))
     return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__one")).drop("__one")
 
 

@@ -445,7 +445,7 @@ def test_mixing_matches_plain_python(spark, more):
     docs, labelled, texts, labels = mixed(spark)
     want = plain_posteriors(texts, labels, p)
     m = mixing.fit(docs, labelled, p)
-    rows = {r["doc_id"]: r for r in mixing.rated(m, p).collect()}
+    rows = {r["doc_id"]: r for r in mixing.rated(m).collect()}
     for i, (n, post) in enumerate(want):
         assert rows[i]["__tokens"] == n and np.allclose([rows[i][f"__p{d}"] for d in range(3)], post, atol=1e-9)
         assert 0 <= rows[i]["__rate"] <= p.most_rate and rows[i]["__copies"] in (math.floor(rows[i]["__rate"]), math.floor(rows[i]["__rate"]) + 1)
