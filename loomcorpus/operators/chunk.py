@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomcorpus.functions.text import atoms, bound, slug, token_count
+from loomcorpus.operators.ordered import crowded, running
 
 
 def packed(parts: Column, most: int, overlap: int, counts: Column | None = None) -> Column:
@@ -62,6 +63,20 @@ def occurrence(path: str = "original_path", section: str = "section_path", order
     return (F.row_number().over(Window.partitionBy(path, section).orderBy(order)) - 1).alias("occurrence")
 
 
+def with_occurrence(sections: DataFrame, path: str = "original_path", section: str = "section_path", order: str = "doc_ord") -> DataFrame:
+    """Sections with their occurrence within path and heading.
+
+    Where one of these has more than its share of the sections, they are numbered in ranges, without their texts, and
+    joined by the order number, which is a section's own.
+    """
+    keys = [path, section]
+    if not crowded(sections, keys):
+        return sections.withColumn("occurrence", occurrence(path, section, order))
+    names = sections.select(*keys, order).distinct()
+    number = running(names, keys, [order], occurrence=F.lit(1)).withColumn("occurrence", (F.col("occurrence") - 1).cast("int"))
+    return sections.alias("l").join(number.alias("r"), F.expr(" AND ".join(f"l.`{c}` <=> r.`{c}`" for c in (*keys, order)))).select("l.*", "r.occurrence")
+
+
 def path_hash(path: Column, section: Column, number: Column) -> Column:
     return F.left(F.md5(F.concat_ws("::", F.coalesce(path, F.lit("")), section, number.cast("string"))), F.lit(8))
 
@@ -99,8 +114,8 @@ def chunk_rows(cut: DataFrame, counter: Callable[[Column], Column] | None = None
 
 def chunk_documents(sections: DataFrame, most: int = 1500, overlap: int = 100, counter: Callable[[Column], Column] | None = None) -> DataFrame:
     """Chunks of sections (doc_ord, text, source_type, source_name, original_path, section_hierarchy)."""
-    named = sections.withColumn("section_path", section_path(F.col("section_hierarchy"), F.col("source_name"))).withColumn("occurrence", occurrence())
-    return chunk_rows(cut_sections(named, most, overlap, counter), counter)
+    named = sections.withColumn("section_path", section_path(F.col("section_hierarchy"), F.col("source_name")))
+    return chunk_rows(cut_sections(with_occurrence(named), most, overlap, counter), counter)
 
 
 def repeated_ids(chunks: DataFrame) -> DataFrame:

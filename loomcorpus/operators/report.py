@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomcorpus.operators.ordered import crowded, running
+from loomcorpus.sources.shared import stored
+
 
 def ingest_summary(chunks: DataFrame) -> DataFrame:
     """Per source type and in total: chunks, floor of the mean tokens, tokens."""
@@ -134,7 +137,22 @@ def unsupported(rows: DataFrame, claims: str = "unsupported_claims", category: s
 
 
 def rate_window(log: DataFrame, seconds: int = 62, requests: int = 300, tokens: int = 4_000_000) -> DataFrame:
-    """Requests and tokens of the window that ends at each row of (key, ts_us, tokens), and whether a limit is broken."""
-    w = Window.partitionBy("key").orderBy("ts_us").rangeBetween(-seconds * 1_000_000, 0)
-    rows = log.withColumns({"n_window": F.count(F.lit(1)).over(w), "tokens_window": F.sum("tokens").over(w)})
+    """Requests and tokens of the window that ends at each row of (key, ts_us, tokens), and whether a limit is broken.
+
+    Where a key has more than its share of the rows, the window is the difference of two running sums, at its ends: a mark
+    is set before all rows at its beginning and one behind all rows at its end, and marks and rows are summed in ranges.
+    """
+    if not crowded(log, ["key"]):
+        w = Window.partitionBy("key").orderBy("ts_us").rangeBetween(-seconds * 1_000_000, 0)
+        rows = log.withColumns({"n_window": F.count(F.lit(1)).over(w), "tokens_window": F.sum("tokens").over(w)})
+    else:
+        own = stored(log.withColumn("__id", F.monotonically_increasing_id()), "log")
+        mark = lambda at, kind: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"))
+        ends = F.explode(F.array(mark(F.col("ts_us") - seconds * 1_000_000, 0), mark(F.col("ts_us"), 1), mark(F.col("ts_us"), 2)))
+        points = own.select("__id", "key", "tokens", ends.alias("__m")).select("__id", "key", "__m.at", "__m.kind", "tokens")
+        one, own_tokens = (F.when(F.col("kind") == 1, x).otherwise(F.lit(0)) for x in (F.lit(1), F.coalesce("tokens", F.lit(0))))
+        summed = running(points, ["key"], ["at", "kind", "__id"], n=one, t=own_tokens).filter("kind <> 1")
+        side = F.when(F.col("kind") == 2, 1).otherwise(-1)
+        found = summed.groupBy("__id").agg(F.sum(side * F.col("n")).alias("n_window"), F.sum(side * F.col("t")).alias("tokens_window"))
+        rows = own.join(found, "__id").drop("__id")
     return rows.withColumn("breach", (F.col("n_window") > requests) | (F.col("tokens_window") > tokens))

@@ -212,7 +212,7 @@ def q_occurrence(spark, d):
 
 def _placed(spark, d):
     rows = sections(spark, d).drop("text").withColumn("section_path", chunk.section_path(F.col("section_hierarchy"), F.col("source_name")))
-    return rows.withColumn("occurrence", chunk.occurrence()).withColumnRenamed("doc_ord", "doc_id")
+    return chunk.with_occurrence(rows).withColumnRenamed("doc_ord", "doc_id")
 
 
 @query("q_chunk_ids", f"SELECT doc_id, left(md5(path || '::' || section || '::' || occurrence), 8) AS path_hash FROM ({_OCC})")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, StructField, StructType
 
+from loomcorpus.operators.ordered import batches_of, crowded
+
 
 class HashEmbedder:
     """Signed feature hashing of words; documents and queries share the space here."""
@@ -127,8 +129,11 @@ def token_batches(counts: list[int], most: int = 80_000) -> list[int]:
 def batch_numbers(rows: DataFrame, key: str, order: str, tokens: str, most: int = 80_000) -> DataFrame:
     """Rows with the batch they fall into, as token_batches numbers them within each key in the given order.
 
-    Greedy batches are a running fold: a task reads its keys' rows in order and remembers one number and one sum.
+    Greedy batches are a running fold: a task reads its keys' rows in order and remembers one number and one sum.  Keys
+    with more than their share of the rows are folded in ranges (see operators.ordered).
     """
+    if crowded(rows, [key]):
+        return batches_of(rows, key, order, tokens, most)
     names = [*rows.columns, "batch"]
     at = [names.index(c) for c in (key, tokens)]
 
