@@ -505,13 +505,26 @@ def q_chunks(spark, d):
     return chunk.chunk_documents(sections(spark, d), MOST, OVERLAP).select("chunk_id", "chunk_index", "total_chunks_in_section", "token_count", F.md5("text").alias("digest"))
 
 
-@query("q_ingest")
+#: The offline embedder's vector of a text: words hashed to signed places, divided by the length, all in single precision.
+_EMBED = r"""list_transform(range(64), lambda d: coalesce(list_sum(list_transform(list_filter(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda w: ('0x' || md5(w)[1:16])::UBIGINT), lambda h: h % 64 = d), lambda h: CASE WHEN h >= 9223372036854775808 THEN 1 ELSE -1 END)), 0))"""
+_UNIT = "list_transform({0}, lambda x: (x::FLOAT / greatest(sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])), CASE WHEN len(list_filter({0}, lambda y: y <> 0)) = 0 THEN 1 ELSE 0 END)::FLOAT)::FLOAT)"
+
+
+@query("q_ingest", SQL["q_chunks"].replace("md5(chunk) AS digest FROM x", f"{_UNIT.format('e')} AS embedding FROM (SELECT *, {_EMBED.format('chunk')} AS e FROM x)"))
 def q_ingest(spark, d):
     """Sections to embedded chunks."""
     return embedded(chunk.chunk_documents(sections(spark, d), MOST, OVERLAP)).select("chunk_id", "chunk_index", "total_chunks_in_section", "token_count", "embedding")
 
 
-@query("q_answer")
+@query("q_answer", rf"""WITH d AS (SELECT doc_id, text, source, lang, {_UNIT.format('e')}::DOUBLE[] AS v FROM (SELECT *, {_EMBED.format('text')} AS e FROM documents)),
+b AS (SELECT item_id, text, {_UNIT.format('e')}::DOUBLE[] AS v FROM (SELECT *, {_EMBED.format('text')} AS e FROM benchmark)),
+r AS (SELECT item_id, b.text AS question, d.*, row_number() OVER (PARTITION BY item_id ORDER BY round(list_inner_product(b.v, d.v), 9) DESC, doc_id) AS rank FROM b, d QUALIFY rank <= 5),
+c AS (SELECT item_id, question, string_agg('[' || rank || '] Source: ' || source || ' | Section: ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM r GROUP BY item_id, question),
+a AS (SELECT item_id, prompt, regexp_extract(prompt, '(?s)\[1\] Source: [^\n]*\n(.*?[.!?])(?:\s|$)', 1) AS first FROM c),
+o AS (SELECT *, CASE WHEN first <> '' THEN trim(first, ' ' || chr(10) || chr(9) || chr(13)) || ' [1]' ELSE 'The provided context does not contain enough information to answer this question.' END AS answer FROM a)
+SELECT item_id AS query_id, answer, NULL::VARCHAR AS error, 'offline' AS model, {_TOK.format('prompt')}::BIGINT AS input_tokens, {_TOK.format('answer')}::BIGINT AS output_tokens,
+  list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '\[(\d+(?:,\s*\d+)*)\]', 1), lambda m: regexp_split_to_array(m, ',\s*'))), lambda z: z::INT))) AS citations_used,
+  regexp_matches(answer, '(?i)does not contain enough information|cannot answer|can[''’]t answer|unable to answer|not enough information|insufficient (context|information)') AS abstained FROM o""")
 def q_answer(spark, d):
     """Benchmark texts as questions over whole documents: embed, retrieve, answer, post-process."""
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("source").alias("source_name"), F.col("lang").alias("section_path"))
@@ -663,7 +676,8 @@ def q_category_summary(spark, d):
     return report.category_summary(stored(spark, d))
 
 
-@query("q_ablation_run")
+@query("q_ablation_run", _QUESTIONS + f""" SELECT id, category, 3::INT AS rag, CASE WHEN NOT ab THEN 1 END::INT AS base,
+CASE WHEN NOT ab THEN 'From memory: ' || right('{evaluate.PLAIN_RULES}' || chr(10) || chr(10) || 'Question: ' || question, 40) END AS no_rag_answer FROM q""")
 def q_ablation_run(spark, d):
     """Questions answered without retrieval and judged; their scores beside those with retrieval."""
     base = questions(spark, d).select("*", F.lit(3).alias("rag"))

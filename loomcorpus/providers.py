@@ -8,7 +8,7 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, t in enumerate(texts):
             for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "big")
+                h = int.from_bytes(md5(w.encode(), usedforsecurity=False).digest()[:8], "big")
                 out[i, h % self.dim] += 1 if h >> 63 else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(n == 0, 1, n)).tolist()
