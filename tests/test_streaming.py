@@ -92,7 +92,7 @@ def test_failed_batch_is_made_good(spark, tmp_path, monkeypatch):
 def test_random_deliveries(spark, tmp_path):
     rng = random.Random(4)
     s, now = Stream(spark, tmp_path), {}
-    for step in range(5):
+    for step in range(3):
         rows = {}
         for _ in range(8):
             path, order = rng.choice("pqr"), rng.randrange(6)
