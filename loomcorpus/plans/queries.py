@@ -683,3 +683,75 @@ def q_ablation_run(spark, d):
     base = questions(spark, d).select("*", F.lit(3).alias("rag"))
     out = evaluate.ablated(base, lambda p: f"From memory: {p[-40:]}", overlap_judge)
     return out.select("id", "category", "rag", F.col("no_rag_quality.score").alias("base"), "no_rag_answer")
+
+
+#: A document's words in one line, and what is left of them without inline markup.
+_LINE = r"trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
+
+
+def _one_line(c: str = "text"):
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\n\x0b\f\r]+", " "))
+
+
+def _letters(c: str = "text"):
+    return F.md5(F.regexp_replace(c, r"\s+", ""))
+
+
+@query("q_rst_nested", rf"""WITH f AS (SELECT doc_id, lang, {_INLINE} AS body FROM (SELECT doc_id, lang, {_LINE} AS text FROM documents)),
+s AS (SELECT doc_id, body, 'Doc ' || doc_id AS a, lang, unnest(range(4)) AS k FROM f)
+SELECT doc_id::VARCHAR AS original_path, k::INT AS section_no, a || ['', ' > Part ' || lang, ' > Part ' || lang || ' > Deep', ' > Part two'][k + 1] AS section_path, md5(regexp_replace(body, '\s+', '', 'g')) AS letters FROM s WHERE trim(body) <> ''""")
+def q_rst_nested(spark, d):
+    """Documents as files with a title between rules, headings of two levels below it, and directives whose bodies go."""
+    body, title = _one_line(), F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))
+    part = F.concat(F.lit("Part "), F.col("lang"))
+    rule = lambda c, mark: F.repeat(F.lit(mark), F.length(c))
+    text = F.concat_ws(
+        "\n", rule(title, "="), title, rule(title, "="), F.lit(""), body, F.lit(""), F.lit(".. note::"), F.lit(""), F.lit("   Not in the text."), F.lit(""), part, rule(part, "-"), F.lit(""), body, F.lit("\nDeep\n~~~~\n"), body, F.lit(""),
+        F.lit(".. _label:"), F.lit(""), F.lit("Part two\n--------\n"), body,
+    )
+    rows = rst.sectioned(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("text")), rst.sections, "docs", "docs")
+    return rows.select("original_path", F.col("doc_ord.section_no").alias("section_no"), F.array_join("section_hierarchy", " > ").alias("section_path"), _letters().alias("letters"))
+
+
+@query("q_rst_plain", rf"""SELECT 'files/' || doc_id || '.rst' AS original_path, doc_id::VARCHAR AS section_path, md5(regexp_replace({_INLINE}, '\s+', '', 'g')) AS letters FROM (SELECT doc_id, {_LINE} AS text FROM documents) WHERE trim({_INLINE}) <> ''""")
+def q_rst_plain(spark, d):
+    """Files without a heading are one section, named by the file."""
+    files = t(spark, d, "documents").select(F.format_string("files/%d.rst", "doc_id").alias("path"), _one_line().alias("text"))
+    return rst.sectioned(files, rst.sections, "docs", "docs").select("original_path", F.array_join("section_hierarchy", " > ").alias("section_path"), _letters().alias("letters"))
+
+
+@query("q_code_fences", f"""WITH s AS (SELECT doc_id, list_concat({_SENT}, ['```x = f(1). y? z!```'], {_SENT}) AS a FROM documents)
+SELECT doc_id, (i - 1)::INT AS pos, a[i] AS atom FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM s)""")
+def q_code_fences(spark, d):
+    """A fenced block between two copies of a text is one atom, whatever ends of sentences it has."""
+    whole = F.concat("text", F.lit("```x = f(1). y? z!```"), "text")
+    return t(spark, d, "documents").select("doc_id", F.posexplode(T.atoms(whole)).alias("pos", "atom"))
+
+
+@query("q_html_nested", rf"""WITH f AS (SELECT doc_id, regexp_replace({_LINE}, '\s+', '', 'g') AS x FROM documents),
+s AS (SELECT doc_id, x, unnest(range(4)) AS k FROM f)
+SELECT doc_id::VARCHAR AS page, ['Title', 'Title > Sub Part', 'Title > In', 'Section'][k + 1] AS section_path, md5(CASE k WHEN 0 THEN x || 'In' || x ELSE x END) AS letters FROM s WHERE x <> '' OR k = 0""")
+def q_html_nested(spark, d):
+    """Documents as pages of section elements: a heading of its own, one from its id, one inside a div (whose text is its parent's too), one without either."""
+    own = F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(_one_line(), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p>"))
+    page = F.concat(
+        F.lit("<html><body><nav>menu</nav><main><section id='x'><h2> Title # </h2>"), own, F.lit("<section id='sub-part'>"), own, F.lit("</section><div><section><h3>In</h3>"), own, F.lit("</section></div></section><section>"), own,
+        F.lit("</section></main></body></html>"),
+    )
+    rows = html.html_sections(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), page.alias("text")))
+    return rows.select(F.col("original_path").alias("page"), F.array_join("section_hierarchy", " > ").alias("section_path"), _letters().alias("letters"))
+
+
+@query("q_pdf_sizes", r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, 0 AS pos, 'Big title ' || doc_id AS line, len(x) >= 2 AS large FROM t UNION ALL SELECT doc_id, unnest(range(1, len(x) + 1)), unnest(x), false FROM t),
+h AS (SELECT *, large OR (length(trim(line)) >= 3 AND regexp_matches(trim(line), '^(?:[A-Z]|\d+)(?:\.\d+)*\.?\s{1,4}[A-Z]')) AS h FROM l),
+s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
+SELECT doc_id, section::BIGINT AS section, max(trim(line)) FILTER (h) AS heading, md5(regexp_replace(string_agg(line, '' ORDER BY pos) FILTER (NOT h), '\s+', '', 'g')) AS letters
+FROM s GROUP BY ALL HAVING regexp_matches(string_agg(line, '' ORDER BY pos) FILTER (NOT h), '\S')""")
+def q_pdf_sizes(spark, d):
+    """Documents under a title of a larger size; where the title is as frequent as the text, its size counts as the text's."""
+    docs = t(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("file"), F.concat(F.lit("Big title "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("text"))
+    lines = docs.select("file", F.lit(1).alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    chars = lines.select("file", "page", F.col("line_no").alias("char_no"), F.col("line_no").cast("double").alias("top"), F.when(F.col("line_no") == 0, 18.0).otherwise(10.0).alias("size"), F.col("line").alias("text"))
+    rows = pdf.pdf_sections(lines, chars)
+    return rows.select(F.col("file").cast("long").alias("doc_id"), F.col("section_no").alias("section"), F.get("section_hierarchy", F.lit(1)).alias("heading"), _letters().alias("letters"))
