@@ -638,7 +638,24 @@ def _evaluated(spark, d):
     return evaluate.run(questions(spark, d), _embedded_docs(spark, d), judge_call=overlap_judge)
 
 
-@query("q_eval_run")
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_SHARE = "len(list_filter({0}, lambda w: list_contains({1}, w))) / greatest(1, len({0}))"
+
+
+@query("q_eval_run", rf"""{_QUESTIONS}, d AS (SELECT doc_id::VARCHAR AS chunk_id, text, source, lang, {_UNIT.format('e')}::DOUBLE[] AS v FROM (SELECT *, {_EMBED.format('text')} AS e FROM documents)),
+b AS (SELECT id, {_UNIT.format('e')}::DOUBLE[] AS v FROM (SELECT id, {_EMBED.format('question')} AS e FROM q)),
+r AS (SELECT id, chunk_id, text, source, lang, greatest(0, least(1, list_inner_product(b.v, d.v))) AS score, row_number() OVER (PARTITION BY id ORDER BY round(list_inner_product(b.v, d.v), 9) DESC, chunk_id) AS rank FROM b, d QUALIFY rank <= 10),
+l AS (SELECT id, list(chunk_id ORDER BY rank) AS ids, list(round(score, 4) ORDER BY rank) AS scores, string_agg('[' || rank || '] Source: ' || source || ' | Section: ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+  string_agg('[' || rank || '] ' || source || ' | ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS whole, string_agg('[' || rank || '] ' || source || ' | ' || lang || chr(10) || left(text, 400), chr(10) || chr(10) ORDER BY rank) AS short FROM r GROUP BY id),
+a AS (SELECT *, regexp_extract(context || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question: ' || question, '(?s)\[1\] Source: [^
+]*
+(.*?[.!?])(?:\s|$)', 1) AS first FROM q JOIN l USING (id)),
+o AS (SELECT *, CASE WHEN first <> '' THEN trim(first, ' ' || chr(10) || chr(9) || chr(13)) || ' [1]' ELSE 'The provided context does not contain enough information to answer this question.' END AS answer FROM a),
+p AS (SELECT *, regexp_matches(answer, '(?i)does not contain enough information|cannot answer|can[''’]t answer|unable to answer|not enough information|insufficient (context|information)') AS abstained, {_WORDS.format('answer')} AS w, {_WORDS.format('whole')} AS ww, {_WORDS.format('short')} AS ws FROM o),
+g AS (SELECT *, {_SHARE.format('w', 'ww')} AS f, {_SHARE.format('w', 'ws')} AS k, NOT ab AND NOT abstained AS judged FROM p)
+SELECT id, category, ab AS should_abstain, NULL::VARCHAR AS error, ids AS retrieved_chunk_ids, scores AS top_scores, CASE WHEN NOT ab AND len(gt) > 0 THEN coalesce(1.0 / nullif(list_position(ids, gt[1]), 0), 0) END::DOUBLE AS mrr, abstained,
+  list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '\[(\d+(?:,\s*\d+)*)\]', 1), lambda m: regexp_split_to_array(m, ',\s*'))), lambda z: z::INT))) AS citations_used,
+  abstained = ab AS abstention_correct, CASE WHEN judged THEN CASE WHEN f > 0.8 THEN 1.0 WHEN f > 0.4 THEN 0.5 ELSE 0.0 END END::DOUBLE AS faithfulness, CASE WHEN judged THEN 1 + round_even(4 * k, 0) END::INT AS quality FROM g""")
 def q_eval_run(spark, d):
     """Benchmark texts as questions over whole documents: retrieval, metrics, answers and all judges."""
     out = _evaluated(spark, d)
