@@ -9,10 +9,9 @@ the next rates, and a document's rate is that of its posterior.  Tokens are word
 
 The targets are the weights' shares of `total` tokens.  Without a total it is so large that the domain
 `keep` needs `surplus` times what it has, and at least what there is.  `most_rate` bounds the rates from
-above: with 1 no document is repeated.  Then, without a total, `keep` is to give all that it can; a domain
-that can't give its share gives what it has and the others share the rest by their weights, so that none has
-more than its due.  Whatever domain ends up off its weight is named in a warning, and so is a fit that neither
-meets its targets nor stands still after `steps` steps; `residual` says what is missed.
+above: with 1 no document is repeated, and domains that can't give their share stay short.  Whatever domain is
+then off its weight is named in a warning, and so is a fit that neither meets its targets nor stands still after
+`steps` steps; `residual` says what is missed.
 
 Defined cases: a null or empty text has no tokens, the prior as posterior and the rate of its posterior;
 repeated rows get equal rates; documents without labels, and labels that are null or repeated (smallest
@@ -188,16 +187,7 @@ def wanted(mass: np.ndarray, p: Params) -> np.ndarray:
     weights, at = np.array([p.weights[d] for d in DOMAINS]) / sum(p.weights.values()), DOMAINS.index(p.keep)
     if p.total is not None or not weights[at]:
         return weights * (mass.sum() if p.total is None else p.total)
-    if p.most_rate == math.inf:
-        return weights * max(mass.sum(), p.surplus * mass[at] / weights[at])
-    most, short = p.most_rate * mass, np.zeros(len(mass), dtype=bool)
-    for _ in DOMAINS:
-        # The tokens that make all of `keep` its share among the domains that can give theirs.
-        due = np.where(short, most, weights * most[at] / weights[at])
-        if not (short_now := ~short & (due > most * (1 + 1e-12))).any():
-            break
-        short |= short_now
-    return due
+    return weights * max(mass.sum(), p.surplus * mass[at] / weights[at])
 
 
 def fit_rates(rows: DataFrame, params: Params = Params()) -> tuple[list[Step], list[float], list[float], float, DataFrame]:
