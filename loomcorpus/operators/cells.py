@@ -2,9 +2,10 @@
 
 Fitting takes a bounded sample of the vectors: its k-means centres are the cells, and codebooks of what is left of a
 vector within its cell describe it in a few bytes.  Every row is assigned, whatever the sample had.  The rows lie in
-Parquet folders by cell, so a search reads the cells nearest to its queries and no others: first the codes alone, which
-choose candidates, then the vectors of these, which rank them by their true cosine.  How many cells and candidates a
-search takes is measured on the sample, for the recall that is wanted.
+Parquet folders by cell, so a search reads the cells nearest to its queries and no others.  Blocks of rows meet blocks of
+queries: in each, the codes choose a query's candidates, whose vectors rank them by their true cosine, and a task keeps the
+best k of each query, never a row for a pair.  How many cells and candidates a search takes is measured on the sample, for
+the recall that is wanted.
 
 The folders are named by a snapshot (sources.snapshots).  Adding rows assigns them by the same model and reads nothing
 of what is there.  Vectors are unit vectors inside; null, empty and zero ones, and those of another length than the
@@ -14,15 +15,18 @@ model's, take no part.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import isqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from loomcorpus.sources import snapshots
@@ -38,23 +42,37 @@ class Params:
     recall: float = 0.98  # of the true neighbours among the sample
     tried: int = 256  # rows of the sample that are searched for, to measure it
     k: int = 10
-    broadcast_rows: int = 200_000  # candidates that are broadcast; more are joined by a shuffle
-    asked_rows: int = 512  # queries that meet a cell at once
+    asked_rows: int = 2048  # queries of a block; one block is broadcast, more meet shares of the index
+    block_bytes: int = 2 << 20  # of the vectors of a block of rows, and of most arrays that a task makes
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
 
 
+def _pieces(n: int, width: int, most: int = 4 << 20) -> Iterator[slice]:
+    """Runs of n rows, so that an array of them with `width` columns has about `most` numbers."""
+    step = max(1, most // max(1, width))
+    for a in range(0, n, step):
+        yield slice(a, min(n, a + step))
+
+
 def _means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """k-means; a centre without rows is put on the row that is worst served."""
     c = x[np.unique(np.linspace(0, len(x) - 1, k).astype(int))].copy()
+    at, least, own = np.zeros(len(x), np.int64), np.zeros(len(x)), (x * x).sum(axis=1)
     for _ in range(rounds):
-        far = (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
-        at = far.argmin(axis=1)
+        half = (c * c).sum(axis=1) / 2
+        for s in _pieces(len(x), len(c), 1 << 18):
+            near = x[s] @ c.T
+            near -= half
+            at[s] = near.argmax(axis=1)
+            least[s] = own[s] - 2 * near[np.arange(len(near)), at[s]]
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(c) + 1))
         for i in range(len(c)):
-            own = at == i
-            c[i] = x[own].mean(axis=0) if own.any() else x[far.min(axis=1).argmax()]
+            rows = order[ends[i] : ends[i + 1]]
+            c[i] = x[rows].mean(axis=0) if len(rows) else x[least.argmax()]
     return c
 
 
@@ -72,16 +90,23 @@ class Model:
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell and the codes of unit vectors."""
-        at = (x @ self.cells.T).argmax(axis=1)
-        return at, self.codes(x - self.cells[at])
+        at, codes = np.zeros(len(x), np.int64), np.zeros((len(x), len(self.books)), np.uint8)
+        for s in _pieces(len(x), max(len(self.cells), 256)):
+            at[s] = (x[s] @ self.cells.T).argmax(axis=1)
+            codes[s] = self.codes(x[s] - self.cells[at[s]])
+        return at, codes
 
     def codes(self, rest: np.ndarray) -> np.ndarray:
         to = self.bounds()
         return np.stack([((b * b).sum(axis=1) - 2 * rest[:, a:z] @ b.T).argmin(axis=1) for b, a, z in zip(self.books, to, to[1:], strict=False)], axis=1).astype(np.uint8)
 
     def near(self, q: np.ndarray) -> np.ndarray:
-        """Of each query the cells to look into, nearest first."""
-        return np.argsort(-(q @ self.cells.T), axis=1, kind="stable")[:, : self.probes]
+        """Of each query and cell, whether to look into it: the nearest ones."""
+        out = np.full((len(q), len(self.cells)), self.probes >= len(self.cells))
+        if not out.all():
+            for s in _pieces(len(q), len(self.cells)):
+                np.put_along_axis(out[s], np.argsort(-(q[s] @ self.cells.T), axis=1, kind="stable")[:, : self.probes], True, axis=1)
+        return out
 
     def guess(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Estimated cosines of queries and rows of a cell."""
@@ -96,7 +121,8 @@ def fit(vectors: np.ndarray, rows: int, p: Params = Params()) -> Model:
     """The model of a sample, for so many rows in all."""
     x = _unit(vectors.astype(np.float64))
     cells = _unit(_means(x, max(1, min(p.cells or isqrt(rows), len(x) // 8)), p.rounds))
-    rest = x - cells[(x @ cells.T).argmax(axis=1)]
+    at = np.concatenate([(x[s] @ cells.T).argmax(axis=1) for s in _pieces(len(x), len(cells))])
+    rest = x - cells[at]
     parts = [s for s in np.array_split(np.arange(x.shape[1]), min(p.parts, x.shape[1])) if len(s)]
     books = [_means(rest[:, s[0] : s[-1] + 1], max(1, min(256, len(x) // 4)), p.rounds) for s in parts]
     model = Model(cells, books, len(cells), len(x))
@@ -161,7 +187,10 @@ def build(rows: DataFrame, path: str, id_col: str = "chunk_id", vec_col: str = "
     size = has.agg(F.count(F.lit(1)).alias("n"), F.mode(F.size(vec_col)).alias("dim")).first()
     dim = size["dim"] or 1
     most = max(1, min(p.sample_rows, p.sample_bytes // (4 * dim)))
-    sample = has.filter(F.size(vec_col) == dim).select(vec_col).orderBy(F.xxhash64(id_col)).limit(most).toArrow()  # most rows at most
+    of_dim, share = has.filter(F.size(vec_col) == dim), (most + 10 * math.sqrt(most)) / max(1, size["n"])
+    if share < 1:  # the hashes that the sample lies below, so that other rows aren't sorted
+        of_dim = of_dim.filter(F.xxhash64(id_col) < int((2 * share - 1) * 2**63))
+    sample = of_dim.select(vec_col).orderBy(F.xxhash64(id_col)).limit(most).toArrow()  # most rows at most
     _, x = _matrix(sample.column(0).combine_chunks() if sample.num_rows else pa.array([[0.0] * dim], pa.list_(pa.float64())), dim)
     model = fit(x if len(x) else np.ones((1, dim)), size["n"], p)
     base = snapshots.newest(spark, path)
@@ -200,85 +229,163 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (spark.read.schema(kind).parquet(f"{path}/{name}") for name in here.entries))
 
 
-def _asked(queries: DataFrame, model, query_id: str, vec_col: str) -> DataFrame:
-    """Rows (cell, query_id, q) of the cells that each query looks into."""
-    rows = queries.filter(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
-    kind = rows.schema["query_id"].dataType.simpleString()
+def _reached(queries: DataFrame, model) -> dict[int, int]:
+    """How many queries (query_id, q) look into each cell; under -1, how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        total = np.zeros(len(m.cells) + 1, np.int64)
         for batch in batches:
-            which, q = _matrix(batch.column(1), m.cells.shape[1])
-            cells = m.near(q)
-            n = cells.shape[1]
-            each = np.repeat(np.arange(len(which)), n)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1) * q.shape[1], pa.int32()), pa.array(q[each].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), batch.column(0).take(pa.array(which[each])), flat], names=["cell", "query_id", "q"])
+            _, q = _matrix(batch.column(1), m.cells.shape[1])
+            for s in _pieces(len(q), len(m.cells)):
+                total[:-1] += m.near(q[s]).sum(axis=0)
+            total[-1] += len(q)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(some < len(m.cells), some, -1), pa.int32()), pa.array(total[some])], names=["cell", "n"])
 
-    return rows.mapInArrow(run, f"cell int, query_id {kind}, q array<double>")
+    rows = queries.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row for each cell
+    return {r["cell"]: r["n"] for r in rows}
 
 
-def _packed(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows (id, codes, cell) as blocks (cell, ids, codes)."""
+def _asked(queries: DataFrame, model, kind: str, most: int) -> DataFrame:
+    """Blocks (names, q, looks) of queries (query_id, q); looks has a bit for each query and cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
         for batch in batches:
-            cells = batch.column(2).to_numpy()
-            for c in np.unique(cells):
-                own = batch.take(pa.array(np.flatnonzero(cells == c)))
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([own.column(0).to_pylist()], pa.list_(own.column(0).type)), pa.array([b"".join(own.column(1).to_pylist())], pa.binary())], names=["cell", "ids", "codes"])
+            which, q = _matrix(batch.column(1), m.cells.shape[1])
+            vectors = _vectors(batch.column(1), which, m.cells.shape[1])
+            for a in range(0, len(which), most):
+                s = slice(a, a + most)
+                names = batch.column(0).take(pa.array(which[s])).to_pylist()
+                looks = np.packbits(m.near(q[s]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([names], pa.list_(batch.column(0).type)), pa.array([vectors[s].tobytes()], pa.binary()), pa.array([looks.tobytes()], pa.binary())], names=["names", "q", "looks"])
 
-    return rows.mapInArrow(run, f"cell int, ids array<{kind}>, codes binary")
+    return queries.mapInArrow(run, f"names array<{kind}>, q binary, looks binary")
 
 
-def _chosen(met: DataFrame, model, take: int, qkind: str, kind: str) -> DataFrame:
-    """Of each block and query the rows with the best estimates."""
+def _vectors(column: pa.Array, which: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors of some rows of a list column, as they are."""
+    flat = column.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(which), dim)
+
+
+def _packed(rows: DataFrame, kind: str, dim: int, block_bytes: int) -> DataFrame:
+    """Rows (id, v, codes, cell) as blocks (ids, cells, codes, vectors)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, block_bytes // (8 * dim))
+            for a in range(0, batch.num_rows, step):
+                own = batch.slice(a, step)
+                v = _vectors(own.column(1), np.arange(own.num_rows), dim)
+                blobs = [own.column(3).to_numpy().astype(np.int32).tobytes(), b"".join(own.column(2).to_pylist()), v.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([own.column(0).to_pylist()], pa.list_(own.column(0).type)), *(pa.array([b], pa.binary()) for b in blobs)], names=["ids", "cells", "codes", "vectors"])
+
+    return rows.mapInArrow(run, f"ids array<{kind}>, cells binary, codes binary, vectors binary")
+
+
+class _Best:
+    """Of a block of queries, the k best rows that each has met; of equal scores those with smaller ids."""
+
+    def __init__(self, names: pa.Array, q: np.ndarray, looks: np.ndarray, model: Model, k: int, p: Params) -> None:
+        self.names, self.q, self.looks, self.model, self.k, self.p = names, q, looks, model, k, p
+        self.unit, self.norms = _unit(q), np.sqrt(np.einsum("ij,ij->i", q, q))
+        self.low = np.full(len(q), -np.inf)  # what a row must reach
+        self.rows = pd.DataFrame({"who": np.zeros(0, np.int64), "score": np.zeros(0), "id": []})
+
+    def _chosen(self, who: np.ndarray, look: np.ndarray, cells: np.ndarray, codes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of those to be ranked.  Codes choose where few are taken; a product of matrices is faster for more."""
+        take = self.model.candidates
+        if 16 * take < len(v):
+            guess = np.full(look.shape, -np.inf)
+            for c in np.unique(cells):
+                asks, own = np.flatnonzero(self.looks[who, c]), np.flatnonzero(cells == c)
+                guess[np.ix_(asks, own)] = self.model.guess(self.unit[who[asks]], c, codes[own])
+            best = np.argpartition(-guess, take - 1, axis=1)[:, :take]
+            at, j = np.nonzero(np.take_along_axis(look, best, axis=1))
+            return who[at], best[at, j]
+        score = np.where(look, self.unit[who] @ _unit(v).T, -np.inf)
+        edge = np.partition(score, -self.k, axis=1)[:, -self.k] if len(v) > self.k else np.full(len(who), -np.inf)
+        at, j = np.nonzero(look & (score >= np.maximum(edge, self.low[who])[:, None] - 1e-9))  # rounding decides nothing
+        return who[at], j
+
+    def add(self, ids: pa.Array, cells: np.ndarray, codes: np.ndarray, v: np.ndarray) -> None:
+        here, norms = np.unique(cells), np.sqrt(np.einsum("ij,ij->i", v, v))
+        asking = np.flatnonzero(self.looks[:, here].any(axis=1))
+        found = []
+        for s in _pieces(len(asking), len(v), self.p.block_bytes):
+            who, row = self._chosen(asking[s], self.looks[np.ix_(asking[s], cells)], cells, codes, v)
+            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.q[who[t]], v[row[t]]) / self.norms[who[t]] / norms[row[t]] for t in _pieces(len(who), v.shape[1], self.p.block_bytes))])
+            keep = score >= self.low[who]
+            found.append(self._first(pd.DataFrame({"who": who[keep], "score": score[keep], "id": ids.take(pa.array(row[keep])).to_numpy(zero_copy_only=False)})))
+        found = [f for f in found if len(f)]
+        if found:
+            self.rows = self._first(pd.concat([*([self.rows] if len(self.rows) else []), *found], ignore_index=True))
+            last = self.rows.groupby("who")["score"].agg(["size", "min"])
+            full = last[last["size"] == self.k]
+            self.low[full.index.to_numpy()] = full["min"].to_numpy()
+
+    def _first(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["who", "score", "id"], ascending=[True, False, True]).groupby("who").head(self.k)
+
+    def batch(self, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+        who = self.names.take(pa.array(self.rows["who"].to_numpy())).cast(types[0])
+        return pa.RecordBatch.from_arrays([who, pa.array(self.rows["score"].to_numpy()), pa.array(self.rows["id"].tolist(), types[1])], names=["query_id", "score", "id"])
+
+
+def _ranked(met: DataFrame, model, k: int, p: Params, schema: str, types: tuple[pa.DataType, pa.DataType]) -> DataFrame:
+    """Of each block of queries the best k rows for each, of the blocks of rows that it meets in a task one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        dim, group, best = m.cells.shape[1], None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                cell, ids, codes, names, q = (batch.column(j)[i] for j in range(5))
-                q = q.values.to_numpy().reshape(-1, m.cells.shape[1])
-                codes = np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, len(m.books))
-                guess = m.guess(q, cell.as_py(), codes)
-                n = min(take, guess.shape[1])
-                best = np.argpartition(-guess, n - 1, axis=1)[:, :n]
-                who = pa.array(np.repeat(np.arange(len(q)), n))
-                yield pa.RecordBatch.from_arrays([names.values.take(who), ids.values.take(pa.array(best.ravel())), pa.array(np.take_along_axis(guess, best, axis=1).ravel())], names=["query_id", "id", "guess"])
+            for names, q, looks, ids, cells, codes, vectors in zip(*batch.columns, strict=True):
+                if group is None or not q.as_buffer().equals(group):
+                    if best:
+                        yield best.batch(types)
+                    group = pa.py_buffer(q.as_buffer().to_pybytes())
+                    asks = np.frombuffer(group).reshape(-1, dim)
+                    bits = np.unpackbits(np.frombuffer(looks.as_buffer(), np.uint8).reshape(len(asks), -1), axis=1, count=len(m.cells)).astype(bool)
+                    best = _Best(pa.array(names.as_py(), types[0]), asks, bits, m, k, p)
+                best.add(ids.values, np.frombuffer(cells.as_buffer(), np.int32), np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids.values), -1), np.frombuffer(vectors.as_buffer()).reshape(-1, dim))
+        if best:
+            yield best.batch(types)
 
-    return met.select("cell", "ids", "codes", "names", "q").mapInArrow(run, f"query_id {qkind}, id {kind}, guess double")
+    return met.select("names", "q", "looks", "ids", "cells", "codes", "vectors").mapInArrow(run, schema)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, where: Column | None = None, probes: int | None = None, candidates: int | None = None, query_id: str = "query_id", params: Params = Params()) -> DataFrame:
     """(query_id, rank, id, score) as retrieve.topk gives them, of the rows that the probed cells have; scores are true cosines.
 
-    where: a condition on the rows' own columns, which both scans push down.  queries have the index's vector column.
+    where: a condition on the rows' own columns, which the scan pushes down.  queries have the index's vector column.
+    candidates are those that a query has in a block of rows, and so at least as many of all rows.  One block of queries is
+    broadcast and the index is read where it lies; more of them meet the index in shares, as in retrieve.topk.
     """
-    here = snapshots.newest(spark, path)
+    here, p = snapshots.newest(spark, path), params
     model = load(spark, path, here)
     model = Model(model.cells, model.books, probes or model.probes, max(k, candidates or model.candidates))
     id_col, vec_col = here.notes["id"], here.notes["vector"]
     sent = spark.sparkContext.broadcast(model)
-    asked = _asked(queries, sent, query_id, vec_col)
-    counts = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each cell
-    cells = sorted(r["cell"] for r in counts)
-    rows = read(spark, path).filter(F.col("cell").isin(cells))
+    asks = queries.filter(F.col(query_id).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(vec_col).cast("array<double>").alias("q"))
+    reached = _reached(asks, sent)
+    parts = -(-reached.pop(-1, 0) // p.asked_rows)
+    rows = read(spark, path).filter(F.col("cell").isin(sorted(reached)) & F.col(id_col).isNotNull())
     rows = rows if where is None else rows.filter(where)
-    kind, qkind = rows.schema[id_col].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-    cuts = spark.createDataFrame([(r["cell"], -(-r["n"] // params.asked_rows)) for r in counts], "cell int, cuts int")
-    blocks = asked.join(F.broadcast(cuts), "cell").withColumn("cut", F.pmod(F.xxhash64("query_id"), F.col("cuts")))
-    blocks = blocks.groupBy("cell", "cut").agg(F.collect_list(F.struct("query_id", "q")).alias("a")).select("cell", F.col("a.query_id").alias("names"), F.flatten("a.q").alias("q"))  # asked_rows each, on average
-    met = _packed(rows.select(F.col(id_col).alias("id"), "codes", "cell"), kind).join(blocks, "cell")
-    best = Window.partitionBy("query_id").orderBy(F.desc("guess"), "id")
-    chosen = _chosen(met, sent, model.candidates, qkind, kind).withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= model.candidates).select("query_id", "id")
-    chosen = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).cast("array<double>").alias("q")).join(chosen, "query_id")
-    if len(cells) and queries.count() * model.candidates <= params.broadcast_rows:
-        chosen = F.broadcast(chosen)
-    # Joined by id alone: a join on the folders' column would make Spark choose the candidates twice, to prune folders.
-    final = rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).join(chosen, "id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = final.select("query_id", "id", (dot(F.col("q"), F.col("v")) / F.sqrt(dot(F.col("q"), F.col("q"))) / F.sqrt(dot(F.col("v"), F.col("v")))).alias("score"))
+    types = tuple(f.schema[c].dataType for f, c in ((asks, "query_id"), (rows, id_col)))
+    qkind, kind = (x.simpleString() for x in types)
+    own = _packed(rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), "codes", "cell"), kind, model.cells.shape[1], p.block_bytes)
+    blocks = _asked(asks.repartition(max(1, parts)), sent, qkind, p.asked_rows)
+    if parts <= 1:
+        met = own.crossJoin(F.broadcast(blocks))
+    else:
+        shares = 4 * spark.sparkContext.defaultParallelism
+        every = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        dealt = own.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
+        # The left side streams: a task ranks all blocks of its share for one block of queries, then for the next.
+        met = every.repartition(shares, "share").join(dealt.repartition(shares, "share").hint("merge"), "share")
+    found = _ranked(met, sent, k, p, f"query_id {qkind}, score double, id {kind}", tuple(to_arrow_type(x) for x in types))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("score"))
