@@ -18,6 +18,22 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType, StringType, Str
 from loomcorpus.operators.ordered import batches_of, crowded
 
 
+class _Hashes(dict):
+    """64 bits of each word's md5; beyond `most` words it starts anew."""
+
+    most = 1 << 17
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = int.from_bytes(md5(word.encode(), usedforsecurity=False).digest()[:8], "big")
+        return h
+
+
+_hashes = _Hashes()
+_WORD = re.compile(r"\w+")
+
+
 class HashEmbedder:
     """Signed feature hashing of words; documents and queries share the space here."""
 
@@ -27,9 +43,9 @@ class HashEmbedder:
     def __call__(self, texts: list[str], input_type: str = "document") -> list[list[float]]:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(md5(w.encode(), usedforsecurity=False).digest()[:8], "big")
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+            words = _WORD.findall(t.lower())
+            h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+            out[i] = np.bincount((h % np.uint64(self.dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dim)
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(n == 0, 1, n)).tolist()
 
