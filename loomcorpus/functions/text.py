@@ -18,12 +18,13 @@ CITATION = r"\[(\d+(?:,\s*\d+)*)\]"
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def token_count(c: Column) -> Column:
     """Words separated by white space; the default counter."""
-    return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    blank = lambda w, i: F.when(F.get(w, i) == "", 1).otherwise(0)  # noqa: E731  only the first and the last piece can be empty
+    return bound(F.split(c, r"\s+"), lambda w: F.size(w) - blank(w, F.lit(0)) - F.when(F.size(w) > 1, blank(w, F.size(w) - 1)).otherwise(0))
 
 
 def sentences(c: Column) -> Column:

@@ -103,7 +103,8 @@ def chunk_id(source_name: Column, slug: Column, path: Column, section: Column, o
 
 def chunk_rows(cut: DataFrame, counter: Callable[[Column], Column] | None = None) -> DataFrame:
     """The chunks, with ids, of cut sections that have their occurrence."""
-    out = cut.select("*", F.size("chunks").alias("total_chunks_in_section"), F.posexplode("chunks").alias("chunk_index", "chunk"))
+    # Outer, then filtered: before an inner one Spark filters by the array's size, and computes the array anew for that.
+    out = cut.select("*", F.size("chunks").alias("total_chunks_in_section"), F.posexplode_outer("chunks").alias("chunk_index", "chunk")).filter("chunk_index IS NOT NULL")
     tokens = counter(F.array("chunk"))[0] if counter else token_count(F.col("chunk"))
     name = chunk_id(F.col("source_name"), F.col("slug"), F.col("original_path"), F.col("section_path"), F.col("occurrence"), F.col("chunk_index"))
     return out.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomcorpus import providers
 from loomcorpus.functions import text as T
+from loomcorpus.operators import chunk
 from loomcorpus.plans import evaluate
 
 
@@ -50,3 +51,13 @@ def test_token_counts_of_odd_texts(spark):
     for r in rows.collect():
         assert r["n"] == (None if r["t"] is None else len([w for w in re.split(f"[{space}]+", r["t"]) if w]))
         assert r["s"] == (None if r["t"] is None else r["t"].strip(space))
+
+
+def test_chunks_are_cut_once(spark, tmp_path):
+    docs = [(1, "One two three. Four five six. Seven eight.", "d", "s", "p", ["h"]), (2, "", "d", "s", "p", ["h"]), (3, None, "d", "s", "p", ["h"])]
+    spark.createDataFrame(docs, "doc_ord long, text string, source_type string, source_name string, original_path string, section_hierarchy array<string>").write.parquet(str(tmp_path / "docs"))
+    out = chunk.chunk_documents(spark.read.parquet(str(tmp_path / "docs")), 4, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=[.!?])") == 1
+    assert sorted((r["chunk_id"][-1], r["text"]) for r in out.collect() if r["text"]) == [("0", "One two three."), ("1", "Four five six."), ("2", "Seven eight.")]
+    assert out.count() == 5
