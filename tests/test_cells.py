@@ -69,3 +69,20 @@ def test_empty_and_tiny_tables(spark, tmp_path):
     assert cells.search(spark, str(tmp_path / "none"), asks, 5).collect() == []
     cells.build(some(spark, 3, 1), str(tmp_path / "three"))
     assert len(cells.search(spark, str(tmp_path / "three"), asks, 5).collect()) == 9
+
+
+def test_many_queries_in_blocks(spark, tmp_path):
+    """More queries than a block has, equal vectors and codes that choose: no row for a pair is made, the index is read once."""
+    path, rows = str(tmp_path / "cells"), some(spark, 900, 7)
+    rows = rows.union(rows.filter("chunk_id < 30").selectExpr("chunk_id + 5000", "embedding", "label"))
+    cells.build(rows, path)
+    asks = some(spark, 90, 8, start=100).union(rows.filter("chunk_id < 10")).select(F.col("chunk_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    small = cells.Params(asked_rows=16, block_bytes=16 * 8 * 50)  # 16 queries, 50 rows
+    got = cells.search(spark, path, asks, 10, probes=1000, candidates=1000, params=small)
+    want = retrieve.topk(rows, asks, 10)
+    line = lambda df: [(r["query_id"], r["rank"], r["chunk_id"]) for r in df.orderBy("query_id", "rank").collect()]
+    assert line(got) == line(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [cell") == 1
+    few = cells.search(spark, path, asks, 2, probes=1000, candidates=2, params=small)
+    assert len(pairs(few)) == 2 * asks.count() and recall(few, retrieve.topk(rows, asks, 2)) >= 0.5
