@@ -42,7 +42,8 @@ class Params:
     recall: float = 0.98  # of the true neighbours among the sample
     tried: int = 256  # rows of the sample that are searched for, to measure it
     k: int = 10
-    asked_rows: int = 2048  # queries of a block; one block is broadcast, more meet shares of the index
+    asked_rows: int = 2048  # queries of a block
+    group_blocks: int = 16  # of queries, that a task has at once
     block_bytes: int = 2 << 20  # of the vectors of a block of rows, and of most arrays that a task makes
 
 
@@ -128,18 +129,19 @@ def fit(vectors: np.ndarray, rows: int, p: Params = Params()) -> Model:
     model = Model(cells, books, len(cells), len(x))
     at, codes = model.assign(x)
     some = np.linspace(0, len(x) - 1, min(p.tried, len(x))).astype(int)
-    true = x[some] @ x.T
-    best = np.argsort(-true, axis=1, kind="stable")[:, : p.k]
     order = np.argsort(-(x[some] @ cells.T), axis=1)
     place = np.argsort(order, axis=1)  # of each cell in the order of a query
-    rank = np.take_along_axis(place, at[best], axis=1)
-    probes = next(n for n in range(1, len(cells) + 1) if (rank < n).mean() >= (1 + p.recall) / 2)
-    guessed = np.empty_like(true)
+    rank, below = np.zeros((len(some), min(p.k, len(x))), np.int64), np.zeros((len(some), min(p.k, len(x))), np.int64)
+    guessed = np.empty((len(some), len(x)), np.float32)
     for c in range(len(cells)):
         guessed[:, at == c] = model.guess(x[some], c, codes[at == c])
-    below = np.argsort(np.argsort(-guessed, axis=1), axis=1)
+    for s in _pieces(len(some), len(x), 1 << 20):
+        best = np.argsort(-(x[some[s]] @ x.T), axis=1, kind="stable")[:, : p.k]
+        rank[s] = np.take_along_axis(place[s], at[best], axis=1)
+        below[s] = [(g > g[b][:, None]).sum(axis=1) for g, b in zip(guessed[s], best, strict=True)]
+    probes = next(n for n in range(1, len(cells) + 1) if (rank < n).mean() >= (1 + p.recall) / 2)
     tries = [n for n in (2**i * p.k for i in range(1, 30)) if n < len(x)] + [len(x)]
-    candidates = next(n for n in tries if (np.take_along_axis(below, best, axis=1) < n).mean() >= (1 + p.recall) / 2)
+    candidates = next(n for n in tries if (below < n).mean() >= (1 + p.recall) / 2)
     return Model(cells, books, probes, candidates)
 
 
@@ -278,6 +280,7 @@ def _packed(rows: DataFrame, kind: str, dim: int, block_bytes: int) -> DataFrame
             step = max(1, block_bytes // (8 * dim))
             for a in range(0, batch.num_rows, step):
                 own = batch.slice(a, step)
+                own = own.take(pa.array(np.argsort(own.column(3).to_numpy(), kind="stable")))  # a cell's rows side by side
                 v = _vectors(own.column(1), np.arange(own.num_rows), dim)
                 blobs = [own.column(3).to_numpy().astype(np.int32).tobytes(), b"".join(own.column(2).to_pylist()), v.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([own.column(0).to_pylist()], pa.list_(own.column(0).type)), *(pa.array([b], pa.binary()) for b in blobs)], names=["ids", "cells", "codes", "vectors"])
@@ -294,31 +297,38 @@ class _Best:
         self.low = np.full(len(q), -np.inf)  # what a row must reach
         self.rows = pd.DataFrame({"who": np.zeros(0, np.int64), "score": np.zeros(0), "id": []})
 
-    def _chosen(self, who: np.ndarray, look: np.ndarray, cells: np.ndarray, codes: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _chosen(self, who: np.ndarray, here: np.ndarray, ends: np.ndarray, codes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of those to be ranked.  Codes choose where few are taken; a product of matrices is faster for more."""
-        take = self.model.candidates
-        if 16 * take < len(v):
-            guess = np.full(look.shape, -np.inf)
-            for c in np.unique(cells):
-                asks, own = np.flatnonzero(self.looks[who, c]), np.flatnonzero(cells == c)
-                guess[np.ix_(asks, own)] = self.model.guess(self.unit[who[asks]], c, codes[own])
+        take, asks = self.model.candidates, self.looks[np.ix_(who, here)]
+        if 16 * take < len(unit):
+            guess = np.full((len(who), len(unit)), -np.inf)
+            for i, c in enumerate(here):
+                one = np.flatnonzero(asks[:, i])
+                guess[one, ends[i] : ends[i + 1]] = self.model.guess(self.unit[who[one]], c, codes[ends[i] : ends[i + 1]])
             best = np.argpartition(-guess, take - 1, axis=1)[:, :take]
-            at, j = np.nonzero(np.take_along_axis(look, best, axis=1))
+            at, j = np.nonzero(np.take_along_axis(guess, best, axis=1) > -np.inf)
             return who[at], best[at, j]
-        score = np.where(look, self.unit[who] @ _unit(v).T, -np.inf)
-        edge = np.partition(score, -self.k, axis=1)[:, -self.k] if len(v) > self.k else np.full(len(who), -np.inf)
-        at, j = np.nonzero(look & (score >= np.maximum(edge, self.low[who])[:, None] - 1e-9))  # rounding decides nothing
+        score = self.unit[who] @ unit.T
+        for i in np.flatnonzero(~asks.all(axis=0)):
+            score[~asks[:, i], ends[i] : ends[i + 1]] = -np.inf
+        hit = score >= np.maximum(self.low[who], -2.0)[:, None] - 1e-9  # rounding decides nothing
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > self.k)
+        for s in _pieces(len(many), len(unit), self.p.block_bytes >> 3):
+            edge = np.partition(score[many[s]], -self.k, axis=1)[:, -self.k]
+            hit[many[s]] &= score[many[s]] >= edge[:, None] - 1e-9
+        at, j = np.nonzero(hit)
         return who[at], j
 
-    def add(self, ids: pa.Array, cells: np.ndarray, codes: np.ndarray, v: np.ndarray) -> None:
-        here, norms = np.unique(cells), np.sqrt(np.einsum("ij,ij->i", v, v))
+    def add(self, ids: pa.Array, here: np.ndarray, ends: np.ndarray, codes: np.ndarray, v: np.ndarray, unit: np.ndarray, norms: np.ndarray) -> None:
+        """A block of rows, those of cell here[i] from ends[i] to ends[i + 1]."""
         asking = np.flatnonzero(self.looks[:, here].any(axis=1))
         found = []
         for s in _pieces(len(asking), len(v), self.p.block_bytes):
-            who, row = self._chosen(asking[s], self.looks[np.ix_(asking[s], cells)], cells, codes, v)
+            who, row = self._chosen(asking[s], here, ends, codes, unit)
             score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.q[who[t]], v[row[t]]) / self.norms[who[t]] / norms[row[t]] for t in _pieces(len(who), v.shape[1], self.p.block_bytes))])
             keep = score >= self.low[who]
-            found.append(self._first(pd.DataFrame({"who": who[keep], "score": score[keep], "id": ids.take(pa.array(row[keep])).to_numpy(zero_copy_only=False)})))
+            own = pd.DataFrame({"who": who[keep], "score": score[keep], "id": ids.take(pa.array(row[keep])).to_numpy(zero_copy_only=False)})
+            found.append(self._first(own) if len(own) > 2 * self.k * len(asking[s]) else own)
         found = [f for f in found if len(f)]
         if found:
             self.rows = self._first(pd.concat([*([self.rows] if len(self.rows) else []), *found], ignore_index=True))
@@ -335,23 +345,31 @@ class _Best:
 
 
 def _ranked(met: DataFrame, model, k: int, p: Params, schema: str, types: tuple[pa.DataType, pa.DataType]) -> DataFrame:
-    """Of each block of queries the best k rows for each, of the blocks of rows that it meets in a task one after the other."""
+    """Of each query the best k of the blocks of rows that its block meets in a task.
+
+    met: in each partition the blocks of queries of a share, followed by its blocks of rows, then another share.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        dim, group, best = m.cells.shape[1], None, None
+        dim, best, met_rows = m.cells.shape[1], [], False
         for batch in batches:
             for names, q, looks, ids, cells, codes, vectors in zip(*batch.columns, strict=True):
-                if group is None or not q.as_buffer().equals(group):
-                    if best:
-                        yield best.batch(types)
-                    group = pa.py_buffer(q.as_buffer().to_pybytes())
-                    asks = np.frombuffer(group).reshape(-1, dim)
+                if q.is_valid:
+                    if met_rows:
+                        yield from (b.batch(types) for b in best)
+                        best, met_rows = [], False
+                    asks = np.frombuffer(q.as_buffer().to_pybytes()).reshape(-1, dim)
                     bits = np.unpackbits(np.frombuffer(looks.as_buffer(), np.uint8).reshape(len(asks), -1), axis=1, count=len(m.cells)).astype(bool)
-                    best = _Best(pa.array(names.as_py(), types[0]), asks, bits, m, k, p)
-                best.add(ids.values, np.frombuffer(cells.as_buffer(), np.int32), np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids.values), -1), np.frombuffer(vectors.as_buffer()).reshape(-1, dim))
-        if best:
-            yield best.batch(types)
+                    best.append(_Best(pa.array(names.as_py(), types[0]), asks, bits, m, k, p))
+                    continue
+                met_rows = True
+                v = np.frombuffer(vectors.as_buffer()).reshape(-1, dim)
+                here, at = np.unique(np.frombuffer(cells.as_buffer(), np.int32), return_index=True)
+                unit, norms = _unit(v), np.sqrt(np.einsum("ij,ij->i", v, v))
+                for b in best:
+                    b.add(ids.values, here, np.append(at, len(v)), np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(v), -1), v, unit, norms)
+        yield from (b.batch(types) for b in best)
 
     return met.select("names", "q", "looks", "ids", "cells", "codes", "vectors").mapInArrow(run, schema)
 
@@ -360,8 +378,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, where
     """(query_id, rank, id, score) as retrieve.topk gives them, of the rows that the probed cells have; scores are true cosines.
 
     where: a condition on the rows' own columns, which the scan pushes down.  queries have the index's vector column.
-    candidates are those that a query has in a block of rows, and so at least as many of all rows.  One block of queries is
-    broadcast and the index is read where it lies; more of them meet the index in shares, as in retrieve.topk.
+    candidates are those that a query has in a block of rows, and so at least as many of all rows.
     """
     here, p = snapshots.newest(spark, path), params
     model = load(spark, path, here)
@@ -377,14 +394,15 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, where
     qkind, kind = (x.simpleString() for x in types)
     own = _packed(rows.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), "codes", "cell"), kind, model.cells.shape[1], p.block_bytes)
     blocks = _asked(asks.repartition(max(1, parts)), sent, qkind, p.asked_rows)
-    if parts <= 1:
-        met = own.crossJoin(F.broadcast(blocks))
-    else:
-        shares = 4 * spark.sparkContext.defaultParallelism
-        every = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        dealt = own.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
-        # The left side streams: a task ranks all blocks of its share for one block of queries, then for the next.
-        met = every.repartition(shares, "share").join(dealt.repartition(shares, "share").hint("merge"), "share")
+    # Each group of blocks of queries is sent to all shares of the index, and each share to all groups: a task has the
+    # queries of its group and reads one block of rows after the other.  No row is made for a pair of blocks.
+    groups, shares = -(-parts // p.group_blocks) or 1, 2 * spark.sparkContext.defaultParallelism
+    place = F.spark_partition_id() + F.monotonically_increasing_id() % (1 << 33)
+    every = blocks.select("*", (F.spark_partition_id() % groups).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    dealt = own.select("*", F.pmod(place, F.lit(shares)).cast("int").alias("share")).select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    met = every.withColumn("kind", F.lit(0)).unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    task = (F.col("group") * shares + F.col("share")).cast("int")
+    met = met.withColumn("task", task).repartitionById(groups * shares, "task").sortWithinPartitions("task", "kind")
     found = _ranked(met, sent, k, p, f"query_id {qkind}, score double, id {kind}", tuple(to_arrow_type(x) for x in types))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

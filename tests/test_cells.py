@@ -86,3 +86,18 @@ def test_many_queries_in_blocks(spark, tmp_path):
     assert plan.count("PartitionFilters: [cell") == 1
     few = cells.search(spark, path, asks, 2, probes=1000, candidates=2, params=small)
     assert len(pairs(few)) == 2 * asks.count() and recall(few, retrieve.topk(rows, asks, 2)) >= 0.5
+
+
+def test_no_row_for_a_pair_of_blocks(spark, tmp_path):
+    """Groups of query blocks and shares of the index meet in tasks, not in a join, and find what exact search finds, among many equal vectors too."""
+    path, rows = str(tmp_path / "cells"), some(spark, 700, 9, clusters=5)
+    one = rows.filter("chunk_id = 3").select(F.explode(F.sequence(F.lit(8000), F.lit(8120))).alias("chunk_id"), "embedding", "label")
+    rows = rows.union(one)
+    cells.build(rows, path)
+    asks = rows.filter("chunk_id % 9 = 3 OR chunk_id BETWEEN 8000 AND 8010").select(F.col("chunk_id").alias("query_id"), "embedding")
+    small = cells.Params(asked_rows=8, group_blocks=2, block_bytes=16 * 8 * 40)
+    got = cells.search(spark, path, asks, 7, probes=1000, candidates=1000, params=small)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+    line = lambda df: [(r["query_id"], r["rank"], r["chunk_id"]) for r in df.orderBy("query_id", "rank").collect()]
+    assert line(got) == line(retrieve.topk(rows, asks, 7))
