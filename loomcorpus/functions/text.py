@@ -32,9 +32,15 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), stripped), lambda s: s != "")
 
 
+def split_within_words(c: Column) -> Column:
+    """Whether atoms may part a text where it has no white space."""
+    return F.contains(c, F.lit("```")) | F.contains(c, F.lit("\u0001"))
+
+
 def atoms(c: Column) -> Column:
     """Sentences, with fenced code blocks as atoms of their own."""
-    parts = F.split(F.regexp_replace(c, r"(```[\s\S]*?```)", "\u0001$1\u0001"), "\u0001")
+    fenced = F.split(F.regexp_replace(c, r"(```[\s\S]*?```)", "\u0001$1\u0001"), "\u0001")
+    parts = F.when(split_within_words(c), fenced).otherwise(F.array(c))
     return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(r"^```[\s\S]*```$"), F.array(p)).otherwise(sentences(p))))
 
 

@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomcorpus.functions.text import atoms, bound, slug, token_count
+from loomcorpus.functions.text import atoms, bound, slug, split_within_words, token_count
 from loomcorpus.operators.ordered import crowded, running
 
 
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+
+
 def packed(parts: Column, most: int, overlap: int, counts: Column | None = None) -> Column:
-    """Greedy packing of atoms into chunks of at most `most` tokens, carrying a suffix of at most `overlap`.
+    """The texts of packed_counts."""
+    return F.transform(packed_counts(parts, most, overlap, counts), lambda c: c["text"])
+
+
+def packed_counts(parts: Column, most: int, overlap: int, counts: Column | None = None) -> Column:
+    """Greedy packing of atoms into chunks (text, tokens) of at most `most` tokens, carrying a suffix of at most `overlap`.
 
-    counts: the atoms' tokens, if another counter than white space is wanted.
+    counts: the atoms' tokens, if another counter than white space is wanted.  tokens: the sum of them, which of words is the
+    chunk's own count.
 
     A fold over the counts of one section's atoms finds where chunks begin and end; texts are joined afterwards.
     Sections are independent, so nothing is shuffled.
@@ -47,8 +57,11 @@ def packed(parts: Column, most: int, overlap: int, counts: Column | None = None)
             return F.when(n > most, alone).when(s["t"] + n > most, turn).otherwise(state(s["cuts"], s["begin"], s["t"] + n, after))
 
         start = state(F.expr("cast(array() as array<struct<a:int,b:int>>)"), F.lit(0), F.lit(0), F.lit(0))
-        texts = F.transform(F.aggregate(x["n"], start, step, closed), lambda c: F.array_join(F.slice(x["p"], c["a"] + 1, c["b"] - c["a"]), " "))
-        return F.filter(texts, lambda c: F.trim(c) != "")
+        def part(c: Column) -> Column:
+            own = lambda name: F.slice(x[name], c["a"] + 1, c["b"] - c["a"])
+            return F.struct(F.array_join(own("p"), " ").alias("text"), total(own("n")).alias("tokens"))
+
+        return F.filter(F.transform(F.aggregate(x["n"], start, step, closed), part), lambda c: F.trim(c["text"]) != "")
 
     if counts is not None:
         return bound(F.struct(parts.alias("p"), counts.alias("n")), chunks)
@@ -82,19 +95,27 @@ def path_hash(path: Column, section: Column, number: Column) -> Column:
 
 
 def cut_sections(sections: DataFrame, most: int = 1500, overlap: int = 100, counter: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Sections with section_path, slug and chunks, an array of text and tokens, in place of the text.
+    """Sections with section_path, slug and chunks, an array of (text, tokens), in place of the text.
 
     counter: from an array of texts to an array of their tokens (see functions.tokens); by default words.
     """
     rows = sections.withColumn("section_path", section_path(F.col("section_hierarchy"), F.col("source_name")))
     rows = rows.withColumn("slug", slug(F.coalesce(F.try_element_at("section_hierarchy", F.lit(-1)), F.col("source_name"))))
-    whole, size, counts = F.array("text"), token_count(F.col("text")), None
+    text = F.col("text")
     if counter:
-        rows = rows.withColumn("atoms", atoms(F.col("text"))).withColumns({"atom_tokens": counter(F.col("atoms")), "text_tokens": counter(F.array("text"))[0]})
-        size, counts = F.col("text_tokens"), F.col("atom_tokens")
-    parts = packed(F.col("atoms") if counter else atoms(F.col("text")), most, overlap, counts)
-    rows = rows.withColumn("chunks", F.when(size <= most, whole).otherwise(parts)).withColumn("chunks", F.when(F.size("chunks") > 0, F.col("chunks")).otherwise(whole))
-    return rows.drop("text", "atoms", "atom_tokens", "text_tokens") if counter else rows.drop("text")
+        rows = rows.withColumn("atoms", atoms(text)).withColumns({"atom_tokens": counter(F.col("atoms")), "text_tokens": counter(F.array("text"))[0]})
+        return rows.withColumn("chunks", _cut(text, F.struct(F.col("atoms").alias("p"), F.col("atom_tokens").alias("n")), F.col("text_tokens"), most, overlap)).drop("text", "atoms", "atom_tokens", "text_tokens")
+    counted = bound(atoms(text), lambda p: F.struct(p.alias("p"), F.transform(p, token_count).alias("n")))
+    # Atoms end between words, but for fences: else words are counted once, those of the text and of its chunks by sums.
+    size = lambda x: F.when(split_within_words(text), token_count(text)).otherwise(total(x["n"]))
+    return rows.withColumn("chunks", bound(counted, lambda x: bound(size(x), lambda n: _cut(text, x, n, most, overlap)))).drop("text")
+
+
+def _cut(text: Column, x: Column, size: Column, most: int, overlap: int) -> Column:
+    """The chunks of a text of so many tokens; x: its atoms p and their tokens n."""
+    whole = F.array(F.struct(text.alias("text"), size.alias("tokens")))
+    parts = packed_counts(x["p"], most, overlap, x["n"])
+    return bound(F.when(size <= most, whole).otherwise(parts), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
 
 
 def chunk_id(source_name: Column, slug: Column, path: Column, section: Column, occurrence: Column, index: Column) -> Column:
@@ -105,10 +126,10 @@ def chunk_rows(cut: DataFrame, counter: Callable[[Column], Column] | None = None
     """The chunks, with ids, of cut sections that have their occurrence."""
     # Outer, then filtered: before an inner one Spark filters by the array's size, and computes the array anew for that.
     out = cut.select("*", F.size("chunks").alias("total_chunks_in_section"), F.posexplode_outer("chunks").alias("chunk_index", "chunk")).filter("chunk_index IS NOT NULL")
-    tokens = counter(F.array("chunk"))[0] if counter else token_count(F.col("chunk"))
+    tokens = counter(F.array("chunk.text"))[0] if counter else F.col("chunk.tokens")  # tokens of a joined text by a counter aren't a sum
     name = chunk_id(F.col("source_name"), F.col("slug"), F.col("original_path"), F.col("section_path"), F.col("occurrence"), F.col("chunk_index"))
     return out.select(
-        F.col("chunk").alias("text"), name.alias("chunk_id"), "source_type", "source_name", "section_path", F.coalesce("original_path", F.lit("")).alias("original_path"), "chunk_index", "total_chunks_in_section",
+        F.col("chunk.text").alias("text"), name.alias("chunk_id"), "source_type", "source_name", "section_path", F.coalesce("original_path", F.lit("")).alias("original_path"), "chunk_index", "total_chunks_in_section",
         tokens.alias("token_count"),
     )
 

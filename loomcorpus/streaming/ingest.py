@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from loomcorpus.functions.text import token_count
 from loomcorpus.operators.chunk import chunk_id, chunk_rows, cut_sections
 from loomcorpus.operators.index import upsert
 from loomcorpus.providers import HashEmbedder, embedded
@@ -106,7 +107,7 @@ class Places(StatefulProcessor):
 def changes(sections: DataFrame, most: int = 1500, overlap: int = 100) -> DataFrame:
     """The changes (CHANGE) that a stream of sections (STREAMED) makes, a key of state for each file."""
     cut = cut_sections(sections.withColumn("original_path", F.coalesce("original_path", F.lit(""))), most, overlap)
-    rows = cut.select("original_path", "section_path", "doc_ord", "delivery", "slug", "source_name", "source_type", "chunks")
+    rows = cut.select("original_path", "section_path", "doc_ord", "delivery", "slug", "source_name", "source_type", F.col("chunks.text").alias("chunks"))
     return rows.groupBy("original_path").transformWithState(Places(), CHANGE, "Update", "None")
 
 
@@ -119,6 +120,7 @@ def applied(changed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     at = ["original_path", "doc_ord"]
     last = Window.partitionBy(*at).orderBy(F.desc("seq"))
     came = changed.filter("kind = 'put'").withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("occurrence", "__n")
+    came = came.withColumn("chunks", F.transform("chunks", lambda c: F.struct(c.alias("text"), token_count(c).alias("tokens"))))
     new = chunk_rows(came.join(changed.filter("kind = 'place'").select(*at, "occurrence"), at))
     each = changed.filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     gone = each.filter("kind = 'gone'").select(_ids(each, "occurrence").alias("chunk_id"))

@@ -61,3 +61,25 @@ def test_chunks_are_cut_once(spark, tmp_path):
     assert plan.count("(?<=[.!?])") == 1
     assert sorted((r["chunk_id"][-1], r["text"]) for r in out.collect() if r["text"]) == [("0", "One two three."), ("1", "Four five six."), ("2", "Seven eight.")]
     assert out.count() == 5
+
+
+def test_chunks_carry_counts_and_vectors_stay_a_matrix(spark):
+    """Words of chunks are sums of their atoms', also at fences within words; vectors are not made into Python numbers."""
+    texts = ["One two. Three  four\tfive. Six.", "ab```x y. z```cd. E f g h i j", "a\u0001b. c", "a b\u0001c d e", " ", "", None]
+    docs = spark.createDataFrame([(i, t, "d", "s", str(i), ["h"]) for i, t in enumerate(texts)], "doc_ord long, text string, source_type string, source_name string, original_path string, section_hierarchy array<string>")
+
+    class Embedder(providers.HashEmbedder):
+        def __call__(self, texts, input_type="document"):
+            raise AssertionError("vectors as lists")
+
+    rows = providers.embedded(chunk.chunk_documents(docs, 3, 1), Embedder(8)).collect()
+    assert len(rows) > len(texts)
+    for r in rows:
+        assert r["token_count"] == (None if r["text"] is None else len((r["text"]).encode().split()))
+        assert np.allclose(r["embedding"], providers.HashEmbedder(8)([r["text"] or ""])[0])
+    assert [r["text"] for r in rows if r["original_path"] == "2"] == ["a\u0001b. c"]
+
+
+def test_words_are_those_of_the_pattern():
+    for t in ["Ox_1, ox-2\x1cb", "Élan vital x²", "straße İΣ Σ", "", " \x00a\x7f", "日本 語。x"]:
+        assert providers._words(t) == re.findall(r"\w+", t.lower())
